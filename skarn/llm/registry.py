@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, secrets
+from . import media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing_sources": mixing.op2_mixing_sources,
+        "op5_sampled_splitters": sharding.op5_sampled_splitters,
         "op7_media_columns": media.op7_media_columns,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing_sources": mixing.ORACLE, "op5_sampled_splitters": sharding.ORACLE}
