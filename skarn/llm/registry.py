@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, secrets, sharding
+from . import bpe, idstore, media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing_sources": mixing.op2_mixing_sources,
+        "op3_token_id_output": idstore.op3_token_id_output,
         "op5_sampled_splitters": sharding.op5_sampled_splitters,
         "op7_media_columns": media.op7_media_columns,
+        "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
 

@@ -125,9 +125,22 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(records(table(spark, sf_dir, "documents")))
 
 
-ORACLE = dialect(", ".join(["""WITH records AS (
+# CRC-32 in SQL: the table from its rule, each text's bytes as a list, 200 hex digits at a time.
+_CRC = """WITH crc_table AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)) x
+), hexed AS (
+  SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents) x
+), hexes AS (
+  SELECT text, unnest(range(0, greatest(1, (length(h) + 199) // 200))) AS k, h FROM hexed
+), listed AS (
+  SELECT text, list_prepend(4294967295, flatten(list(list_transform(range(1, length(p) // 2 + 1), lambda i: CAST(concat('0x', substr(p, 2 * i - 1, 2)) AS BIGINT)) ORDER BY k))) AS bytes
+  FROM (SELECT text, k, substr(h, 200 * k + 1, 200) AS p FROM hexes) x GROUP BY text
+), crcs AS (
+  SELECT text, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) AS crc FROM listed CROSS JOIN crc_table
+)"""
+ORACLE = dialect(", ".join([_CRC, """records AS (
   SELECT doc_id, size, text_crc32, key, substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', CAST(copy AS VARCHAR))), 1, 16) AS row_key FROM (
     SELECT doc_id, size, text_crc32, key, row_number() OVER (PARTITION BY doc_id, size, text_crc32, key) AS copy FROM (
-      SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, NULL AS text_crc32, substr(md5(coalesce(text, '')), 1, 16) AS key FROM documents) a) b
+      SELECT d.doc_id, CAST(strlen(c.text) + 8 AS BIGINT) AS size, CAST(c.crc AS BIGINT) AS text_crc32, substr(md5(c.text), 1, 16) AS key FROM documents d JOIN crcs c ON coalesce(d.text, '') = c.text) a) b
 )""", _CUT, _ROOM, _LIGHT, _BOUNDS, "ranged AS (SELECT l.key, l.row_key, l.size, (SELECT count(*) FROM bounds b WHERE b.bound <= concat(l.key, l.row_key)) AS rng FROM light l)",
     _PLACE.replace("{COUNT(room, upto <= mid)}", "(SELECT count(*) FROM room o WHERE o.upto <= mid)"), _SLOT]), True, SHARDS=SHARDS, HEAVY=HEAVY, RANGES=RANGES, KEYS=KEYS, SEED=SEED)
