@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, media, mixing, secrets, sharding
+from . import bpe, idstore, langid, media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing_sources": mixing.op2_mixing_sources,
         "op3_token_id_output": idstore.op3_token_id_output,
         "op5_sampled_splitters": sharding.op5_sampled_splitters,
+        "op6_language_id": langid.op6_language_id,
         "op7_media_columns": media.op7_media_columns,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_secret_scans": secrets.op10_secret_scans,
