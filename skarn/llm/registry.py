@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, langid, media, mixing, secrets, sharding
+from . import bpe, html, idstore, langid, media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html.op1_html_extraction,
         "op2_mixing_sources": mixing.op2_mixing_sources,
         "op3_token_id_output": idstore.op3_token_id_output,
         "op5_sampled_splitters": sharding.op5_sampled_splitters,
