@@ -14,7 +14,6 @@ few samples to train on give a raw-content dictionary. Further columns are ignor
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
@@ -24,11 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import plain_text, scratch, slices, table, written
+from .common import opened, plain_text, scratch, slices, table, written
 from .words import gathered, segments
 
 MAGIC = b"SKID\x01\0\0\0"
@@ -115,11 +113,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or a plain path."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
-
-
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained dictionary, or the samples' own bytes where they are too few to train on."""
     samples = [s for s in samples if s]

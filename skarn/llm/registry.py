@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, idstore, langid, media, mixing, secrets, sharding
+from . import ann, bpe, html, idstore, langid, media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": html.op1_html_extraction,
         "op2_mixing_sources": mixing.op2_mixing_sources,
         "op3_token_id_output": idstore.op3_token_id_output,
+        "op4_multi_index_hashing": ann.op4_multi_index_hashing,
         "op5_sampled_splitters": sharding.op5_sampled_splitters,
         "op6_language_id": langid.op6_language_id,
         "op7_media_columns": media.op7_media_columns,
