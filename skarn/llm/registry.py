@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, idstore, langid, media, mixing, secrets, sharding
+from . import ann, bpe, html, idstore, jaccard, langid, media, mixing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sampled_splitters": sharding.op5_sampled_splitters,
         "op6_language_id": langid.op6_language_id,
         "op7_media_columns": media.op7_media_columns,
+        "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
