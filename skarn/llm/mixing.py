@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -60,7 +60,7 @@ _QUOTA = """src AS (
     CAST(greatest(1, ceil(low.own / {SHARD_WORDS}.0e0)) AS BIGINT) AS shards FROM low LEFT JOIN extra ON low.rnk = extra.rnk
 )"""
 _DOC = """doc AS (
-  SELECT d.doc_id, d.copy, d.size, q.rnk, {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.copy AS VARCHAR)))} % q.shards AS shard
+  SELECT d.doc_id, d.source, d.copy, d.size, q.rnk, {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.copy AS VARCHAR)))} % q.shards AS shard
   FROM sized AS d JOIN quota AS q ON d.source IS NOT DISTINCT FROM q.source
 )"""
 _PLAN = """cell AS (
@@ -132,7 +132,7 @@ def _values(pieces: bool) -> dict[str, object]:
     return {
         "BLOCK": BLOCK, "SHARD_WORDS": SHARD_WORDS, "MOST": MOST, "SEED": SEED,
         "PIECES": ", collect_list(struct(block, got)) AS pieces" if pieces else "",
-        "MORE": ", doc.copy, CAST(coalesce(pl.passes, 0) AS INT) AS passes, part.pieces" if pieces else "",
+        "MORE": ", doc.source, doc.copy, CAST(coalesce(pl.passes, 0) AS INT) AS passes, part.pieces" if pieces else "",
     }
 
 
@@ -144,7 +144,7 @@ def sized(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
-    """The mix of `sized` rows: doc_id, size, source_size, target, taken; with `pieces` also copy, passes (whole copies)
+    """The mix of `sized` rows: doc_id, size, source_size, target, taken; with `pieces` also source, copy, passes (whole copies)
     and pieces, an array of (block, words got) of the last, partial pass."""
     spark = sizes.sparkSession
 
@@ -160,6 +160,22 @@ def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
     return run(_DOC, _DRAW, sized=sizes, quota=quota, plan=plan)
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """df's rows as the mix takes them: whole copies as they are, then a last partial copy of the drawn blocks' words, one
+    space between them. A document that the mix leaves out goes."""
+    plan = mix(sized(df, id_col, source_col, text_col), pieces=True).where("taken > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    keys = lambda i, s: [F.coalesce(i.cast("string"), F.lit("")).alias("_i"), i.isNull().alias("_in"), F.coalesce(s.cast("string"), F.lit("")).alias("_s"), s.isNull().alias("_sn")]  # noqa: E731  nulls are keys too
+    own = df.select("*", *keys(F.col(id_col), F.col(source_col)), size.alias("_size"))
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_i", "_in", "_s", "_sn", "_size").orderBy(text_col)).cast("long"))
+    plan = plan.select(*keys(F.col("doc_id"), F.col("source")), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "passes", "pieces")
+    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    drawn = F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(words, (p.block * BLOCK + 1).cast("int"), p.got.cast("int"))))
+    copies = F.concat(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("pieces").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.array_join(drawn, " "))))
+    out = own.join(plan, ["_i", "_in", "_s", "_sn", "_size", "_copy"]).withColumn("_text", F.explode(copies))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+
+
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized(table(spark, sf_dir, "documents")))
 
