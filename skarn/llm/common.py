@@ -64,5 +64,5 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def plain_text(column: pa.Array) -> pa.Array:
-    """The column as large_string with null as the empty text."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The column as a large_string array of its own, null as the empty text. Built anew: pc.ascii_lower misreads slices."""
+    return pa.array([t or "" for t in column.to_pylist()], pa.large_string())
