@@ -294,29 +294,35 @@ def _candidates(postings: DataFrame) -> DataFrame:
 # ---- verification
 
 
-def _bloom(ids: DataFrame) -> bytes:
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.astype(np.int64).view(np.uint64) * _MULT) % np.uint64(BLOOM_BITS)).astype(np.int64)
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
     """Bits of the ids' hashes: BLOOM_BITS, whatever their number; full bits only filter less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM_BITS, bool)
         for b in batches:
-            bits[b.column("h").to_numpy()] = True
+            bits[_places(b.column("doc").to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
 
-    hashed = ids.select(F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS)).alias("h")).distinct().repartition(4)
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for (x,) in hashed.mapInArrow(run, "bits binary").collect():
+    for (x,) in ids.distinct().repartition(4).mapInArrow(run, "bits binary").collect():
         out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), np.uint8)
-    return out.tobytes()
+    return np.unpackbits(out).astype(bool)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc, text of the documents that may be among the ids: the filter runs before any text is shuffled."""
-    bits = F.lit(bytearray(_bloom(ids)))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS))
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(h / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(128 >> i) for i in range(8)]), (h % 8).cast("int") + 1)) > 0
-    return docs.where(F.col("doc_id").isNotNull() & hit).select(F.col("doc_id").alias("doc"), "text")
+    """doc, text of the documents that may be among the ids: the filter runs before any text is shuffled. Its bits are a
+    broadcast, not a literal, as a literal would stand in every printed plan."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value[_places(b.column("doc").to_numpy())]))
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, "doc long, text string")
 
 
 class _Group:
