@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -63,6 +64,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     yield batch.slice(start, n - start)
 
 
+def extended(df: DataFrame, more: str) -> StructType:
+    """df's schema with further fields given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def plain_text(column: pa.Array) -> pa.Array:
     """The column as a large_string array of its own, null as the empty text. Built anew: pc.ascii_lower misreads slices."""
     return pa.array([t or "" for t in column.to_pylist()], pa.large_string())

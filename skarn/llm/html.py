@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import extended, slices, table
 
 WINDOW, SURGE = 3, 80
 #: A line with more than this share of its text in links is a menu.
@@ -185,8 +184,7 @@ def main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [extract(x) if x else "" for x in b.column(html_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names, F.col(html_col)).schema if f.name != html_col)
-    return df.select(*names, html_col).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return df.mapInArrow(run, extended(df.drop(html_col), "text string, n_chars long"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

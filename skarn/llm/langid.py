@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, slices, table
+from .common import extended, plain_text, slices, table
 from .words import spaced
 
 DOCS_PER_LANGUAGE = 1000
@@ -205,8 +205,7 @@ def predict(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
                 langs, scores = _scorers[mark].predict(plain_text(b.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.mapInArrow(run, extended(df, "lang_pred string, score double"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
