@@ -24,6 +24,19 @@ from skarn.session import ship
 MIN_SCORE = 0.5
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and any others in one struct, so that no name of theirs meets one of a stage."""
+    extra = [F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]
+    return docs.select(*COLUMNS, *[F.struct(*extra).alias("_extra")] * bool(extra))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select([F.col(c) if c in COLUMNS else F.col("_extra").getField(c).alias(c) for c in docs.columns])
+
+
 def _counted(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -31,15 +44,15 @@ def _counted(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = langid.predict(_packed(docs), model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return _unpacked(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = written(jaccard.join(docs), "pipeline-join")
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(stay, "doc_id", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept.unionByName(docs.where("doc_id is null"))
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
@@ -47,12 +60,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    scanned = written(secrets.scan(docs), "pipeline-secrets")
-    return _counted(secrets.redact(secrets.classified(scanned, "doc_id", "source"))).select(docs.columns)
+    scanned = written(secrets.scan(_packed(docs)), "pipeline-secrets")
+    return _unpacked(_counted(secrets.redact(secrets.classified(scanned, "doc_id", "source"))), docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(mixing.mixed(docs)).select(docs.columns)
+    return _unpacked(_counted(mixing.mixed(_packed(docs))), docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
