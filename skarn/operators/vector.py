@@ -31,6 +31,7 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def hashing_embedding(df: DataFrame, text_col: str = "text", dims: int = 384, prefix: str = "search_document: ") -> DataFrame:
     """df with `vector`: words hashed to signed dimensions, L2-normalised. Any model can stand in its place."""
+    import re
     import zlib
 
     names = df.columns
@@ -39,7 +40,7 @@ def hashing_embedding(df: DataFrame, text_col: str = "text", dims: int = 384, pr
         for b in batches:
             out = np.zeros((b.num_rows, dims), np.float32)
             for i, t in enumerate(b.column(text_col).to_pylist()):
-                for w in (prefix + (t or "")).lower().split():
+                for w in re.findall(r"[a-z0-9]{2,}", re.sub("([a-z])([A-Z])", r"\1 \2", prefix + (t or "")).lower()):
                     h = zlib.crc32(w.encode())
                     out[i, h % dims] += 1 - 2 * (h >> 31)
             out /= np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-12)

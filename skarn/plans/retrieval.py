@@ -353,3 +353,50 @@ def jn09(spark, d):
 @query("st05_deleted_difference", "SELECT relative_path FROM v_manifest EXCEPT SELECT relative_path FROM v_files")
 def st05(spark, d):
     return S.manifest(spark, d).select("relative_path").exceptAll(S.files(spark, d).select("relative_path"))
+
+
+# ---- parsers and one-batch indexing
+
+
+@query("ck06_typescript_symbols")
+def ck06(spark, d):
+    code = F.format_string("import {x} from './m%s'\nexport function f%s() {}\nclass K%s {}\n", F.col("doc_id"), F.col("doc_id"), F.col("doc_id"))
+    return chunk.extract_symbols(S.files(spark, d).withColumn("content", code).withColumn("language", F.lit("typescript")))
+
+
+@query("ck07_python_symbols", "SELECT concat('f', doc_id) AS name, 'function' AS kind FROM documents UNION ALL SELECT 'os', 'import' FROM documents")
+def ck07(spark, d):
+    code = F.format_string("import os\ndef f%s():\n    pass\n", F.col("doc_id"))
+    return chunk.extract_symbols(S.files(spark, d).withColumn("content", code).withColumn("language", F.lit("python"))).select("name", "kind")
+
+
+@query("ck08_docstrings", "SELECT doc_id, concat('Doc of ', doc_id) AS doc FROM documents")
+def ck08(spark, d):
+    code = F.format_string('def f():\n    """Doc of %s"""\n', F.col("doc_id"))
+    return S.table(spark, d, "documents").select("doc_id", F.regexp_extract(code, '"{3}(.*?)"{3}', 1).alias("doc"))
+
+
+@query("ck09_parse_once", "SELECT count(DISTINCT text) AS n FROM documents")
+def ck09(spark, d):
+    return S.files(spark, d).dropDuplicates(["hash"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vx05_index_batch", f"SELECT count(*) AS chunks, count(DISTINCT relative_path) AS files FROM ({_CHUNK.format(size=16, step=12)}) z WHERE regexp_matches(content, '\\S')")
+def vx05(spark, d):
+    from ..api import Engine
+
+    return Engine(S.files(spark, d), max_tokens=64).index(force=True).chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("relative_path").alias("files"))
+
+
+@query("sm03_rate_limiter")
+def sm03(spark, d):
+    from ..streaming.state import rate_limited
+
+    return rate_limited(S.table(spark, d, "events"), most=3, seconds=7200)
+
+
+@query("sm06_audit_append", "SELECT event_id FROM v_audit WHERE type = 'error'")
+def sm06(spark, d):
+    from ..sources.files import audit_round_trip
+
+    return audit_round_trip(S.audit(spark, d).where("type = 'error'").select("event_id"), "event_id long")
