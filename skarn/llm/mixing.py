@@ -170,8 +170,10 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_i", "_in", "_s", "_sn", "_size").orderBy(text_col)).cast("long"))
     plan = plan.select(*keys(F.col("doc_id"), F.col("source")), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "passes", "pieces")
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    drawn = F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(words, (p.block * BLOCK + 1).cast("int"), p.got.cast("int"))))
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("pieces").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.array_join(drawn, " "))))
+    # The words are bound to a lambda variable, else each piece would split the text again.
+    pick = lambda w: F.array_join(F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(w, (p.block * BLOCK + 1).cast("int"), p.got.cast("int")))), " ")
+    drawn = F.element_at(F.transform(F.array(words), pick), 1)
+    copies = F.concat(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("pieces").isNull(), F.array().cast("array<string>")).otherwise(F.array(drawn)))
     out = own.join(plan, ["_i", "_in", "_s", "_sn", "_size", "_copy"]).withColumn("_text", F.explode(copies))
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns])
 
