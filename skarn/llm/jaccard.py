@@ -50,6 +50,9 @@ MEMBERS, ANCHORS = 512, 32
 FLUSH = 2_000_000
 BLOCK = 256
 BLOOM_BITS = 1 << 23
+#: Bits of a shingle's hash that a posting keeps besides its bucket. Fewer would only add pairs that verification rejects.
+KEPT_BITS = 40
+_KEPT = np.uint64((1 << KEPT_BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -147,20 +150,24 @@ def _order(profiles: DataFrame) -> np.ndarray:
 
 
 def _pack(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray) -> bytes:
+    token = token & _KEPT
     ids, at = np.unique(doc, return_inverse=True)
     sizes = np.zeros(len(ids), np.uint32)
     sizes[at] = size
     planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()  # noqa: E731  alike bytes together
     order = np.argsort(token)
-    body = b"".join([planes(token[order]), planes(at[order].astype(np.uint32)), planes(pos[order].astype(np.uint32)), planes(ids), planes(sizes)])
+    short = token[order].view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8]
+    body = b"".join([np.ascontiguousarray(short.T).tobytes(), planes(at[order].astype(np.uint32)), planes(pos[order].astype(np.uint32)), planes(ids), planes(sizes)])
     return np.array([len(token), len(ids)], np.uint32).tobytes() + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(blob, np.uint32, 2).tolist()
     body = zstandard.ZstdDecompressor().decompress(blob[8:])
-    out, at = [], 0
-    for count, kind in ((n, np.uint64), (n, np.uint32), (n, np.uint32), (m, np.int64), (m, np.uint32)):
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : KEPT_BITS // 8] = np.frombuffer(body, np.uint8, n * (KEPT_BITS // 8)).reshape(KEPT_BITS // 8, n).T
+    out, at = [wide.view(np.uint64).reshape(-1)], n * (KEPT_BITS // 8)
+    for count, kind in ((n, np.uint32), (n, np.uint32), (m, np.int64), (m, np.uint32)):
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, count * width, at).reshape(width, count).T).view(kind).reshape(-1))
         at += count * width
