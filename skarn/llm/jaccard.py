@@ -15,7 +15,8 @@ Answer level: those of one component are highly similar, so |x & y| is derived f
 |x - p| is too small.
 
 Equal sets are one node. What is verified together is one anchor and at most MEMBERS of its partners (or ANCHORS anchors of
-one component), streamed, so no group of copies is held in one task's memory.
+one component), streamed, so no group of copies is held in one task's memory. A list of more than SPLIT entries is dealt over
+buckets by document, and in the second round every list over parts of HELD entries.
 
 Defined cases: a null text, or one without words, has size 0 and is a component of its own; fewer than five words are one
 shingle, linked only with the same sequence; rows of one doc_id are one node; rows with a null doc_id get a null component
@@ -53,6 +54,11 @@ BLOOM_BITS = 1 << 23
 #: Bits of a shingle's hash that a posting keeps besides its bucket. Fewer would only add pairs that verification rejects.
 KEPT_BITS = 40
 _KEPT = np.uint64((1 << KEPT_BITS) - 1)
+#: The highest bit kept tells a shingle whose counter exceeds SPLIT. Its postings are dealt over buckets by document.
+_HOT = np.uint64(1 << (KEPT_BITS - 1))
+SPLIT = 100_000
+#: Entries of a list that probes meet in one task.
+HELD = 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,22 +181,26 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return token, ids[place], sizes[place].astype(np.int64), pos.astype(np.int64)
 
 
-def _postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, blob: the prefix postings of all documents; equal sets of a task once."""
+def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPLIT) -> DataFrame:
+    """bucket, blob: the prefix postings of all documents; equal sets of a task once. A list of more than `split` entries
+    is dealt over several buckets."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(t) for t, _, _ in held])
-            token = np.concatenate([t for t, _, _ in held])
-            doc = np.repeat(np.array([d for _, d, _ in held], np.int64), lengths)
-            size = np.repeat(np.array([n for _, _, n in held], np.uint32), lengths)
+            lengths = np.array([len(t) for t, *_ in held])
+            token = np.concatenate([t for t, *_ in held])
+            doc = np.repeat(np.array([d for _, d, *_ in held], np.int64), lengths)
+            size = np.repeat(np.array([n for _, _, n, _ in held], np.uint32), lengths)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bucket = (_mixed(token * _MULT) % np.uint64(buckets)).astype(np.int64)
+            salts = np.concatenate([x for *_, x in held]).astype(np.uint64)
+            salt = _mixed(doc.view(np.uint64) * _MULT) % (salts + np.uint64(1))
+            bucket = (_mixed(token * _MULT + salt) % np.uint64(buckets)).astype(np.int64)
+            token = np.where(salts > 0, token | _HOT, token & ~_HOT)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by])) + 1
             parts = [p for p in np.split(by, cuts) if len(p)]
@@ -208,8 +218,9 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
                         continue
                     seen.add(mark)
                     # Ascending hashes, so a stable sort by count orders by (count, hash).
-                    first = np.argsort(counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: n - -(-NUM * n // DEN) + 1]
-                    held.append((own[first], doc_id, n))
+                    often = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    first = np.argsort(often, kind="stable")[: n - -(-NUM * n // DEN) + 1]
+                    held.append((own[first], doc_id, n, often[first] // split))
                     waiting += len(first)
                     if waiting >= FLUSH:
                         yield flush()
@@ -235,16 +246,18 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def candidates_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Of one bucket: the pairs of the first round, and the long lists as (documents, sizes, positions)."""
+    """Of one bucket: the pairs of the first round, and the long lists as (shingle of a dealt list, documents, sizes, positions)."""
     order = np.lexsort((doc, pos, token))
     token, doc, size, pos = token[order], doc[order], size[order], pos[order]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.append(first, len(token)))
-    some = np.repeat(length > 1, length)
+    hot = (token[first] & _HOT) > 0
+    some = np.repeat((length > 1) | hot, length)
     token, doc, size, pos = token[some], doc[some], size[some], pos[some]
-    length = length[length > 1]
+    length, hot = length[(length > 1) | hot], hot[(length > 1) | hot]
     first = np.cumsum(length) - length
-    long = np.repeat(length > SHORT, length)
+    kept = (length > SHORT) | hot
+    long = np.repeat(kept, length)
     lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, SHORT):
         at = np.flatnonzero((token[:-d] == token[d:]) & ~long[:-d]) if len(token) > d else []
@@ -260,14 +273,15 @@ def candidates_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.
     rights.append(doc[at])
     a, b = _distinct_pairs(np.concatenate(lefts), np.concatenate(rights))
     lists = []
-    for f, n in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
-        lists.append((doc[f : f + n], size[f : f + n], pos[f : f + n]))
+    for f, n, h in zip(first[kept].tolist(), length[kept].tolist(), hot[kept].tolist(), strict=True):
+        lists.append((int(token[f]) if h else None, doc[f : f + n], size[f : f + n], pos[f : f + n]))
     return a, b, lists
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """a, b: pairs of the first round; list, doc, size, pos: entries of long lists. One bucket is held at a time."""
-    names = ["a", "b", "list", "doc", "size", "pos"]
+    """a, b: pairs of the first round; list, doc, size, pos: entries of long lists, and whether an entry leads its part of a
+    dealt list. One bucket is held at a time."""
+    names = ["a", "b", "list", "doc", "size", "pos", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
@@ -275,15 +289,20 @@ def _candidates(postings: DataFrame) -> DataFrame:
             held.clear()
             n = len(a)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(n, pa.int64()) for _ in range(4))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.bool_())], names)
             merged: dict[int, tuple] = {}
-            for doc, size, pos in lists:  # lists of the same documents are one, at the least positions
-                by = np.argsort(doc, kind="stable")
+            rows = []
+            for token, doc, size, pos in lists:
+                if token is not None:
+                    rows.append((token, doc, size, pos, np.arange(len(doc)) == 0))
+                    continue
+                by = np.argsort(doc, kind="stable")  # lists of the same documents are one, at the least positions
                 key = xxhash.xxh3_64_intdigest(doc[by].tobytes()) >> 1
                 merged[key] = (doc[by], size[by], np.minimum(pos[by], merged[key][2]) if key in merged else pos[by])
-            for key, (doc, size, pos) in merged.items():
+            rows += [(key, *x, np.zeros(len(x[0]), bool)) for key, x in merged.items()]
+            for key, doc, size, pos, lead in rows:
                 n = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key, np.int64)), pa.array(doc), pa.array(size), pa.array(pos)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key, np.int64)), pa.array(doc), pa.array(size), pa.array(pos), pa.array(lead)], names)
 
         held, now = [], None
         for batch in batches:
@@ -295,7 +314,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return written(postings.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, list long, doc long, size long, pos long"), "join-candidates")
+    return written(postings.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, list long, doc long, size long, pos long, lead boolean"), "join-candidates")
 
 
 # ---- verification
@@ -407,61 +426,62 @@ def _first_members(pairs: DataFrame) -> DataFrame:
     return anchors.unionByName(salted.select(F.col("a").alias("g"), "salt", F.lit(2).alias("role"), F.col("b").alias("doc"), none.alias("against")))
 
 
-def cross_pairs(doc: np.ndarray, size: np.ndarray, pos: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list that lie in different components and may reach the threshold: (probe, partner). Entries outside
-    the largest component probe blocks of entries by position; a block is skipped where no position or size in it can do."""
-    order = np.lexsort((doc, pos))
-    doc, size, pos, label = doc[order], size[order], pos[order], label[order]
-    names, at, counts = np.unique(label, return_inverse=True, return_counts=True)
-    main = counts.argmax()
-    cuts = np.arange(0, len(doc), BLOCK)
-    room = size - pos
-    most_room, least, most = np.maximum.reduceat(room, cuts), np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts)
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(at != main).tolist():
-        low, high = -(-NUM * size[i] // DEN), DEN * size[i] // NUM
-        need = -(-NUM * (size[i] + np.maximum(least, low)) // (NUM + DEN))
-        for k in np.flatnonzero((most >= low) & (least <= high) & (np.minimum(most_room, room[i]) >= need)).tolist():
-            s = slice(cuts[k], min(len(doc), cuts[k] + BLOCK))
-            # Two entries outside the largest component meet once, as (later, earlier).
-            good = _may(size[i], pos[i], size[s], pos[s]) & (label[s] != label[i]) & ((at[s] == main) | (np.arange(s.start, s.stop) < i))
-            rights.append(doc[s][good])
-            lefts.append(np.full(int(good.sum()), doc[i]))
-    return np.concatenate(lefts), np.concatenate(rights)
-
-
-def _cross(entries: DataFrame) -> DataFrame:
-    """Distinct (probe y, partner x, component g of x) over all long lists. entries: list, doc (a node), size, pos, label."""
+class ListPart:
+    """Entries of one list that probes meet, in blocks by position; a block is skipped where no position or size in it can do."""
+
+    def __init__(self, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, label: np.ndarray, main: int):
+        order = np.lexsort((doc, pos))
+        self.doc, self.size, self.pos, self.label, self.main = doc[order], size[order], pos[order], label[order], main
+        self.cuts = np.arange(0, len(doc), BLOCK)
+        self.room = np.maximum.reduceat(self.size - self.pos, self.cuts)
+        self.least, self.most = np.minimum.reduceat(self.size, self.cuts), np.maximum.reduceat(self.size, self.cuts)
+
+    def partners(self, doc: int, size: int, pos: int, label: int) -> np.ndarray:
+        """Places of the entries of other components that may reach the threshold with the probe. Of two entries outside the
+        largest component, the one with the larger id probes."""
+        low, high = -(-NUM * size // DEN), DEN * size // NUM
+        need = -(-NUM * (size + np.maximum(self.least, low)) // (NUM + DEN))
+        out = [np.zeros(0, np.int64)]
+        for k in np.flatnonzero((self.most >= low) & (self.least <= high) & (np.minimum(self.room, size - pos) >= need)).tolist():
+            s = slice(self.cuts[k], self.cuts[k] + BLOCK)
+            good = _may(size, pos, self.size[s], self.pos[s]) & (self.label[s] != label) & ((self.label[s] == self.main) | (self.doc[s] < doc))
+            out.append(np.flatnonzero(good) + self.cuts[k])
+        return np.concatenate(out)
+
+
+def _cross(entries: DataFrame, held: int = HELD) -> DataFrame:
+    """Distinct (probe y, partner x, component g of x) over all long lists. entries: list, doc (a node), size, pos, label.
+
+    A list is dealt over parts of about `held` entries; entries outside its largest component probe every part."""
+    counts = entries.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("list").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    e = written(entries.join(mixed.select("list", "main", F.ceil(F.col("n") / held).alias("parts")), "list"), "join-mixed")
+    own = e.select("list", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(0).alias("role"), "doc", "size", "pos", "label", "main")
+    probes = e.where("label <> main").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "size", "pos", "label", "main")
+    names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["list", "doc", "size", "pos", "label"]
-        held, now = [[] for _ in names], None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            _, doc, size, pos, label = (np.concatenate(x) for x in held)
-            for x in held:
-                x.clear()
-            if (label != label[0]).any():
-                y, x = cross_pairs(doc, size, pos, label)
-                if len(x):
-                    of = dict(zip(doc.tolist(), label.tolist(), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x), pa.array([of[i] for i in x.tolist()], pa.int64())], ["y", "x", "g"])
-
+        now, waiting, part = None, [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(c).to_numpy() for c in names]
-            cuts = np.flatnonzero(np.diff(cols[0])) + 1
-            for k, part in enumerate(zip(*(np.split(c, cuts) for c in cols), strict=True)):
-                if part[0][0] != now and held[0]:
-                    yield from close()
-                now = part[0][0]
-                for h, p in zip(held, part, strict=True):
-                    h.append(p)
-        if held[0]:
-            yield from close()
+            y, x, g = [], [], []
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[:2] != now:
+                    now, waiting, part = row[:2], [], None
+                if row[2] == 0:
+                    waiting.append(row[3:7])
+                    continue
+                if part is None:
+                    part = ListPart(*(np.array(c, np.int64) for c in zip(*waiting, strict=True)), row[7]) if waiting else False
+                if part:
+                    at = part.partners(*row[3:7])
+                    y.append(np.full(len(at), row[3], np.int64))
+                    x.append(part.doc[at])
+                    g.append(part.label[at])
+            if y:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (y, x, g)], ["y", "x", "g"])
 
-    return entries.repartition("list").sortWithinPartitions("list").mapInArrow(run, "y long, x long, g long").distinct()
+    both = own.unionByName(probes).repartition("list", "part").sortWithinPartitions("list", "part", "role")
+    return both.mapInArrow(run, "y long, x long, g long").distinct()
 
 
 def _second_members(cross: DataFrame) -> DataFrame:
@@ -476,7 +496,7 @@ def _second_members(cross: DataFrame) -> DataFrame:
     return pivots.unionByName(anchors).unionByName(partners)
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, held: int = HELD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -486,13 +506,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     # A node's rows: where one doc_id has several sets, the least of their nodes.
     nodes = written(sizes.where("n > 0 and doc_id is not null").join(reps, "print").select("doc_id", "rep").distinct(), "join-nodes")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _candidates(_postings(docs, _order(profiles), buckets))
+    found = _candidates(_postings(docs, _order(profiles), buckets, split))
 
     def node(frame: DataFrame, col: str) -> DataFrame:
         to = nodes.select(F.col("doc_id").alias("_d"), F.col("rep").alias("_r"))
         return frame.join(to, frame[col] == to["_d"]).withColumn(col, F.col("_r")).drop("_d", "_r")
 
-    pairs = node(node(found.where("a is not null").select("a", "b"), "a"), "b").where("a <> b")
+    leads = found.where("lead").select("list", "doc", "pos")
+    front = leads.groupBy("list").agg(F.min_by("doc", F.struct("pos", "doc")).alias("a"))  # leads the parts of a dealt list
+    pairs = found.where("a is not null").select("a", "b").unionByName(leads.join(front, "list").select("a", F.col("doc").alias("b")))
+    pairs = node(node(pairs, "a"), "b").where("a <> b")
     pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a")).select("a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
     # Rows of one doc_id are one node.
     same = nodes.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").join(nodes.groupBy(F.col("doc_id").alias("a")).count().where("count > 1"), "a").select("a", "b")
@@ -502,7 +525,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     entries = node(lists, "doc").groupBy("list", "doc").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
     known = labels.select(F.col("node").alias("_n"), "label")
     entries = entries.join(known, entries["doc"] == known["_n"], "left").select("list", "doc", "size", "pos", F.coalesce("label", "doc").alias("label"))
-    cross = written(_cross(entries), "join-across")
+    cross = written(_cross(entries, held), "join-across")
     if not cross.isEmpty():
         links = links.unionByName(_verified(docs, _second_members(cross)))
         labels = components(links)
@@ -514,3 +537,25 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: The same by brute force, for DuckDB.
+ORACLE = r"""WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, other) AS (
+  SELECT x, y FROM edges UNION SELECT reach.doc_id, edges.y FROM reach JOIN edges ON edges.x = reach.other
+), least_of AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_sources": mixing.ORACLE, "op5_sampled_splitters": sharding.ORACLE}
+    return {"op2_mixing_sources": mixing.ORACLE, "op5_sampled_splitters": sharding.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}

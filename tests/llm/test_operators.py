@@ -3,7 +3,6 @@
 import hashlib
 import itertools
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -329,8 +328,9 @@ def test_join_of_large_groups(spark):
         rows.append((100 + k, " ".join(f"c{j}" for j in range(k * 6, k * 6 + 60))))
     for k in range(40):  # a passage in unlike documents
         rows.append((200 + k, " ".join(f"p{k}_{j}" for j in range(30)) + " " + " ".join(f"s{j}" for j in range(60))))
-    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert got == brute_components(rows)
+    df, want = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "t"), brute_components(rows)
+    for split, held in ((jaccard.SPLIT, jaccard.HELD), (5, 8)):  # the second deals even these lists over tasks
+        assert {r.doc_id: r.component_id for r in jaccard.join(df, split=split, held=held).collect()} == want
 
 
 def test_derived_answers():
@@ -399,4 +399,3 @@ def test_slices_keep_rows():
     b = pa.record_batch([pa.array(["x" * n for n in (5, 50, 1, 0, 200)] + [None])], ["t"])
     parts = list(slices(b, "t", 60))
     assert [x for p in parts for x in p.column("t").to_pylist()] == b.column("t").to_pylist() and len(parts) > 2
-    assert struct.calcsize("<Q") == 8
