@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, slices, table
+from .common import plain_text, slices, table, tidy
 from .words import gathered, segments
 
 _NONE = np.int32(2**31 - 1)
+#: Bytes of text encoded at once; its ids and their spellings take some 20 times as much.
+SLICE = 3 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,7 +40,7 @@ class SegmentTreeBPE:
     """Encoder and decoder for one table of ranks and one pattern. Remembers pieces, and forgets all of them
     once there are more than `memory`."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 200_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.size = max(ranks.values()) + 1
@@ -221,7 +223,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 starts, ids = c.encode(plain_text(b.column("text")))
                 d_at, decoded = c.decode(starts, ids)
                 t_at, text = c.decimals(starts, ids)
@@ -234,6 +236,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 if keep_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        tidy()
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_text, slices, table, written
+from .common import plain_text, slices, table, tidy, written
 from .components import components
 from .words import spaced
 
@@ -227,6 +227,7 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
                         waiting = 0
         if held:
             yield flush()
+        tidy()
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
@@ -413,6 +414,7 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
                             c.append(doc)
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+        tidy()
 
     return written(rows.select("g", "salt", "role", "doc", "against", "text").mapInArrow(run, "a long, b long"), "join-links")
 

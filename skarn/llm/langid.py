@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, plain_text, slices, table
+from .common import extended, plain_text, slices, table, tidy
 from .words import spaced
 
 DOCS_PER_LANGUAGE = 1000
@@ -116,7 +116,7 @@ class Model:
 class Scorer:
     """Applies a model, remembering the rows of words met, up to `memory` of them."""
 
-    def __init__(self, model: Model, memory: int = 400_000):
+    def __init__(self, model: Model, memory: int = 200_000):
         self.model, self.memory = model, memory
         self.index, self.rows = dict(model.words), model.word_logs
 
@@ -188,22 +188,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     return bytes(got[0][0]) if got else pickle.dumps(Model({}))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predict(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score. The model is a broadcast of bounded size."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    names, mark = df.columns, hash(model)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(pickle.loads(sent.value))
+        scorer = Scorer(pickle.loads(sent.value))  # one for each task: a worker that goes on to other stages keeps nothing
         for whole in batches:
             for b in slices(whole, text_col):
-                langs, scores = _scorers[mark].predict(plain_text(b.column(text_col)))
+                langs, scores = scorer.predict(plain_text(b.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+        del scorer
+        tidy()
 
     return df.mapInArrow(run, extended(df, "lang_pred string, score double"))
 

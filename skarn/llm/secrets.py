@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, slices, table, written
+from .common import extended, slices, table, tidy, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -56,6 +56,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
             for b in slices(whole, text_col):
                 rows = [[{"kind": k, "s": s, "e": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in find(t or "")] for t in b.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _FOUND)], [*names, "found"])
+        tidy()
 
     return df.mapInArrow(run, extended(df, "found array<struct<kind:string,s:bigint,e:bigint,hash:string>>"))
 
