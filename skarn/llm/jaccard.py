@@ -1,14 +1,15 @@
 """N-gram Jaccard join: exact components of documents whose sets of 5-word shingles overlap by 0.75 or more.
 
 Order. Shingles are 64-bit hashes. A sketch of 2**20 counters over all documents (bounded, whatever the corpus) gives a
-common order, rare first; any order gives exact results, a rare-first one few candidates. Similar sets share one of their
-first |x| - ceil(0.75 |x|) + 1 shingles.
+common order, rare first; any order gives exact results, a rare-first one few candidates. Similar sets share SHARED of their first
+|x| - ceil(0.75 |x|) + SHARED shingles.
 
 Index. Each task packs the postings (shingle, document, size, position) of its documents by bucket of the shingle; a bucket's
 lists are sorted by position, so the front of a list holds the sets with the fewest rarer shingles. List level: for a probe,
 entries are taken in blocks by position, and blocks whose position bound cannot reach the threshold are skipped.
 
-Two rounds. First every list links its front entry to the others, and short lists give all their pairs. Pairs are verified by
+Two rounds. First every long list links its front entry to the others, and short lists give all their pairs, of which those that
+share enough in all short lists stay; a pair that also meets in a long list is left to the second round. Pairs are verified by
 exact intersection and connected. Then all pairs of long lists that lie in different components are verified.
 Answer level: those of one component are highly similar, so |x & y| is derived from the answer of the component's pivot p:
 |p & y| - |(p - x) & y| + |(x - p) & y|, where only the differences are looked up, and skipped where the bound |p & y| +
@@ -43,6 +44,9 @@ GRAM = 5
 #: The threshold as a fraction.
 NUM, DEN = 3, 4
 SKETCH_BITS, CHUNKS = 20, 64
+#: Similar sets share so many (or all that the threshold asks of them, if fewer) of their first |x| - ceil(0.75 |x|) + SHARED
+#: shingles. One alone is common by chance, and such pairs grow with the square of the corpus.
+SHARED = 3
 #: Lists up to this length give all their pairs at once.
 SHORT = 16
 #: Partners of an anchor, and anchors of a component, that are verified together.
@@ -219,7 +223,7 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
                     seen.add(mark)
                     # Ascending hashes, so a stable sort by count orders by (count, hash).
                     often = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first = np.argsort(often, kind="stable")[: n - -(-NUM * n // DEN) + 1]
+                    first = np.argsort(often, kind="stable")[: n - -(-NUM * n // DEN) + SHARED]
                     held.append((own[first], doc_id, n, often[first] // split))
                     waiting += len(first)
                     if waiting >= FLUSH:
@@ -233,21 +237,29 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
 
 
 def _may(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes that meet first at these positions can reach the threshold."""
-    need = -(-NUM * (sa + sb) // (NUM + DEN))
-    return (DEN * np.minimum(sa, sb) >= NUM * np.maximum(sa, sb)) & (np.minimum(sa - pa_, sb - pb) >= need)
+    """Whether sets of these sizes can reach the threshold if at most SHARED - 1 shingles are shared before these positions."""
+    return (DEN * np.minimum(sa, sb) >= NUM * np.maximum(sa, sb)) & (np.minimum(sa - pa_, sb - pb) + SHARED - 1 >= _need(sa, sb))
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _need(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """The least intersection of similar sets of these sizes."""
+    return -(-NUM * (sa + sb) // (NUM + DEN))
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray, hits: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs with the sum of their hits."""
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, hits, need = a[order], b[order], hits[order], need[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new & (a != b)], b[new & (a != b)]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(hits, at) if len(at) else hits
+    real = a[at] != b[at]
+    return a[at][real], b[at][real], total[real], need[at][real]
 
 
-def candidates_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Of one bucket: the pairs of the first round, and the long lists as (shingle of a dealt list, documents, sizes, positions)."""
+def candidates_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[tuple[np.ndarray, ...], list]:
+    """Of one bucket: the pairs of the first round with the shingles they share and those they must, and the long lists as (shingle of a dealt list, documents, sizes, positions)."""
     order = np.lexsort((doc, pos, token))
     token, doc, size, pos = token[order], doc[order], size[order], pos[order]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
@@ -259,38 +271,42 @@ def candidates_of(token: np.ndarray, doc: np.ndarray, size: np.ndarray, pos: np.
     first = np.cumsum(length) - length
     kept = (length > SHORT) | hot
     long = np.repeat(kept, length)
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lefts, rights, hits, needs = ([np.zeros(0, np.int64)] for _ in range(4))
     for d in range(1, SHORT):
         at = np.flatnonzero((token[:-d] == token[d:]) & ~long[:-d]) if len(token) > d else []
         if not len(at):
             break
         at = at[_may(size[at], pos[at], size[at + d], pos[at + d])]
-        lefts.append(doc[at])
-        rights.append(doc[at + d])
+        lefts.append(np.minimum(doc[at], doc[at + d]))
+        rights.append(np.maximum(doc[at], doc[at + d]))
+        hits.append(np.ones(len(at), np.int64))
+        needs.append(np.minimum(SHARED, _need(size[at], size[at + d])))
     head = np.repeat(first, length)
     at = np.flatnonzero(long & (np.arange(len(token)) > head))
     at = at[_may(size[head[at]], pos[head[at]], size[at], pos[at])]
     lefts.append(doc[head[at]])
     rights.append(doc[at])
-    a, b = _distinct_pairs(np.concatenate(lefts), np.concatenate(rights))
+    hits.append(np.full(len(at), SHARED))  # the front of a long list is verified in any case
+    needs.append(np.zeros(len(at), np.int64))
+    pairs = _distinct_pairs(*(np.concatenate(x) for x in (lefts, rights, hits, needs)))
     lists = []
     for f, n, h in zip(first[kept].tolist(), length[kept].tolist(), hot[kept].tolist(), strict=True):
         lists.append((int(token[f]) if h else None, doc[f : f + n], size[f : f + n], pos[f : f + n]))
-    return a, b, lists
+    return pairs, lists
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
     """a, b: pairs of the first round; list, doc, size, pos: entries of long lists, and whether an entry leads its part of a
     dealt list. One bucket is held at a time."""
-    names = ["a", "b", "list", "doc", "size", "pos", "lead"]
+    names = ["a", "b", "hits", "need", "list", "doc", "size", "pos", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
-            a, b, lists = candidates_of(*(np.concatenate(x) for x in zip(*map(_unpack, held), strict=True)))
+            pairs, lists = candidates_of(*(np.concatenate(x) for x in zip(*map(_unpack, held), strict=True)))
             held.clear()
-            n = len(a)
+            n = len(pairs[0])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.bool_())], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, pairs), *(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.bool_())], names)
             merged: dict[int, tuple] = {}
             rows = []
             for token, doc, size, pos in lists:
@@ -303,7 +319,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
             rows += [(key, *x, np.zeros(len(x[0]), bool)) for key, x in merged.items()]
             for key, doc, size, pos, lead in rows:
                 n = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, key, np.int64)), pa.array(doc), pa.array(size), pa.array(pos), pa.array(lead)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(np.full(n, key, np.int64)), pa.array(doc), pa.array(size), pa.array(pos), pa.array(lead)], names)
 
         held, now = [], None
         for batch in batches:
@@ -315,7 +331,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return written(postings.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, list long, doc long, size long, pos long, lead boolean"), "join-candidates")
+    return written(postings.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, hits long, need long, list long, doc long, size long, pos long, lead boolean"), "join-candidates")
 
 
 # ---- verification
@@ -444,7 +460,7 @@ class ListPart:
         low, high = -(-NUM * size // DEN), DEN * size // NUM
         need = -(-NUM * (size + np.maximum(self.least, low)) // (NUM + DEN))
         out = [np.zeros(0, np.int64)]
-        for k in np.flatnonzero((self.most >= low) & (self.least <= high) & (np.minimum(self.room, size - pos) >= need)).tolist():
+        for k in np.flatnonzero((self.most >= low) & (self.least <= high) & (np.minimum(self.room, size - pos) + SHARED - 1 >= need)).tolist():
             s = slice(self.cuts[k], self.cuts[k] + BLOCK)
             good = _may(size, pos, self.size[s], self.pos[s]) & (self.label[s] != label) & ((self.label[s] == self.main) | (self.doc[s] < doc))
             out.append(np.flatnonzero(good) + self.cuts[k])
@@ -516,9 +532,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: i
 
     leads = found.where("lead").select("list", "doc", "pos")
     front = leads.groupBy("list").agg(F.min_by("doc", F.struct("pos", "doc")).alias("a"))  # leads the parts of a dealt list
-    pairs = found.where("a is not null").select("a", "b").unionByName(leads.join(front, "list").select("a", F.col("doc").alias("b")))
+    pairs = found.where("a is not null").select("a", "b", "hits", "need")
+    pairs = pairs.unionByName(leads.join(front, "list").select("a", F.col("doc").alias("b"), F.lit(SHARED).cast("long").alias("hits"), F.lit(0).cast("long").alias("need")))
     pairs = node(node(pairs, "a"), "b").where("a <> b")
-    pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a")).select("a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"), F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("a", (F.col("low") + F.col("high") - F.col("a")).alias("b"))
     # Rows of one doc_id are one node.
     same = nodes.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").join(nodes.groupBy(F.col("doc_id").alias("a")).count().where("count > 1"), "a").select("a", "b")
     links = _verified(docs, _first_members(pairs)).unionByName(same)
