@@ -17,10 +17,11 @@ def squared_distance(a: str, b: str) -> F.Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, doc_id, score = 1 - squared distance. vectors: doc_id, vector; queries: query_id, vector (a small,
-    stated set). Filters on vectors stand before this and reach the scan."""
+    """query_id, rank, doc_id, score = 1 - squared distance. vectors: doc_id, vector; queries: query_id, vector (a
+    stated set; blocks of it meet blocks of vectors where it is too large to broadcast). Filters on vectors stand before
+    this and reach the scan."""
     q = queries.select("query_id", F.col("vector").alias("q"))
-    pairs = vectors.select("doc_id", "vector").crossJoin(F.broadcast(q))
+    pairs = vectors.select("doc_id", "vector").crossJoin(q)
     return top(pairs.select("query_id", "doc_id", F.round(1 - squared_distance("vector", "q"), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 

@@ -12,7 +12,7 @@ from .scalar import _NORM, duck_tokens
 
 
 def _queries(spark, d):
-    return S.table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _TF = f"tok AS (SELECT doc_id, unnest({duck_tokens('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, len({duck_tokens('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, sum(dl) AS total, avg(dl) AS avgdl FROM dl), idf AS (SELECT term, count(*) AS df, ln(((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY term)"
@@ -91,7 +91,7 @@ def jn20(spark, d):
     return search.fuzzy(S.symbols(spark, d), _names(spark), k=1 << 30, threshold=0.5).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Query vectors are those of the first documents; the document of a vector is its id.
+# Each vector is a query too; the document of a vector is its id.
 _KNN = "sem AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(1 - list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id < 10) y) x WHERE rank <= 30)"
 
 
@@ -100,7 +100,7 @@ def _vectors(spark, d):
 
 
 def _query_vectors(spark, d):
-    return S.table(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return S.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _semantic(spark, d, k=30):
