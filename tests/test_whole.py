@@ -32,3 +32,7 @@ def check(spark, duck, name, cuts):  # noqa: F811
 @pytest.mark.parametrize("name", SEARCHES)
 def test_every_item_and_vector_is_a_query(spark, duck, name):  # noqa: F811
     check(spark, duck, name, ALL_QUERIES)
+
+
+def test_a_new_version_adds_every_file(spark, duck):  # noqa: F811
+    check(spark, duck, "inc06_version_gate", {" WHERE doc_id % 2 = 0": ""})
