@@ -36,3 +36,7 @@ def test_every_item_and_vector_is_a_query(spark, duck, name):  # noqa: F811
 
 def test_a_new_version_adds_every_file(spark, duck):  # noqa: F811
     check(spark, duck, "inc06_version_gate", {" WHERE doc_id % 2 = 0": ""})
+
+
+def test_all_postings_get_lengths(spark, duck):  # noqa: F811
+    check(spark, duck, "jn02_postings_lengths", {" WHERE tf > 3": ""})
