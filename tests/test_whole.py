@@ -54,3 +54,10 @@ def test_metrics_see_the_whole_ranking(spark, name):
     for p in glob.glob(f"{larger}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
     check(spark, con, name, {"(SELECT * FROM runs WHERE rank <= 40) r": "runs r"}, larger)
+
+
+def test_a_gap_is_no_descendant(spark, tmp_path):
+    turns = [(0, 0), (0, 1), (0, 3), (1, 0), (3, 0), (3, 1), (3, 2), (3, 3)]
+    spark.createDataFrame([(c, t, "user", "x") for c, t in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    left = QUERIES["gr07_cascade_delete"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in left) == ["0-0", "0-1", "0-3", "1-0", "3-0", "3-1"]
