@@ -5,23 +5,40 @@ comes to the driver but whether a level is empty."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(start, node, depth) of every node that each start reaches, at its least depth; starts themselves at 0."""
+#: After so many levels, the levels so far are written as one table, so plans stay short.
+TOGETHER = 16
+
+
+def _levels(max_depth: int | None) -> Iterable[int]:
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def _grown(seen: DataFrame, level: DataFrame, depth: int, what: str) -> DataFrame:
+    both = seen.unionByName(level)
+    return both if depth % TOGETHER else written(both, what)
+
+
+def closure(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, depth) of every node that each start reaches, at its least depth; starts themselves at 0. Without
+    max_depth, until a level is empty."""
     e = edges.select("src", "dst").distinct()
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     level = seen = written(seen, "closure")
-    for depth in range(1, max_depth + 1):
+    for depth in _levels(max_depth):
         nxt = level.join(e, level.node == e.src).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         level = written(nxt.withColumn("depth", F.lit(depth)), "closure")
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = _grown(seen, level, depth, "closure")
     return seen
 
 
@@ -55,31 +72,31 @@ def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
     return found if found is not None else e.select(F.array("src").alias("path")).where("false")
 
 
-def shortest_paths(edges: DataFrame, start: str, max_depth: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
     """(node, path) of each node that start reaches: the shortest path, the least of several by its nodes."""
     e = edges.select("src", "dst").distinct()
     first = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"))
     level = seen = written(first, "paths")
-    for _ in range(max_depth):
+    for depth in _levels(max_depth):
         nxt = level.join(e, level.node == e.src).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         nxt = nxt.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
         level = written(nxt, "paths")
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = _grown(seen, level, depth, "paths")
     return seen
 
 
-def tree(tasks: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, depth, path) from the roots down; tasks whose parent is missing vanish."""
+def tree(tasks: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, depth, path) from the roots down; tasks whose parent is missing vanish, and a path never comes back to a task."""
     level = out = written(tasks.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path")), "tree")
     child = tasks.where("parent_id is not null").select(F.col("id").alias("c"), "parent_id")
-    for depth in range(1, max_depth + 1):
-        nxt = level.join(child, level.id == child.parent_id).select(F.col("c").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("c")).alias("path"))
+    for depth in _levels(max_depth):
+        nxt = level.join(child, level.id == child.parent_id).where(~F.array_contains("path", F.col("c"))).select(F.col("c").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("c")).alias("path"))
         level = written(nxt, "tree")
         if level.isEmpty():
             break
-        out = out.unionByName(level)
+        out = _grown(out, level, depth, "tree")
     return out
 
 

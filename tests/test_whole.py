@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from skarn.operators import graph, security
 from skarn.plans import ORACLES, QUERIES
 
 from .test_oracles import DIR, duck  # noqa: F401
@@ -61,3 +62,24 @@ def test_a_gap_is_no_descendant(spark, tmp_path):
     spark.createDataFrame([(c, t, "user", "x") for c, t in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     left = QUERIES["gr07_cascade_delete"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in left) == ["0-0", "0-1", "0-3", "1-0", "3-0", "3-1"]
+
+
+def test_no_depth_is_too_deep(spark):
+    n = 53
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(n)], "src string, dst string")
+    start = spark.createDataFrame([("000",)], "node string")
+    assert graph.closure(chain, start, 9).count() == 10
+    assert graph.in_cycle(chain, f"{n:03}", "000")
+    assert graph.shortest_paths(chain, "000").count() == n + 1
+    inherits = chain.select(chain.src.alias("role"), chain.dst.alias("parent"))
+    assert security.role_closure(inherits, spark.createDataFrame([("000",)], "role string")).count() == n + 1
+    tasks = chain.select(chain.dst.alias("id"), chain.src.alias("parent_id"))
+    tasks = tasks.unionByName(spark.createDataFrame([("000", None)], "id string, parent_id string"))
+    assert graph.cascade_delete(tasks, start.withColumnRenamed("node", "id")).count() == 0
+
+
+def test_a_tree_is_whole_and_ends(spark):
+    n = 103
+    rows = [("000", None), *((f"{i + 1:03}", f"{i:03}") for i in range(n)), ("000", "005")]
+    found = graph.tree(spark.createDataFrame(rows, "id string, parent_id string")).collect()
+    assert sorted((r.id, r.depth) for r in found) == [(f"{i:03}", i) for i in range(n + 1)]
