@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, written
 
 #: Samples in a row of a stored payload.
 WIDTH = 64
@@ -190,5 +190,8 @@ def features(media: DataFrame, side: int = 16) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features(to_media(table(spark, sf_dir, "documents")))
-    return found.withColumnRenamed("id", "doc_id").drop("tile")
+    media = written(to_media(table(spark, sf_dir, "documents")), "media")
+    found = written(features(media), "media-tiles")
+    # The tile's digest is taken of the tile that was read back.
+    feature = F.concat_ws(":", F.substring_index("feature", ":", 1), F.substring(F.sha2("tile", 256), 1, 16))
+    return found.withColumn("feature", feature).withColumnRenamed("id", "doc_id").drop("tile")

@@ -1,0 +1,25 @@
+"""Operators do the whole of their method."""
+
+import io
+
+import numpy as np
+
+from skarn.llm import media
+from skarn.llm.common import table
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_media_and_tiles_are_stored_and_read(spark, monkeypatch):
+    stored = {}
+    keep = media.written if hasattr(media, "written") else None
+    monkeypatch.setattr(media, "written", lambda df, what: stored.setdefault(what, keep(df, what)), raising=False)
+    got = media.op7_media_columns(spark, DIR)
+    docs = table(spark, DIR, "documents")
+    n = docs.count()
+    assert set(stored) == {"media", "media-tiles"} and all(x.count() == n and x.inputFiles() for x in stored.values())
+    assert set(got.inputFiles()) == set(stored["media-tiles"].inputFiles())
+    tile = stored["media-tiles"].first().tile
+    assert np.load(io.BytesIO(tile)).shape == (16, 16)
+    direct = media.features(media.to_media(docs)).withColumnRenamed("id", "doc_id").drop("tile")
+    assert got.columns == direct.columns and got.exceptAll(direct).isEmpty() and direct.exceptAll(got).isEmpty()
