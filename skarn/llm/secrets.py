@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every base finding stays a finding. Over the whole corpus each candidate's hash is counted by distinct repositories and
-distinct owners: a value that many owners carry is a copied example, one that few owners carry looks like a live
-credential. The method adds spans of provider-format tokens that look live.
+distinct owners: a value that many owners carry, or that some owners carry in many repositories, is a copied example;
+others, and all of one owner alone, look like a live credential. The method adds spans of provider-format tokens that look live.
 
 Defined cases: a null text reads as empty; an unknown (null) owner or repository counts as one owner or repository of its
 own; equal rows count once; an empty table gives an empty result; further columns are carried by `redact`, ignored elsewhere.
@@ -29,6 +29,8 @@ KINDS = ("assign", "access", "hex", "provider")
 PROVIDER = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|-----BEGIN [A-Z ]*PRIVATE KEY-----")
 #: From so many distinct owners on, a value is a copied example.
 COPIED_OWNERS = 5
+#: From so many distinct repositories on, a value that is not of one owner alone is a copied example too.
+COPIED_REPOS = 20
 
 
 def find(text: str) -> list[tuple[str, int, int, str]]:
@@ -71,7 +73,7 @@ def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
     return repos.join(owners, "hash")
 
 
-def classified(scanned: DataFrame, repo: str, owner: str, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def classified(scanned: DataFrame, repo: str, owner: str, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """scanned (a written table) with `spans`: array of (kind, s, e, live), provider spans only where they look live.
     Rows without candidates take no part in the join. The counts are attached to each distinct list of candidate hashes,
     so repeated documents are joined once."""
@@ -80,7 +82,8 @@ def classified(scanned: DataFrame, repo: str, owner: str, copied_owners: int = C
     counts = ownership(some, repo, owner)
     lists = some.select("_list", F.col("found.hash").alias("hashes")).dropDuplicates(["_list"])
     one = lists.select("_list", F.explode(F.array_distinct("hashes")).alias("hash"))
-    known = one.join(counts, "hash").groupBy("_list").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.col("n_owners") < copied_owners))).alias("_live"))
+    live = (F.col("n_owners") < copied_owners) & ((F.col("n_owners") == 1) | (F.col("n_repos") < copied_repos))
+    known = one.join(counts, "hash").groupBy("_list").agg(F.map_from_entries(F.collect_list(F.struct("hash", live))).alias("_live"))
     spans = F.transform("found", lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e"), F.element_at("_live", x.hash).alias("live")))
     spans = F.filter(spans, lambda x: (x.kind != "provider") | x.live)
     empty = F.array().cast("array<struct<kind:string,s:bigint,e:bigint,live:boolean>>")

@@ -4,10 +4,11 @@ import io
 
 import numpy as np
 
-from skarn.llm import media
-from skarn.llm.common import table
+from skarn.llm import media, secrets
+from skarn.llm.common import table, written
 
 DIR = "/root/testdata/sf0.001"
+REPOS = 20
 
 
 def test_media_and_tiles_are_stored_and_read(spark, monkeypatch):
@@ -23,3 +24,13 @@ def test_media_and_tiles_are_stored_and_read(spark, monkeypatch):
     assert np.load(io.BytesIO(tile)).shape == (16, 16)
     direct = media.features(media.to_media(docs)).withColumnRenamed("id", "doc_id").drop("tile")
     assert got.columns == direct.columns and got.exceptAll(direct).isEmpty() and direct.exceptAll(got).isEmpty()
+
+
+def test_repositories_count_beside_owners(spark):
+    key = {k: f"token = {k}-of-some-owners" for k in ("many", "few", "own")}
+    rows = [(i, key["many"], f"o{i % 2}") for i in range(REPOS)]
+    rows += [(100 + i, key["few"], f"o{i % 2}") for i in range(REPOS - 1)]
+    rows += [(200 + i, key["own"], "o1") for i in range(REPOS + 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.classified(written(secrets.scan(df), "t"), "doc_id", "source").collect()
+    assert {(r.text, x.live) for r in got for x in r.spans} == {(key["many"], False), (key["few"], True), (key["own"], True)}
