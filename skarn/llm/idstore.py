@@ -4,9 +4,10 @@ File format: magic, sha256 of the dictionary, the frames end to end, then the in
 counts) as little-endian arrays and a fixed tail with the number of documents and where the index starts. A document is
 read by its index entry alone. Ids are unsigned 16-bit where the vocabulary allows, else 32-bit.
 
-Documents stand in ascending doc_id order over all files (nulls last). Each task writes its range under a name of its own
+Documents stand in ascending doc_id order over all files (nulls last; rows of one doc_id by the hash of their text). Each task writes its range under a name of its own
 and reports it; only reported files are read, so a repeated or lost task does no harm.
 
+Ids are those of the library as it stands: an added token's string in a text (`<|endoftext|>`) is that token.
 Defined cases: a null text has only the end id; repeated rows are stored each; an empty table gives an empty result; too
 few samples to train on give a raw-content dictionary. Further columns are ignored.
 """
@@ -14,6 +15,7 @@ few samples to train on give a raw-content dictionary. Further columns are ignor
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -22,12 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import opened, plain_text, scratch, slices, table, written
-from .words import gathered, segments
+from .common import opened, plain_text, scratch, slices, table, tidy, written
+from .words import coded_segments, gathered
 
 MAGIC = b"SKID\x01\0\0\0"
 _TAIL = struct.Struct("<QQQ8s")  # documents, index start, bytes an id, magic
@@ -35,17 +39,23 @@ END_ID = 0
 #: Documents sampled (as an expectation) to train the dictionary, and its size.
 TRAIN_DOCS, DICT_BYTES = 2000, 64 << 10
 LEVEL = 3
+#: Segments encoded as one text.
+RUN = 200
 
 
 class Encoder:
-    """A tokenizers file, applied to each distinct segment once. Many segments are encoded as one text: each of them starts
-    with its only space, so the tokens that start with a space show where the segments begin."""
+    """A tokenizers file, as the library applies it, run on each distinct segment once. Many segments are encoded as one
+    text: each of them starts with its only space, so the tokens that start with a space show where the segments begin.
 
-    def __init__(self, path: str, memory: int = 400_000):
+    The segments met so far are an Arrow dictionary, to which a slice's own dictionary is unified; it is forgotten once it
+    has more than `memory` entries."""
+
+    def __init__(self, path: str, memory: int = 1_500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.head = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.head[i] = token.startswith("Ġ")
@@ -54,58 +64,55 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.starts, self.values = {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _many(self, new: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(lengths, ids) in runs over `new`."""
-        out, run = [], []
-
-        def close() -> None:
-            if not run:
-                return
-            ids = self._ids("".join(run))
-            cuts = np.flatnonzero(self.head[ids])
+        self.known, self.starts, self.values = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids end to end) of segments."""
+        texts = new.to_pylist()
+        # What starts with its only space and holds more than white space may stand in one text with others of its kind.
+        alone = pc.invert(pc.and_(pc.starts_with(new, " "), pc.and_(pc.equal(pc.count_substring(new, " "), 1), pc.invert(pc.utf8_is_space(new))))).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            alone |= pc.match_substring(new, token).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(alone).tolist()
+        runs = [r for r in np.split(np.flatnonzero(~alone), range(RUN, len(new), RUN)) if len(r)]
+        lengths, parts = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)] * len(new)
+        order, ids = [], []
+        for run, got in zip(runs, self._ids(["".join([texts[i] for i in r]) for r in runs]), strict=True):
+            cuts = np.flatnonzero(self.head[got])
             if len(cuts) == len(run) and cuts[0] == 0:
-                out.append((np.diff(np.append(cuts, len(ids))), ids))
-            else:
-                each = [self._ids(t) for t in run]
-                out.append((np.array([len(x) for x in each]), np.concatenate(each)))
-            run.clear()
-
-        for t in new:
-            if t[:1] == " " and t.count(" ") == 1 and not t.isspace():
-                run.append(t)
-                if len(run) >= 20_000:
-                    close()
+                lengths[run] = np.diff(np.append(cuts, len(got)))
+                order.append(run)
+                ids.append(got)
             else:
-                close()
-                ids = self._ids(t)
-                out.append((np.array([len(ids)]), ids))
-        close()
-        return out
+                own += run.tolist()
+        for i, got in zip(own, self._ids([texts[i] for i in own]), strict=True):
+            lengths[i] = len(got)
+            ids.append(got)
+        order = np.concatenate([*order, np.array(own, np.int64)]) if order or own else np.zeros(0, np.int64)
+        starts, flat = np.concatenate([[0], np.cumsum(lengths[order])]), np.concatenate([np.zeros(0, np.uint32), *ids])
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(order))
+        return lengths, gathered(starts, flat, place)[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids) of a large_string array: ids of all texts end to end."""
         if len(self.known) > self.memory:
             self._forget()
-        words, known, new = segments(texts), self.known, []
-        place = np.empty(len(words.distinct), np.int64)
-        for i, t in enumerate(words.distinct):
-            at = known.get(t)
-            if at is None:
-                at = known[t] = len(known)
-                new.append(t)
-            place[i] = at
-        if new:
-            runs = self._many(new)
-            lengths = np.concatenate([x for x, _ in runs])
+        coded, offsets = coded_segments(texts, self.added)
+        empty = pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), self.known)
+        both = pa.chunked_array([empty, coded]).unify_dictionaries()
+        coded = both.chunk(both.num_chunks - 1)
+        new = coded.dictionary.slice(len(self.known)) if len(coded) else self.known.slice(0, 0)
+        if len(new):
+            lengths, ids = self._many(new)
+            self.known = coded.dictionary
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.values = np.concatenate([self.values, *(x for _, x in runs)])
-        ids, lengths = gathered(self.starts, self.values, place[words.index])
-        return np.concatenate([[0], np.cumsum(lengths)])[words.offsets], ids
+            self.values = np.concatenate([self.values, ids])
+        ids, lengths = gathered(self.starts, self.values, coded.indices.to_numpy(zero_copy_only=False))
+        return np.concatenate([[0], np.cumsum(lengths)])[offsets], ids
 
 
 @lru_cache(maxsize=2)
@@ -127,10 +134,9 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def fit_dictionary(df: DataFrame, tokenizer: str, id_col: str, text_col: str, docs: int = TRAIN_DOCS) -> bytes:
-    """Trained in one executor task on about `docs` documents, chosen by the hash of their id."""
+    """Trained in one executor task on about `docs` documents, drawn by row, so that a repeated id or text draws no more."""
     n = max(1, df.count())
-    share = min(2**63 - 1, int(2**63 * min(1.0, docs / n)))
-    chosen = df.where((F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 1) < share) & F.col(text_col).isNotNull())
+    chosen = df.where((F.rand(11) < docs / n) & F.col(text_col).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, samples = encoder(tokenizer), []
@@ -206,30 +212,35 @@ class Reader:
 
 
 def write_ids(df: DataFrame, tokenizer: str, folder: str, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and stores all texts in ascending id order; the written table of files: path, first, docs, tokens."""
+    """Encodes and stores all texts in ascending id order; the written table of files: part (their order), path, docs, tokens.
+
+    Ranges are cut by id, then text, then row, so rows of one id (or of none) are many ranges where they are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, out, first = encoder(tokenizer), None, None
+        e, out, end = encoder(tokenizer), None, np.full(1, END_ID, np.uint32)
         for whole in batches:
             for b in slices(whole, "text"):
                 starts, ids = e.encode(plain_text(b.column("text")))
                 for i, doc_id in enumerate(b.column("id").to_pylist()):
                     if out is None:
-                        out, first = Writer(folder, dictionary, e.wide), doc_id
-                    out.add(doc_id, np.append(ids[starts[i] : starts[i + 1]], np.uint32(END_ID)))
+                        out = Writer(folder, dictionary, e.wide)
+                    out.add(doc_id, np.concatenate([ids[starts[i] : starts[i + 1]], end]))
         if out is not None:
             path, docs, tokens = out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], ["path", "first", "docs", "tokens"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], ["part", "path", "docs", "tokens"])
+        tidy()
 
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = F.col("id").asc_nulls_last()
-    return written(src.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, "path string, first long, docs long, tokens long"), "id-files")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("text"), F.col("row")]
+    ranged = src.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    return written(ranged.mapInArrow(run, "part long, path string, docs long, tokens long"), "id-files")
 
 
 def read_ids(files: DataFrame, dictionary: bytes) -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every stored document, from the files."""
     # One row a file: what stands before each is a running sum over this small table.
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy(F.col("first").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Where a split at single spaces could part what one pattern match holds: white space before a space.
 _RUNS = re.compile(r"\s ")
+#: The same for Arrow, whose \s is ASCII only.
+_ARROW_RUNS = r"[\t-\r\x1c-\x20\x{85}\pZ] "
 
 
 @dataclass
@@ -79,6 +81,34 @@ def segments(texts: pa.Array) -> Words:
     return Words(distinct + whole, np.concatenate(pieces), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
 
 
+def coded_segments(texts: pa.Array, whole: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The segments of all texts end to end as one dictionary array, and each text's first place. A text that holds one of
+    the strings `whole` is one segment too. All of it is done by Arrow."""
+    odd = pc.match_substring_regex(texts, _ARROW_RUNS)
+    for token in whole:
+        odd = pc.or_(odd, pc.match_substring(texts, token))
+    odd = odd.to_numpy(zero_copy_only=False)
+    parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    cut, counts = parts.flatten(), np.ones(len(texts), np.int64)
+    counts[~odd] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    first = np.zeros(len(cut), bool)
+    lengths = counts[~odd]
+    first[np.cumsum(lengths) - lengths] = True
+    spaced_ = pc.binary_join_element_wise(pc.if_else(pa.array(first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), cut, pa.scalar("", pa.large_string()))
+    if odd.any():
+        from_whole = np.repeat(odd, counts)
+        place = np.empty(len(from_whole), np.int64)
+        place[~from_whole] = np.arange(len(cut))
+        place[from_whole] = len(cut) + np.arange(int(odd.sum()))
+        spaced_ = pa.concat_arrays([_one(spaced_), _one(texts.filter(pa.array(odd)))]).take(pa.array(place))
+    return _one(spaced_).dictionary_encode(), starts
+
+
+def _one(x: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+
+
 def gathered(starts: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists values[starts[i]:starts[i + 1]] for each i of index, end to end; and the length of each."""
     lengths = (starts[1:] - starts[:-1])[index]

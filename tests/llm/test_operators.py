@@ -119,7 +119,6 @@ def test_mix_nothing(empty):
 def test_token_ids(spark, docs, tmp_path):
     path = public.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     d = idstore.fit_dictionary(docs, path, "doc_id", "text")
     got = idstore.read_ids(idstore.write_ids(docs, path, f"file://{tmp_path}", d), d).collect()
     want, start = [], 0
@@ -130,6 +129,38 @@ def test_token_ids(spark, docs, tmp_path):
     assert by_id(got) == by_id(want)
 
 
+@given(st.lists(st.text(alphabet="ab c'\n\t\u3000\x1c\x85éß漢🙂0A.", max_size=40) | st.sampled_from(["hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext|>b\n c"]), min_size=1, max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_ids_are_the_librarys(batch):
+    path = public.path("byte_bpe_50k.json")
+    theirs, ours = Tokenizer.from_file(path), idstore.encoder(path)
+    starts, ids = ours.encode(pa.array(batch, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(starts)] == [theirs.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_ids_when_the_memory_is_full():
+    path = public.path("byte_bpe_50k.json")
+    small, theirs = idstore.Encoder(path, memory=5), Tokenizer.from_file(path)
+    for seed in range(4):
+        batch = [prose(30, seed), "", "x" * 20_000, prose(5, seed) + "\n  y"]
+        starts, ids = small.encode(pa.array(batch, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(starts)] == [theirs.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_token_ids_of_one_hot_id(spark, tmp_path):
+    path = public.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(7 if i % 3 else i, "same text" if i % 2 else f"text {i}") for i in range(600)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = idstore.write_ids(df, path, f"file://{tmp_path}", b"")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.where("docs > 300").isEmpty()  # one id's rows are not one file
+    got = idstore.read_ids(files, b"").orderBy("start").collect()
+    assert [r.id for r in got] == sorted(r.id for r in got) and len(got) == 600
+    assert all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(got))
+
+
 def test_token_ids_of_nothing(empty, tmp_path):
     path = public.path("byte_bpe_50k.json")
     d = idstore.fit_dictionary(empty, path, "doc_id", "text")
