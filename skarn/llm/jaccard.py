@@ -1,6 +1,6 @@
 """N-gram Jaccard join: exact components of documents whose sets of 5-word shingles overlap by 0.75 or more.
 
-Order. Shingles are 64-bit hashes. A sketch of 2**20 counters over all documents (bounded, whatever the corpus) gives a
+Order. Shingles are 64-bit hashes. A sketch of 2**20 to 2**24 counters over all documents (by their number) gives a
 common order, rare first; any order gives exact results, a rare-first one few candidates. Similar sets share SHARED of their first
 |x| - ceil(0.75 |x|) + SHARED shingles.
 
@@ -10,7 +10,11 @@ entries are taken in blocks by position, and blocks whose position bound cannot
 
 Two rounds. First every long list links its front entry to the others, and short lists give all their pairs, of which those that
 share enough in all short lists stay; a pair that also meets in a long list is left to the second round. Pairs are verified by
-exact intersection and connected. Then all pairs of long lists that lie in different components are verified.
+exact intersection and connected. Then pairs of long lists that lie in different components are looked at: each entry carries
+a parity bitmap of its set, and the bits in which two bitmaps differ are no more than the sets' difference, so most pairs that
+are no links end there, inside the task, and make no row. First each part of a list gives a forest of its closest pairs, at most
+one row an entry, however many of a group are alike; these are verified and connected. What still lies in different components
+and passes the bitmaps, all of it near the threshold, is verified then.
 Answer level: those of one component are highly similar, so |x & y| is derived from the answer of the component's pivot p:
 |p & y| - |(p - x) & y| + |(x - p) & y|, where only the differences are looked up, and skipped where the bound |p & y| +
 |x - p| is too small.
@@ -26,6 +30,7 @@ and link nothing; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +48,8 @@ from .words import spaced
 GRAM = 5
 #: The threshold as a fraction.
 NUM, DEN = 3, 4
-SKETCH_BITS, CHUNKS = 20, 64
+#: Counters of the sketch, as powers of two: four for each document within these bounds. They are sent in CHUNKS parts.
+SKETCH_BITS, CHUNKS = (20, 24), 64
 #: Similar sets share so many (or all that the threshold asks of them, if fewer) of their first |x| - ceil(0.75 |x|) + SHARED
 #: shingles. One alone is common by chance, and such pairs grow with the square of the corpus.
 SHARED = 3
@@ -54,11 +60,14 @@ MEMBERS, ANCHORS = 512, 32
 #: Postings that a task packs at once.
 FLUSH = 2_000_000
 BLOCK = 256
-BLOOM_BITS = 1 << 23
+#: Bits of the filter of document ids, sixteen for each within these bounds.
+BLOOM_BITS = (1 << 20, 1 << 28)
+#: Bits of a set's bitmap, four for each shingle within these bounds. Wider ones let fewer pairs through to verification.
+PARITY_BITS = (64, 1 << 15)
 #: Bits of a shingle's hash that a posting keeps besides its bucket. Fewer would only add pairs that verification rejects.
 KEPT_BITS = 40
 _KEPT = np.uint64((1 << KEPT_BITS) - 1)
-#: The highest bit kept tells a shingle whose counter exceeds SPLIT. Its postings are dealt over buckets by document.
+#: The highest bit kept tells a shingle whose counter exceeds twice the mean counter by SPLIT. Its postings are dealt over buckets by document.
 _HOT = np.uint64(1 << (KEPT_BITS - 1))
 SPLIT = 100_000
 #: Entries of a list that probes meet in one task.
@@ -116,19 +125,45 @@ def similar(na: int, nb: int, both: int) -> bool:
     return DEN * both >= NUM * (na + nb - both)
 
 
+def _power(n: int, bounds: tuple[int, int]) -> int:
+    """The power of two from n on, within bounds."""
+    return min(bounds[1], max(bounds[0], 1 << max(0, n - 1).bit_length()))
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: each shingle flips the bit of its hash."""
+    width = _power(4 * len(own), PARITY_BITS)
+    bits = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little")
+
+
+def _folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (bytes, along the last axis) brought to `width` bytes: those that the shorter hash would have given."""
+    while bitmaps.shape[-1] > width:
+        half = bitmaps.shape[-1] // 2
+        bitmaps = bitmaps[..., :half] ^ bitmaps[..., half:]
+    return bitmaps
+
+
+def differing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """How many bits differ: never more than the size of the sets' symmetric difference."""
+    width = min(one.shape[-1], many.shape[-1])
+    return np.bitwise_count(_folded(many, width) ^ _folded(one, width)).sum(-1, dtype=np.int64)
+
+
 # ---- passes over the texts
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, print (of the set); and for each task CHUNKS parts of its counters."""
+def _profiles(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, n, print (of the set); and for each task CHUNKS parts of its 2**bits counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counters = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "print", "chunk", "counts"]
         for whole in batches:
             for b in slices(whole, "text"):
                 starts, sets = shingle_sets(plain_text(b.column("text")))
-                counters += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                counters += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 prints = [xxhash.xxh3_128_digest(sets[s:e].tobytes()) if e > s else None for s, e in zip(starts[:-1], starts[1:], strict=True)]
                 m = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts)), pa.array(prints, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
@@ -139,8 +174,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "doc_id long, n long, print binary, chunk int, counts binary"), "join-profiles")
 
 
-def _order(profiles: DataFrame) -> np.ndarray:
-    """The summed counters: 2**SKETCH_BITS numbers, whatever the corpus."""
+def _order(profiles: DataFrame, bits: int) -> np.ndarray:
+    """The summed counters: 2**bits numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -152,8 +187,8 @@ def _order(profiles: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    parts = profiles.where("chunk is not null").select("chunk", "counts").repartition(8, "chunk").mapInArrow(run, "chunk int, counts binary").collect()
-    out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint64)
+    parts = profiles.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary").collect()
+    out = np.zeros((CHUNKS, (1 << bits) // CHUNKS), np.uint64)
     for k, x in parts:
         out[k] += np.frombuffer(x, np.uint64)
     return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
@@ -192,6 +227,7 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
+        shift, noise = np.uint64(64 - (len(counts).bit_length() - 1)), 2 * int(counts.mean())
         held: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         waiting = 0
 
@@ -222,9 +258,9 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
                         continue
                     seen.add(mark)
                     # Ascending hashes, so a stable sort by count orders by (count, hash).
-                    often = counts[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    often = counts[(own >> shift).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[: n - -(-NUM * n // DEN) + SHARED]
-                    held.append((own[first], doc_id, n, often[first] // split))
+                    held.append((own[first], doc_id, n, np.maximum(often[first].astype(np.int64) - noise, 0) // split))
                     waiting += len(first)
                     if waiting >= FLUSH:
                         yield flush()
@@ -337,23 +373,25 @@ def _candidates(postings: DataFrame) -> DataFrame:
 # ---- verification
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (_mixed(ids.astype(np.int64).view(np.uint64) * _MULT) % np.uint64(BLOOM_BITS)).astype(np.int64)
+def _places(ids: np.ndarray, size: int) -> np.ndarray:
+    return (_mixed(ids.astype(np.int64).view(np.uint64) * _MULT) % np.uint64(size)).astype(np.int64)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes: BLOOM_BITS, whatever their number; full bits only filter less."""
+    """Bits of the ids' hashes, eight to a byte. Beyond the upper bound of BLOOM_BITS they filter less; results stay."""
+    ids = written(ids.distinct(), "join-ids")
+    size = _power(16 * ids.count(), BLOOM_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[_places(b.column("doc").to_numpy())] = True
+            bits[_places(b.column("doc").to_numpy(), size)] = True
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for (x,) in ids.distinct().repartition(4).mapInArrow(run, "bits binary").collect():
+    out = np.zeros(size // 8, np.uint8)
+    for (x,) in ids.repartition(4).mapInArrow(run, "bits binary").collect():
         out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(x)), np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -363,11 +401,25 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(sent.value[_places(b.column("doc").to_numpy())]))
+            at = _places(b.column("doc").to_numpy(), 8 * len(sent.value))
+            yield b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0))
 
     return docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, "doc long, text string")
 
 
+def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc, bits (its bitmap) of the documents among the ids, or more. Made again where a doc_id has several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                starts, sets = shingle_sets(plain_text(b.column("text")))
+                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([parity(sets[s:e]).tobytes() for s, e in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "bits"])
+        tidy()
+
+    return _texts(docs, ids).mapInArrow(run, "doc long, bits binary")
+
+
 class _Group:
     """Anchors of one group, held; partners are streamed past them."""
 
@@ -445,37 +497,84 @@ def _first_members(pairs: DataFrame) -> DataFrame:
 
 
 class ListPart:
-    """Entries of one list that probes meet, in blocks by position; a block is skipped where no position or size in it can do."""
+    """Entries of one list that probes meet, in blocks by position; a block is skipped where no position or size in it can do.
+    With `forest`, components that a pair was given for count as one from then on."""
 
-    def __init__(self, doc: np.ndarray, size: np.ndarray, pos: np.ndarray, label: np.ndarray, main: int):
+    def __init__(self, doc: list[int], size: list[int], pos: list[int], label: list[int], bits: list[bytes | None], main: int, forest: bool):
         order = np.lexsort((doc, pos))
-        self.doc, self.size, self.pos, self.label, self.main = doc[order], size[order], pos[order], label[order], main
+        self.doc, self.size, self.pos, self.label = (np.array(x, np.int64)[order] for x in (doc, size, pos, label))
+        self.main, self.forest = main, forest
+        self.now, self.joined = self.label.copy(), {}
         self.cuts = np.arange(0, len(doc), BLOCK)
         self.room = np.maximum.reduceat(self.size - self.pos, self.cuts)
         self.least, self.most = np.minimum.reduceat(self.size, self.cuts), np.maximum.reduceat(self.size, self.cuts)
-
-    def partners(self, doc: int, size: int, pos: int, label: int) -> np.ndarray:
+        # Bitmaps by width; 0 where there is none.
+        bits = [bits[i] or b"" for i in order.tolist()]
+        self.width = np.array([len(x) for x in bits])
+        self.row, self.maps = np.zeros(len(bits), np.int64), {}
+        for w in set(self.width.tolist()) - {0}:
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.maps[w] = np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint8).reshape(len(at), w)
+
+    def partners(self, doc: int, size: int, pos: int, label: int, bits: bytes | None = None) -> np.ndarray:
         """Places of the entries of other components that may reach the threshold with the probe. Of two entries outside the
         largest component, the one with the larger id probes."""
+        label = self._find(label)
         low, high = -(-NUM * size // DEN), DEN * size // NUM
         need = -(-NUM * (size + np.maximum(self.least, low)) // (NUM + DEN))
         out = [np.zeros(0, np.int64)]
         for k in np.flatnonzero((self.most >= low) & (self.least <= high) & (np.minimum(self.room, size - pos) + SHARED - 1 >= need)).tolist():
             s = slice(self.cuts[k], self.cuts[k] + BLOCK)
-            good = _may(size, pos, self.size[s], self.pos[s]) & (self.label[s] != label) & ((self.label[s] == self.main) | (self.doc[s] < doc))
+            good = _may(size, pos, self.size[s], self.pos[s]) & (self.now[s] != label) & ((self.label[s] == self.main) | (self.doc[s] < doc))
             out.append(np.flatnonzero(good) + self.cuts[k])
-        return np.concatenate(out)
-
+        at = np.concatenate(out)
+        far = self._differing(at, bits)
+        # Similar sets differ in at most |x| + |y| - 2 need shingles.
+        good = far <= size + self.size[at] - 2 * _need(size, self.size[at])
+        return self._closest(at[good], far[good], label) if self.forest else at[good]
+
+    def _differing(self, at: np.ndarray, bits: bytes | None) -> np.ndarray:
+        out = np.zeros(len(at), np.int64)
+        if bits:
+            one, widths = np.frombuffer(bits, np.uint8), self.width[at]
+            for w in set(widths.tolist()) - {0}:
+                some = widths == w
+                out[some] = differing(one, self.maps[w][self.row[at[some]]])
+        return out
 
-def _cross(entries: DataFrame, held: int = HELD) -> DataFrame:
-    """Distinct (probe y, partner x, component g of x) over all long lists. entries: list, doc (a node), size, pos, label.
+    def _find(self, label: int) -> int:
+        while label in self.joined:
+            label = self.joined[label]
+        return label
 
-    A list is dealt over parts of about `held` entries; entries outside its largest component probe every part."""
+    def _closest(self, at: np.ndarray, far: np.ndarray, label: int) -> np.ndarray:
+        """The closest entry of each component, which becomes one with the probe's."""
+        out = []
+        while len(at):
+            k = at[np.argmin(far)]
+            out.append(k)
+            other = self.now[k]
+            self.joined[int(other)] = label
+            self.now[self.now == other] = label
+            left = self.now[at] != label
+            at, far = at[left], far[left]
+        return np.array(out, np.int64)
+
+
+def _mixed_lists(entries: DataFrame, held: int) -> DataFrame:
+    """The entries of lists of more than one component, with the list's largest component and number of parts."""
     counts = entries.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("list").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    e = written(entries.join(mixed.select("list", "main", F.ceil(F.col("n") / held).alias("parts")), "list"), "join-mixed")
-    own = e.select("list", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(0).alias("role"), "doc", "size", "pos", "label", "main")
-    probes = e.where("label <> main").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "size", "pos", "label", "main")
+    return entries.join(mixed.select("list", "main", F.ceil(F.col("n") / held).alias("parts")), "list")
+
+
+def _cross(e: DataFrame, forest: bool) -> DataFrame:
+    """Distinct (probe y, partner x, component g of x) over all long lists. e: list, doc (a node), size, pos, label, bits, main, parts.
+
+    A list is dealt over its parts; entries outside its largest component probe every part."""
+    own = e.select("list", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.lit(0).alias("role"), "doc", "size", "pos", "label", "bits", "main")
+    probes = e.where("label <> main").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "size", "pos", "label", "bits", "main")
     names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,19 +585,21 @@ def _cross(entries: DataFrame, held: int = HELD) -> DataFrame:
                 if row[:2] != now:
                     now, waiting, part = row[:2], [], None
                 if row[2] == 0:
-                    waiting.append(row[3:7])
+                    waiting.append(row[3:8])
                     continue
                 if part is None:
-                    part = ListPart(*(np.array(c, np.int64) for c in zip(*waiting, strict=True)), row[7]) if waiting else False
+                    part = ListPart(*zip(*waiting, strict=True), row[8], forest) if waiting else False
                 if part:
-                    at = part.partners(*row[3:7])
+                    at = part.partners(*row[3:8])
                     y.append(np.full(len(at), row[3], np.int64))
                     x.append(part.doc[at])
                     g.append(part.label[at])
             if y:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (y, x, g)], ["y", "x", "g"])
+        tidy()
 
-    both = own.unionByName(probes).repartition("list", "part").sortWithinPartitions("list", "part", "role")
+    # Within a part by role, so that the entries stand before the probes.
+    both = own.unionByName(probes).repartition("list", "part").sortWithinPartitions("list", "part", "role", "doc")
     return both.mapInArrow(run, "y long, x long, g long").distinct()
 
 
@@ -518,13 +619,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: i
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profiles = _profiles(docs)
+    bits = _power(4 * docs.count(), (1 << SKETCH_BITS[0], 1 << SKETCH_BITS[1])).bit_length() - 1
+    profiles = _profiles(docs, bits)
     sizes = profiles.where("chunk is null").select("doc_id", "n", "print")
     reps = sizes.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     # A node's rows: where one doc_id has several sets, the least of their nodes.
     nodes = written(sizes.where("n > 0 and doc_id is not null").join(reps, "print").select("doc_id", "rep").distinct(), "join-nodes")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _candidates(_postings(docs, _order(profiles), buckets, split))
+    found = _candidates(_postings(docs, _order(profiles, bits), buckets, split))
 
     def node(frame: DataFrame, col: str) -> DataFrame:
         to = nodes.select(F.col("doc_id").alias("_d"), F.col("rep").alias("_r"))
@@ -542,12 +644,22 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: i
     labels = components(links)
     lists = found.where("list is not null").groupBy("list", "doc").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
     entries = node(lists, "doc").groupBy("list", "doc").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
-    known = labels.select(F.col("node").alias("_n"), "label")
-    entries = entries.join(known, entries["doc"] == known["_n"], "left").select("list", "doc", "size", "pos", F.coalesce("label", "doc").alias("label"))
-    cross = written(_cross(entries, held), "join-across")
-    if not cross.isEmpty():
-        links = links.unionByName(_verified(docs, _second_members(cross)))
-        labels = components(links)
+
+    def labelled(frame: DataFrame) -> DataFrame:
+        known = labels.select(F.col("node").alias("_n"), "label")
+        return frame.join(known, frame["doc"] == known["_n"], "left").select(*frame.columns, F.coalesce("label", "doc").alias("label"))
+
+    mixed = written(_mixed_lists(labelled(entries), held), "join-mixed").drop("label", "main", "parts")
+    if not mixed.isEmpty():
+        # One doc_id may have several sets, and then no bitmap stands for it.
+        maps = _bitmaps(docs, mixed.select("doc")).groupBy("doc").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+        maps = maps.select("doc", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
+        mixed = written(mixed.join(maps, "doc", "left"), "join-entries")
+        for forest in (True, False):
+            cross = written(_cross(_mixed_lists(labelled(mixed), held), forest), "join-across")
+            if not cross.isEmpty():
+                links = links.unionByName(_verified(docs, _second_members(cross)))
+                labels = components(links)
     best = sizes.where("doc_id is not null").join(reps, "print", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = best.join(labels, best["rep"] == labels["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     none = sizes.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -364,6 +364,40 @@ def test_join_of_large_groups(spark):
         assert {r.doc_id: r.component_id for r in jaccard.join(df, split=split, held=held).collect()} == want
 
 
+def test_join_rows_stay_linear_in_a_group(spark, monkeypatch):
+    """Near copies on both sides of the threshold: pairs that are no links make no rows, and links one row an entry."""
+    rng = np.random.default_rng(8)
+    base, rows, made = [f"w{i}" for i in range(144)], [], []
+    for i in range(700):
+        w = list(base)
+        for at in rng.choice(144, rng.integers(0, 18), replace=False):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    keep = jaccard._cross
+    monkeypatch.setattr(jaccard, "_cross", lambda *a: (lambda df: made.append(df.count()) or df)(written(keep(*a), "t")))
+    got = {r.doc_id: r.component_id for r in jaccard.join(written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "t")).collect()}
+    assert got == brute_components(rows)
+    alone = sum(1 for i, c in got.items() if i == c) - 1
+    assert alone > 100 and len(made) == 2 and sum(made) < 2 * len(rows)
+
+
+def test_forest_of_a_list_part():
+    """One row for each that joins, none for a clique's other pairs."""
+    n = 200
+    sets = [np.arange(100, dtype=np.uint64) for _ in range(n)]
+    maps = [jaccard.parity(jaccard._mixed(x)).tobytes() for x in sets]
+    for forest, want in ((True, n - 1), (False, n * (n - 1) // 2)):
+        part = jaccard.ListPart(list(range(n)), [100] * n, [0] * n, list(range(n)), maps, 0, forest)
+        assert sum(len(part.partners(i, 100, 0, i, maps[i])) for i in range(1, n)) == want
+
+
+@given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), min_size=1, max_size=120))
+@settings(max_examples=200, deadline=None)
+def test_bitmaps_never_differ_more_than_the_sets(a, b):
+    bits = lambda x: jaccard.parity(jaccard._mixed(np.array(sorted(x), np.uint64) + np.uint64(1)))
+    assert jaccard.differing(bits(a), bits(b)[None])[0] <= len(a ^ b)
+
+
 def test_derived_answers():
     rng = np.random.default_rng(2)
     for _ in range(200):
