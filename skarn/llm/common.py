@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a folder of our own, on a local master
+    only: on a cluster executors would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='skarn-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -75,9 +78,10 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def extended(df: DataFrame, more: str) -> StructType:
-    """df's schema with further fields given as DDL."""
-    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+def extended(df: DataFrame, more: str, names: list[str] | None = None) -> StructType:
+    """The schema of df, or of some of its columns, with further fields given as DDL."""
+    kept = df.schema.fields if names is None else [f for f in df.schema.fields if f.name in names]
+    return StructType([*kept, *StructType.fromDDL(more).fields])
 
 
 def plain_text(column: pa.Array) -> pa.Array:

@@ -1,13 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (blocks of text); what stands in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments becomes WINDOW empty lines, and a line that is mostly links one. Text lengths are summed
-over sliding windows of WINDOW lines. A surge point is a line whose window reaches SURGE characters, a dive point the
-first empty window after it; the lines between them are the text. Where the page marks its article (article, main,
-role=main), its lines count as at least SURGE characters and lines outside it as empty, so short paragraphs stay.
-
-Defined cases: null and empty pages give an empty text; unclosed and misnested tags close with their parents; a page
-without any surge keeps its longest run of lines; equal pages give equal texts; further columns are ignored.
+Tags form lines, and no more: a block of text is a line, a border of a container an empty line; what the tags or names call
+a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment becomes WINDOW empty lines, as does the
+border of an article. Whether a line is text is then decided by lengths alone. A line's length is that of its text, nothing
+where most of it is links. Lengths are summed over sliding windows of WINDOW lines. A dive point is an empty window; a surge
+point a line whose window reaches SURGE characters, or, on a page where none does, the largest window. The lines between
+two dive points are kept where a surge point stands between them.
+
+Defined cases: null and empty pages give an empty text; unclosed and misnested tags close with their parents; equal pages
+give equal texts; of columns named like a result (text, n_chars) the result's stay; further columns are carried.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("nav footer aside form button menu dialog head fieldset".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BLOCKED = frozenset("article aside section main nav footer header form div ul ol table h1 h2 h3 h4 h5 h6 blockquote pre dl hr fieldset".split())
+CONTAINERS = frozenset("section div ul ol table blockquote dl".split())
 # Words in class, id and role that name other things than the article.
 OTHER = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|footer|header|masthead|banner|contentinfo|complementary|sidebar|side|aside|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion"
@@ -44,22 +46,23 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"
 _SPACE = re.compile(r"\s+")
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length of it in links, in the article) of each line; what is not the article's is an empty line."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, length of it in links) of each line, both empty where the page parts its blocks."""
+    out: list[tuple[str, int]] = []
     part: list[str] = []
     linked = 0
     stack: list[list] = []  # name, skips, is a main element, skips by its names only
     skips = mains = links = 0
     seen_main = False
 
-    def flush() -> None:
+    def flush(gap: int = 0) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(part)).strip()
         if text:
-            out.append((text, min(linked, len(text)), mains > 0))
+            out.append((text, min(linked, len(text))))
         part.clear()
         linked = 0
+        out.extend([("", 0)] * gap)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -73,11 +76,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal skips, mains, links
         while len(stack) > to:
             name, skip, main, _ = stack.pop()
-            if name not in INLINE:
-                flush()
             skips -= skip
-            if skip and not skips:
-                out.extend([("", 0, False)] * WINDOW)  # ends what stands before it
+            if main or skip and not skips:
+                flush(WINDOW)
+            elif name not in INLINE:
+                flush(int(name in CONTAINERS and not skips))
             mains -= main
             links -= name == "a"
 
@@ -140,6 +143,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         main = main and not skip and not skips
         seen_main = seen_main or main
         stack.append([name, int(skip), int(main), int(by_name)])
+        if (skip and not skips) or main:
+            flush(WINDOW)
+        elif name in CONTAINERS and not skips:
+            flush(1)
         skips += skip
         mains += main
         links += name == "a"
@@ -148,35 +155,27 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def text_lines(lengths: list[int]) -> np.ndarray:
+    """Which lines are text, by the lengths alone."""
+    size = np.array(lengths, np.int64)
+    if not size.any():
+        return np.zeros(len(size), bool)
+    window = np.convolve(size, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and those after it
+    surge = (window >= min(SURGE, int(window.max()))) & (size > 0)
+    run = np.cumsum(window == 0)  # dive points part the page into runs
+    return (size > 0) & np.isin(run, run[surge])
+
+
 def extract(page: str) -> str:
     """The main text, one block a line."""
     found = lines(page)
-    if not found:
-        return ""
-    inside = np.array([x[2] for x in found])
-    size = np.array([0 if len(x[0]) and x[1] > LINKS * len(x[0]) and not x[2] else len(x[0]) for x in found])
-    weight = size.copy()
-    if size[inside].sum():
-        weight[inside & (size > 0)] = np.maximum(weight[inside & (size > 0)], SURGE)
-        weight[~inside] = 0
-    window = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and those after it
-    kept, on, any_surge = np.zeros(len(found), bool), False, False
-    for i, total in enumerate(window):
-        if not on and weight[i] and total >= SURGE:
-            on = any_surge = True
-        elif on and not total:
-            on = False
-        kept[i] = on and weight[i] > 0
-    if not any_surge:
-        runs = np.flatnonzero(np.diff(np.concatenate([[0], weight > 0, [0]])))
-        best = max(zip(runs[::2], runs[1::2], strict=True), key=lambda r: (weight[r[0] : r[1]].sum(), -r[0]), default=(0, 0))
-        kept[best[0] : best[1]] = True
-    return "\n".join(found[i][0] for i in np.flatnonzero(kept) if found[i][0])
+    kept = text_lines([len(text) if linked <= LINKS * len(text) else 0 for text, linked in found])
+    return "\n".join(found[i][0] for i in np.flatnonzero(kept))
 
 
 def main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """df with the html column replaced by text and n_chars."""
-    names = [c for c in df.columns if c != html_col]
+    """df with the html column replaced by text and n_chars. A column of df of either name goes."""
+    names = [c for c in df.columns if c != html_col and c.lower() not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,7 +183,7 @@ def main_text(df: DataFrame, html_col: str = "html") -> DataFrame:
                 texts = [extract(x) if x else "" for x in b.column(html_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return df.mapInArrow(run, extended(df.drop(html_col), "text string, n_chars long"))
+    return df.mapInArrow(run, extended(df, "text string, n_chars long", names))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
