@@ -10,13 +10,12 @@ id) and keeps at most WORDS words and GRAMS n-grams of each length, so its size
 
 Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text where no label was seen;
 ties go to the language first in code point order; labels that are null teach nothing; rows with a null id teach nothing
-and are not held out; repeated rows are predicted alike. Further columns are ignored.
+and are not held out; repeated rows are predicted alike. Further columns are carried, but for those named like a result.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,13 +33,12 @@ WORDS, GRAMS, LONGEST = 200_000, 100_000, 5
 #: Words that count towards certainty.
 SURE = 20
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(word: str) -> list[str]:
-    """The runs of letters of a lower-cased word."""
-    return [word] if word.isalpha() else _LETTERS.findall(word)
+    """The runs of letters of a lower-cased word. Number signs such as ½ or ² are none."""
+    return [word] if word.isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
 
 
 def _grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +138,7 @@ class Scorer:
         words = spaced(pc.utf8_lower(texts))
         owner, parts = [], []
         for i, w in enumerate(words.distinct):
-            for x in (w,) if w.isalpha() else _LETTERS.findall(w):
+            for x in letters(w):
                 owner.append(i)
                 parts.append(x)
         place, owner = self._rows(parts), np.array(owner, np.int64)
@@ -189,20 +187,20 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
 
 
 def predict(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score. The model is a broadcast of bounded size."""
+    """df with lang_pred and score. A column of df of either name goes. The model is a broadcast of bounded size."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    names = df.columns
+    names = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(sent.value))  # one for each task: a worker that goes on to other stages keeps nothing
         for whole in batches:
             for b in slices(whole, text_col):
                 langs, scores = scorer.predict(plain_text(b.column(text_col)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
         del scorer
         tidy()
 
-    return df.mapInArrow(run, extended(df, "lang_pred string, score double"))
+    return df.mapInArrow(run, extended(df, "lang_pred string, score double", names))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
