@@ -2,8 +2,8 @@
 
 Targets: the weights share all words; what exceeds three times a source's own words is shared anew among the others
 (closed form: the level is the largest of (words left) / (weight left) along the sources by cap per weight).
-Quotas: blocks of BLOCK words go to sources by highest quotients target / (2k - 1), then each source's blocks go to its
-shards the same way by shard size. Only quotients near the fair share are listed: a seat count of a divisor method lies
+Quotas: blocks of BLOCK words go to sources by highest quotients target / (2k - 1), then each source's blocks go to groups of
+its shards, and a group's to the shards, the same way by size. Only quotients near the fair share are listed: a seat count of a divisor method lies
 within half the number of parties of it, scaled, so the list is linear in the number of parties.
 Selection: whole passes over a shard's documents first, then blocks in seeded hash order up to the shard's quota.
 
@@ -25,6 +25,8 @@ from .common import table, written
 BLOCK = 32
 #: Words of a source in a shard, about.
 SHARD_WORDS = 1 << 18
+#: Shards of a source whose seats are dealt together.
+GROUPED = 1024
 #: A source gives at most so many times its words, and so does a document.
 MOST = 3
 SEED = 17
@@ -60,43 +62,61 @@ _QUOTA = """src AS (
     CAST(greatest(1, ceil(low.own / {SHARD_WORDS}.0e0)) AS BIGINT) AS shards FROM low LEFT JOIN extra ON low.rnk = extra.rnk
 )"""
 _DOC = """doc AS (
-  SELECT d.doc_id, d.source, d.copy, d.size, q.rnk, {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.copy AS VARCHAR)))} % q.shards AS shard
+  SELECT d.doc_id, d.source, d.copy, d.size, q.rnk, {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.size AS VARCHAR), ':', CAST(d.copy AS VARCHAR)))} % q.shards AS shard
   FROM sized AS d JOIN quota AS q ON d.source IS NOT DISTINCT FROM q.source
 )"""
+# A party's seats go to its members by highest quotients words / (2k - 1). Only quotients near the fair share are listed.
+_LEVEL = """{P}fair AS (
+  SELECT m.rnk, m.{GROUP} AS grp, m.{MEMBER} AS member, m.words, p.seats, CASE WHEN p.words > 0 THEN CAST(m.words AS DOUBLE) * p.seats / p.words ELSE 0 END AS q, count(*) OVER (PARTITION BY m.rnk, m.{GROUP}) AS n
+  FROM {MEMBERS} AS m JOIN {PARTIES} AS p ON m.rnk = p.rnk AND m.{GROUP} = p.grp WHERE p.seats > 0
+), {P}low AS (
+  SELECT *, CAST(greatest(0, floor(q) - ceil(q * n / (2 * seats)) - 2) AS BIGINT) AS base, CAST(floor(q) + ceil(q * n / (2 * seats)) + 2 AS BIGINT) AS top FROM {P}fair
+), {P}quot AS (
+  SELECT rnk, grp, member, words, seats, sum(base) OVER (PARTITION BY rnk, grp) AS given, base, top FROM {P}low
+), {P}won AS (
+  SELECT rnk, grp, member, seats - given AS free, row_number() OVER (PARTITION BY rnk, grp ORDER BY words / (2 * seat - 1.0e0) DESC, member, seat) AS place
+  FROM (SELECT rnk, grp, member, words, seats, given, {SERIES(base + 1, top + 1)} AS seat FROM {P}quot) x
+), {P}extra AS (
+  SELECT rnk, grp, member, count(*) AS more FROM {P}won WHERE place <= free GROUP BY rnk, grp, member
+), {P}seats AS (
+  SELECT l.rnk, l.grp AS above, l.member AS grp, l.words, l.base + coalesce(e.more, 0) AS seats
+  FROM {P}low l LEFT JOIN {P}extra e ON l.rnk = e.rnk AND l.grp = e.grp AND l.member = e.member
+)"""
+
+
+def _level(prefix: str, members: str, group: str, member: str, parties: str) -> str:
+    for k, v in {"P": prefix, "MEMBERS": members, "GROUP": group, "MEMBER": member, "PARTIES": parties}.items():
+        _text = _LEVEL if k == "P" else _text
+        _text = _text.replace("{" + k + "}", v)
+    return _text
+
+
+# A source's seats go to groups of GROUPED shards, and a group's to its shards, so no task orders all shards of a source.
 _PLAN = """cell AS (
-  SELECT rnk, shard, CAST(sum(size) AS BIGINT) AS words FROM doc GROUP BY rnk, shard HAVING sum(size) > 0
-), cfair AS (
-  SELECT cell.rnk, shard, words, seats, CAST(words AS DOUBLE) * seats / own AS q, count(*) OVER (PARTITION BY cell.rnk) AS n
-  FROM cell JOIN quota AS q ON cell.rnk = q.rnk WHERE seats > 0
-), clow AS (
-  SELECT *, CAST(greatest(0, floor(q) - ceil(q * n / (2 * seats)) - 2) AS BIGINT) AS base, CAST(floor(q) + ceil(q * n / (2 * seats)) + 2 AS BIGINT) AS top FROM cfair
-), cquot AS (
-  SELECT rnk, shard, words, seats, sum(base) OVER (PARTITION BY rnk) AS given, base, top FROM clow
-), cwon AS (
-  SELECT rnk, shard, seats - given AS free, row_number() OVER (PARTITION BY rnk ORDER BY words / (2 * seat - 1.0e0) DESC, shard, seat) AS place
-  FROM (SELECT rnk, shard, words, seats, given, {SERIES(base + 1, top + 1)} AS seat FROM cquot) x
-), cextra AS (
-  SELECT rnk, shard, count(*) AS more FROM cwon WHERE place <= free GROUP BY rnk, shard
-), cquota AS (
-  SELECT c.rnk, c.shard, c.words, least((c.base + coalesce(e.more, 0)) * {BLOCK}, {MOST} * c.words) AS want
-  FROM clow c LEFT JOIN cextra e ON c.rnk = e.rnk AND c.shard = e.shard
+  SELECT rnk, CAST({DIV(shard, {GROUPED})} AS BIGINT) AS grp, shard, CAST(sum(size) AS BIGINT) AS words FROM doc GROUP BY rnk, shard HAVING sum(size) > 0
+), gcell AS (
+  SELECT rnk, CAST(0 AS BIGINT) AS grp, grp AS member, CAST(sum(words) AS BIGINT) AS words FROM cell GROUP BY rnk, grp
+), whole AS (
+  SELECT rnk, CAST(0 AS BIGINT) AS grp, own AS words, seats FROM quota
+), """ + _level("g", "gcell", "grp", "member", "whole") + ", " + _level("c", "cell", "grp", "shard", "gseats") + """, cquota AS (
+  SELECT rnk, grp AS shard, words, least(seats * {BLOCK}, {MOST} * words) AS want FROM cseats
 ), plan AS (
   SELECT rnk, shard, {DIV(want, words)} AS passes, want - {DIV(want, words)} * words AS rest FROM cquota
 )"""
 _DRAW = """block AS (
-  SELECT d.rnk, d.shard, d.doc_id, d.copy, d.block, least({BLOCK}, d.size - {BLOCK} * d.block) AS words, p.rest,
-    {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.copy AS VARCHAR), ':', CAST(d.block AS VARCHAR), ':{SEED}'))} AS h
+  SELECT d.rnk, d.shard, d.doc_id, d.size, d.copy, d.block, least({BLOCK}, d.size - {BLOCK} * d.block) AS words, p.rest,
+    {HASH(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':', CAST(d.size AS VARCHAR), ':', CAST(d.copy AS VARCHAR), ':', CAST(d.block AS VARCHAR), ':{SEED}'))} AS h
   FROM (SELECT *, {SERIES(CAST(0 AS BIGINT), {DIV(size - 1, {BLOCK})})} AS block FROM doc WHERE size > 0) d JOIN plan AS p ON d.rnk = p.rnk AND d.shard = p.shard WHERE p.rest > 0
 ), drawn AS (
-  SELECT rnk, doc_id, copy, block, least(words, rest - (sum(words) OVER (PARTITION BY rnk, shard ORDER BY h, doc_id, copy, block ROWS UNBOUNDED PRECEDING) - words)) AS got FROM block
+  SELECT rnk, doc_id, size, copy, block, least(words, rest - (sum(words) OVER (PARTITION BY rnk, shard ORDER BY h, doc_id, size, copy, block ROWS UNBOUNDED PRECEDING) - words)) AS got FROM block
 ), part AS (
-  SELECT rnk, doc_id, copy, sum(got) AS got{PIECES} FROM drawn WHERE got > 0 GROUP BY rnk, doc_id, copy
+  SELECT rnk, doc_id, size, copy, sum(got) AS got{PIECES} FROM drawn WHERE got > 0 GROUP BY rnk, doc_id, size, copy
 )
 SELECT doc.doc_id, doc.size, qt.own AS source_size, qt.target,
   CAST(coalesce(pl.passes, 0) * doc.size + coalesce(part.got, 0) AS BIGINT) AS taken{MORE}
 FROM doc JOIN quota AS qt ON doc.rnk = qt.rnk
 LEFT JOIN plan AS pl ON doc.rnk = pl.rnk AND doc.shard = pl.shard
-LEFT JOIN part ON part.rnk = doc.rnk AND part.doc_id IS NOT DISTINCT FROM doc.doc_id AND part.copy = doc.copy
+LEFT JOIN part ON part.rnk = doc.rnk AND part.doc_id IS NOT DISTINCT FROM doc.doc_id AND part.size = doc.size AND part.copy = doc.copy
 """
 
 
@@ -130,7 +150,7 @@ def dialect(sql: str, duckdb: bool, **values: object) -> str:
 
 def _values(pieces: bool) -> dict[str, object]:
     return {
-        "BLOCK": BLOCK, "SHARD_WORDS": SHARD_WORDS, "MOST": MOST, "SEED": SEED,
+        "BLOCK": BLOCK, "GROUPED": GROUPED, "SHARD_WORDS": SHARD_WORDS, "MOST": MOST, "SEED": SEED,
         "PIECES": ", collect_list(struct(block, got)) AS pieces" if pieces else "",
         "MORE": ", doc.source, doc.copy, CAST(coalesce(pl.passes, 0) AS INT) AS passes, part.pieces" if pieces else "",
     }
