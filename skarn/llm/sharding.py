@@ -26,6 +26,8 @@ SHARDS = 24
 HEAVY = 64
 #: Ranges before subdivision, and sampled keys for each of them.
 RANGES, KEYS = 384, 16
+#: Rows of a piece of a range, about: a range of more is subdivided, whatever its bytes, and a task orders one piece at a time.
+PIECE_ROWS = 1 << 20
 SEED = 29
 
 _CUT = """heavy AS (
@@ -54,24 +56,27 @@ _BOUNDS = """hits AS (
 ), bounds AS (
   SELECT DISTINCT k AS bound FROM sample WHERE place % {KEYS} = 0
 )"""
+# Texts too large to stay whole: fewer than shards x HEAVY can exist.
+_TORN = """torn AS (
+  SELECT key FROM ranged GROUP BY key HAVING sum(size) * {SHARDS} * {HEAVY} > (SELECT sum(size) FROM records)
+)"""
 # rng: the range; sub: the piece of an overfull range; then running sizes over pieces and within each.
 _PLACE = """counted AS (
-  SELECT rng, CAST(sum(size) AS DOUBLE) AS bytes FROM ranged GROUP BY rng
+  SELECT rng, CAST(sum(size) AS DOUBLE) AS bytes, count(*) AS n FROM ranged GROUP BY rng
 ), cut_up AS (
-  SELECT rng, CASE WHEN bytes > 1.5e0 * (SELECT sum(bytes) FROM counted) / {RANGES} THEN CAST(ceil(bytes * {RANGES} / (SELECT sum(bytes) FROM counted)) AS BIGINT) ELSE 1 END AS cuts FROM counted
+  SELECT rng, greatest(CAST(ceil(n / {PIECE_ROWS}.0e0) AS BIGINT), CASE WHEN bytes > 1.5e0 * (SELECT sum(bytes) FROM counted) / {RANGES} THEN CAST(ceil(bytes * {RANGES} / (SELECT sum(bytes) FROM counted)) AS BIGINT) ELSE 1 END) AS cuts FROM counted
 ), piece_rows AS (
-  SELECT r.key, r.row_key, r.size, r.rng, {HASH(r.key)} % c.cuts AS sub FROM ranged AS r JOIN cut_up AS c ON r.rng = c.rng
+  SELECT /*+ BROADCAST(t) */ r.key, r.row_key, r.size, r.rng, CASE WHEN t.key IS NULL THEN r.key END AS together, {HASH(CASE WHEN t.key IS NULL THEN r.key ELSE r.row_key END)} % c.cuts AS sub
+  FROM ranged AS r JOIN cut_up AS c ON r.rng = c.rng LEFT JOIN torn AS t ON r.key = t.key
 ), piece AS (
   SELECT rng, sub, sum(sum(size)) OVER (ORDER BY rng, sub) - sum(size) AS before FROM piece_rows GROUP BY rng, sub
 ), run AS (
-  SELECT p.key, p.row_key, p.size, p.rng, p.sub, b.before + sum(p.size) OVER (PARTITION BY p.rng, p.sub ORDER BY p.key, p.row_key ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT p.key, p.row_key, p.size, p.together, p.rng, p.sub, b.before + sum(p.size) OVER (PARTITION BY p.rng, p.sub ORDER BY p.key, p.row_key ROWS UNBOUNDED PRECEDING) AS upto
   FROM piece_rows AS p JOIN piece AS b ON p.rng = b.rng AND p.sub = b.sub
 ), texts AS (
-  SELECT key, min(upto - size) AS first_byte, max(upto) AS last_byte, sum(size) AS bytes FROM run GROUP BY key HAVING count(*) > 1
-), whole AS (
-  SELECT key, (first_byte + last_byte) / 2.0e0 AS middle FROM texts WHERE bytes * {SHARDS} * {HEAVY} <= (SELECT sum(size) FROM records)
+  SELECT together, (min(upto - size) + max(upto)) / 2.0e0 AS middle FROM run WHERE together IS NOT NULL GROUP BY together HAVING count(*) > 1
 ), middle AS (
-  SELECT r.key, r.row_key, r.size, r.rng, r.sub, coalesce(w.middle, r.upto - r.size / 2.0e0) AS mid FROM run r LEFT JOIN whole w ON r.key = w.key
+  SELECT r.key, r.row_key, r.size, r.rng, r.sub, coalesce(w.middle, r.upto - r.size / 2.0e0) AS mid FROM run r LEFT JOIN texts w ON coalesce(r.together, concat(r.key, ':', r.row_key)) = w.together
 ), put AS (
   SELECT key, row_key, rng, sub, CAST(least({SHARDS} - 1, {COUNT(room, upto <= mid)}) AS BIGINT) AS shard FROM middle
   UNION ALL SELECT key, row_key, -1 AS rng, CAST(0 AS BIGINT) AS sub, shard FROM dealt
@@ -97,7 +102,7 @@ def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shards `records` rows: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = rows.sparkSession
-    values = {"SHARDS": shards, "HEAVY": HEAVY, "RANGES": RANGES, "KEYS": KEYS, "SEED": SEED}
+    values = {"SHARDS": shards, "HEAVY": HEAVY, "RANGES": RANGES, "KEYS": KEYS, "SEED": SEED, "PIECE_ROWS": PIECE_ROWS}
 
     filled: list[str] = []
 
@@ -117,7 +122,8 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     fine = f"size(filter(slice(array({', '.join(bounds)}), ({some} - 1) * 20 + 1, 20), b -> b <= concat(key, row_key)))"
     at = f"CASE WHEN {some} = 0 THEN 0 ELSE ({some} - 1) * 20 + {fine} END" if bounds else "0"
     ranged = written(run(_LIGHT, select=f" SELECT key, row_key, size, CAST({at} AS INT) AS rng FROM light", records=rows, dealt=dealt), "shard-ranged")
-    put = written(run(_PLACE, select=" SELECT * FROM put", records=rows, ranged=ranged, dealt=dealt), "shard-put")
+    torn = written(run(_TORN, select=" SELECT * FROM torn", records=rows, ranged=ranged), "shard-torn")
+    put = written(run(_PLACE, select=" SELECT * FROM put", ranged=ranged, dealt=dealt, torn=torn), "shard-put")
     return run(_SLOT, records=rows, put=put)
 
 
@@ -143,4 +149,4 @@ ORACLE = dialect(", ".join([_CRC, """records AS (
     SELECT doc_id, size, text_crc32, key, row_number() OVER (PARTITION BY doc_id, size, text_crc32, key) AS copy FROM (
       SELECT d.doc_id, CAST(strlen(c.text) + 8 AS BIGINT) AS size, CAST(c.crc AS BIGINT) AS text_crc32, substr(md5(c.text), 1, 16) AS key FROM documents d JOIN crcs c ON coalesce(d.text, '') = c.text) a) b
 )""", _CUT, _ROOM, _LIGHT, _BOUNDS, "ranged AS (SELECT l.key, l.row_key, l.size, (SELECT count(*) FROM bounds b WHERE b.bound <= concat(l.key, l.row_key)) AS rng FROM light l)",
-    _PLACE.replace("{COUNT(room, upto <= mid)}", "(SELECT count(*) FROM room o WHERE o.upto <= mid)"), _SLOT]), True, SHARDS=SHARDS, HEAVY=HEAVY, RANGES=RANGES, KEYS=KEYS, SEED=SEED)
+    _TORN, _PLACE.replace("{COUNT(room, upto <= mid)}", "(SELECT count(*) FROM room o WHERE o.upto <= mid)"), _SLOT]), True, SHARDS=SHARDS, HEAVY=HEAVY, RANGES=RANGES, KEYS=KEYS, SEED=SEED, PIECE_ROWS=PIECE_ROWS)
