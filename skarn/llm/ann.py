@@ -12,13 +12,14 @@ it reaches the calibrated RECALL quantile of Hamming distances at the distance o
 Queries are a written table that index tasks read in blocks, so no side is broadcast or crossed as a whole; each task keeps
 its k best for each query, and a window with a group limit merges them.
 
-Defined cases: vectors that are null, zero, hold null or non-finite numbers or are not of the most common length take no
-part, as queries or candidates; ties go to the smaller id; equal vectors are all candidates; fewer candidates than k are all
+Defined cases: vectors that are null, zero or hold null or non-finite numbers take no part, as queries or candidates; vectors
+of different lengths have no distance, so each length is a search of its own, with its own model; ties go to the smaller id; equal vectors are all candidates; fewer candidates than k are all
 returned; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -133,11 +134,9 @@ class MultiIndex:
 def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector of the vectors that take part."""
     v = F.col("vector")
-    good = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(
+    return df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(
         F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    usual = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return good.where(F.size("vector") == (usual[0]["n"] if usual else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -171,6 +170,14 @@ def _blocks(folder: str) -> Iterator[pa.RecordBatch]:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among the vectors of other ids."""
+    size = F.size("vector")
+    lengths = sorted(r.n for r in queries.select(size.alias("n")).distinct().collect())  # most often one
+    found = [_search(vectors.where(size == n), queries.where(size == n), k) for n in lengths]
+    return functools.reduce(DataFrame.unionByName, found or [_search(vectors.limit(0), queries, k)])
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The search among vectors of one length."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     model = fit(vectors)
