@@ -1,7 +1,7 @@
 """The pipeline over `documents`: five of the operators in turn, each stage written and read again.
 
 1 language ID: documents that are `und` or scored below MIN_SCORE go; a missing lang is filled in.
-2 n-gram Jaccard join: the document of the smallest doc_id of each component stays.
+2 n-gram Jaccard join: the document of the smallest doc_id of each component stays, with all texts that it has.
 3 secret scans: spans that look like live credentials are masked, copied examples stay.
 4 mixing: documents are repeated or drawn in part, so that each source comes near its target.
 5 byte-level BPE: token counts and digests of what is left.
@@ -48,14 +48,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
 
 
+def _one_of_equal_rows(docs: DataFrame) -> DataFrame:
+    """One row of those of one doc_id and text, the least as JSON. Rows of one doc_id with other texts stay."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = written(jaccard.join(docs), "pipeline-join")
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stay, "doc_id", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.unionByName(docs.where("doc_id is null"))
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = _one_of_equal_rows(kept)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
