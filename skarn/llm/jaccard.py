@@ -58,7 +58,9 @@ SHORT = 16
 #: Partners of an anchor, and anchors of a component, that are verified together.
 MEMBERS, ANCHORS = 512, 32
 #: Postings that a task packs at once.
-FLUSH = 2_000_000
+FLUSH = 750_000
+#: Bytes of text shingled at once; its words and shingles take some 20 times as much.
+SLICE = 4 << 20
 BLOCK = 256
 #: Bits of the filter of document ids, sixteen for each within these bounds.
 BLOOM_BITS = (1 << 20, 1 << 28)
@@ -161,7 +163,7 @@ def _profiles(docs: DataFrame, bits: int) -> DataFrame:
         counters = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "print", "chunk", "counts"]
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 starts, sets = shingle_sets(plain_text(b.column("text")))
                 counters += np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
                 prints = [xxhash.xxh3_128_digest(sets[s:e].tobytes()) if e > s else None for s, e in zip(starts[:-1], starts[1:], strict=True)]
@@ -170,6 +172,7 @@ def _profiles(docs: DataFrame, bits: int) -> DataFrame:
         z = zstandard.ZstdCompressor(level=1)
         parts = [z.compress(x.tobytes()) for x in np.split(counters, CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+        tidy()
 
     return written(docs.mapInArrow(run, "doc_id long, n long, print binary, chunk int, counts binary"), "join-profiles")
 
@@ -248,7 +251,7 @@ def _postings(docs: DataFrame, order: np.ndarray, buckets: int, split: int = SPL
             return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([_pack(token[p], doc[p], size[p], pos[p]) for p in parts], pa.binary())], ["bucket", "blob"])
 
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 starts, sets = shingle_sets(plain_text(b.column("text")))
                 for doc_id, s, e in zip(b.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     n = e - s
@@ -412,7 +415,7 @@ def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 starts, sets = shingle_sets(plain_text(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([parity(sets[s:e]).tobytes() for s, e in itertools.pairwise(starts.tolist())], pa.binary())], ["doc", "bits"])
         tidy()
@@ -464,7 +467,7 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, _Group()
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 starts, sets = shingle_sets(plain_text(b.column("text")))
                 a, c = [], []
                 keys = zip(b.column("g").to_pylist(), b.column("salt").to_pylist(), strict=True)

@@ -33,6 +33,8 @@ WORDS, GRAMS, LONGEST = 200_000, 100_000, 5
 #: Words that count towards certainty.
 SURE = 20
 UNKNOWN = "und"
+#: Bytes of text scored at once.
+SLICE = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,7 +196,7 @@ def predict(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pickle.loads(sent.value))  # one for each task: a worker that goes on to other stages keeps nothing
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, SLICE):
                 langs, scores = scorer.predict(plain_text(b.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
         del scorer
