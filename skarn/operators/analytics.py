@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import small
 
 REPEAT_SECONDS, SESSION_GAP = 300, 1800
 PRICE = 3.0
@@ -104,7 +105,7 @@ def autoscale(busy: Column, total: Column, target: float, least: int, most: int)
 
 
 def assign(tasks: DataFrame, agents: DataFrame) -> DataFrame:
-    """(task, agent): the first idle agent of the asked role with all asked languages. Agents are few and broadcast."""
+    """(task, agent): the first idle agent of the asked role with all asked languages. Agents are broadcast where they are few."""
     fit = (F.col("role").isNull() | (F.col("role") == F.col("agent_role"))) & (F.size(F.array_except("languages", "agent_languages")) == 0)
-    pairs = tasks.join(F.broadcast(agents.where("idle")), fit, "left")
+    pairs = tasks.join(small(agents.where("idle")), fit, "left")
     return pairs.groupBy("task").agg(F.min("agent").alias("agent"))

@@ -126,10 +126,10 @@ def enclosing(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def called_by(definitions: DataFrame, sites: DataFrame) -> DataFrame:
-    """fqn and the sorted callers of its name: the suffix match is an equal join on the last part of the name."""
-    d = definitions.select("fqn", F.substring_index("fqn", ".", -1).alias("last"))
-    hits = d.join(sites.select(F.col("name").alias("last"), "caller"), "last")
-    return hits.groupBy("fqn").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    """fqn and the sorted callers of its name: the suffix match is an equal join on the last part of the name. Callers are
+    made one set for each name first, so definitions that share a name meet one row and not each site."""
+    callers = sites.groupBy(F.col("name").alias("last")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    return definitions.select("fqn", F.substring_index("fqn", ".", -1).alias("last")).distinct().join(callers, "last").select("fqn", "called_by")
 
 
 def symbol_matches(definitions: DataFrame, symbol: str) -> DataFrame:

@@ -6,12 +6,17 @@ rounded before they are ordered and the id ends each order, so results repeat.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import bucketed, small, written
 
 K1, B = 1.2, 0.75
+#: Up to so many terms of queries are broadcast.
+BROADCAST_ROWS = 500_000
 ALPHA, RRF_K = 0.7, 60
 DIGITS = 6
 # Default weights of the ranking factors.
@@ -47,32 +52,77 @@ def top(scored: DataFrame, k: int, by: str = "score", tie: str = "doc_id", group
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, rank, doc_id, score. A term that a query repeats counts as often; a query without terms has no rows.
+@dataclass
+class TextIndex:
+    """What BM25 reads: occurrences (doc_id, dl, term, tf), lengths (doc_id, dl), frequencies (term, df, idf) and one row of
+    corpus statistics (n, total, avgdl)."""
+
+    occurrences: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
+
+
+def _indexed(occurrences: DataFrame, dl: DataFrame, keep) -> TextIndex:
+    occurrences, dl = keep(occurrences, "occurrences"), keep(dl, "lengths")
+    stats = keep(corpus_stats(dl), "corpus")
+    return TextIndex(occurrences, dl, keep(inverse_frequency(occurrences, stats), "frequencies"), stats)
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    tokens = docs.select(F.col(id_col).alias("doc_id"), T.code_tokens(F.col(text_col)).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
+    each = tokens.select("doc_id", "dl", F.explode("t").alias("term"))
+    return each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), tokens.select("doc_id", "dl")
+
+
+def _kept(df: DataFrame, what: str) -> DataFrame:
+    """Occurrences are bucketed by document, so that scores are summed without a shuffle; the rest is a written table."""
+    return bucketed(df, what, "doc_id") if what == "occurrences" else written(df, what)
 
-    One pass tokenizes the corpus: a document's length and the frequencies of the query terms come from the same array,
-    and only postings of query terms are exploded, by a semi-join on the terms before the count."""
+
+def text_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stored: bool = True) -> TextIndex:
+    """The index of a corpus, tokenized once; written, unless it serves one search only."""
+    return _indexed(*_occurrences(docs, id_col, text_col), _kept if stored else lambda df, what: df)
+
+
+def updated(index: TextIndex, gone: DataFrame, fresh: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
+    """A new index without the documents `gone` (doc_id) and with the fresh ones, which replace those of their id. Only
+    fresh texts are tokenized."""
+    tf, dl = _occurrences(fresh, id_col, text_col)
+    out = gone.select("doc_id").unionByName(fresh.select(F.col(id_col).alias("doc_id"))).distinct()
+    rest = lambda df: df.join(out, "doc_id", "left_anti")
+    return _indexed(rest(index.occurrences).unionByName(tf), rest(index.lengths).unionByName(dl), _kept)
+
+
+def bm25_of(index: TextIndex, queries: DataFrame, k: int = 10, *, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, rank, doc_id, score by an index. A term that a query repeats counts as often; a query without terms has
+    no rows.
+
+    The terms of all queries are a broadcast where they are counted to be few; then each occurrence meets them where it
+    lies, a document's scores are summed there, and only the best of each task are shuffled."""
     terms = queries.select("query_id", F.explode(T.code_tokens(F.col("query"))).alias("term"))
     wanted = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.select(F.col(id_col).alias("doc_id"), T.code_tokens(F.col(text_col)).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
-    stats = corpus_stats(tokens.select("dl"))
-    hit = tokens.select("doc_id", "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = hit.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = inverse_frequency(tf, stats)
-    each = tf.join(idf, "term").join(wanted, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    score = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = each.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), DIGITS).alias("score"))
+    weights_ = written(wanted.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "query-terms")
+    few = weights_.count() <= BROADCAST_ROWS
+    each = index.occurrences.join(F.broadcast(weights_) if few else weights_, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    score = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    total = each.groupBy("doc_id", "query_id").agg(F.round(F.sum(score), DIGITS).alias("score"))
     return top(total, k).select("query_id", "rank", "doc_id", "score")
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """bm25_of an index that is built for this search."""
+    return bm25_of(text_index(docs, id_col=id_col, text_col=text_col), queries, k, k1=k1, b=b)
+
+
 def fuzzy(symbols: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.3, types: list[str] | None = None) -> DataFrame:
-    """query_id, rank, name, score of the symbols (name, type) like each query. Queries are the small, broadcast side.
+    """query_id, rank, name, score of the symbols (name, type) like each query. Queries are broadcast where they are few.
 
     Lengths bound the similarity, so pairs whose lengths differ too much skip the edit distance."""
     found = symbols.where(F.col("type").isin(types)) if types else symbols
     found = found.select("name", F.lower("name").alias("low"), T.normalize_symbol(F.col("name")).alias("normal"))
     q = queries.where("query <> ''").select("query_id", F.lower("query").alias("q_low"), T.normalize_symbol(F.col("query")).alias("q_normal"))
-    pairs = found.crossJoin(F.broadcast(q))  # a stated, small query set
+    pairs = found.crossJoin(small(q))  # a stated query set against all symbols
 
     def like(a: str, b: str) -> Column:
         longest, gap = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))

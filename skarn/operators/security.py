@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import small
 from .graph import closure
 
 # Controls of the SOC 2 catalogue: id, name, category, evidence types, least evidence.
@@ -46,7 +47,7 @@ def decisions(user_roles: DataFrame, inherits: DataFrame, role_permissions: Data
     reach = role_closure(inherits, user_roles.select("role").distinct())
     own = reach.join(role_permissions.withColumnRenamed("role", "from_role"), "from_role").select("role", "permission").distinct()
     pols = reach.join(role_policies.withColumnRenamed("role", "from_role"), "from_role").groupBy("role").agg(F.bool_and("passes").alias("passes"))
-    pairs = own.select("permission").distinct().crossJoin(F.broadcast(requests.select("request").distinct())).where(T.permission_matches(F.col("permission"), F.col("request")))
+    pairs = own.select("permission").distinct().crossJoin(small(requests.select("request").distinct())).where(T.permission_matches(F.col("permission"), F.col("request")))
     role_ok = own.join(pairs, "permission").select("role", "request").distinct().join(pols, "role", "left").withColumn("passes", F.coalesce("passes", F.lit(True)))
     hit = requests.join(user_roles, "user").join(role_ok, ["role", "request"]).groupBy("user", "request").agg(F.bool_or("passes").alias("granted"), F.bool_and("passes").alias("explained"))
     out = requests.join(hit, ["user", "request"], "left")

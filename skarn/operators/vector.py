@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import small
 from .search import top
 
+DIGITS = 10
+
 
 def squared_distance(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
@@ -21,8 +24,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     stated set; blocks of it meet blocks of vectors where it is too large to broadcast). Filters on vectors stand before
     this and reach the scan."""
     q = queries.select("query_id", F.col("vector").alias("q"))
-    pairs = vectors.select("doc_id", "vector").crossJoin(q)
-    return top(pairs.select("query_id", "doc_id", F.round(1 - squared_distance("vector", "q"), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
+    pairs = vectors.select("doc_id", "vector").crossJoin(small(q))
+    return top(pairs.select("query_id", "doc_id", F.round(1 - squared_distance("vector", "q"), DIGITS).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -118,9 +118,9 @@ def jn10(spark, d):
     return graph.reversed_edges(e).join(nodes, "src", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn15_definitions_left_sites", f"SELECT fqn, count(callee) AS n FROM ({_DEFS}) d LEFT JOIN (SELECT * FROM v_calls WHERE line = 7) c ON callee = p_partkey GROUP BY fqn")
+@query("jn15_definitions_left_sites", f"SELECT fqn, count(callee) AS n FROM ({_DEFS}) d LEFT JOIN v_calls c ON callee = p_partkey GROUP BY fqn")
 def jn15(spark, d):
-    c = S.calls(spark, d).where("line = 7").groupBy(F.col("callee").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    c = S.calls(spark, d).groupBy(F.col("callee").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
     return _defs(spark, d).join(c, "p_partkey", "left").groupBy("fqn").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 

@@ -372,9 +372,9 @@ def tk06(spark, d):
     return events(spark, d).orderBy("ts", "event_id").offset(40).limit(20).select("event_id")
 
 
-@query("tk08_languages_by_size", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 3")
+@query("tk08_languages_by_size", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang")
 def tk08(spark, d):
-    return S.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(3)
+    return S.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
 
 
 @query("tk09_winner", "SELECT user_id, event_type AS winner FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn FROM events WHERE event_type <> 'error') x WHERE rn = 1")
@@ -516,7 +516,7 @@ def sa10(spark, d):
 
 # ---- retrieval metrics: a query for each last digit, documents by length
 
-_RUNS = "runs AS (SELECT doc_id % 10 AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents), rel AS (SELECT doc_id % 10 AS query_id, doc_id FROM v_truth WHERE relevant = 1), j AS (SELECT r.*, CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM (SELECT * FROM runs WHERE rank <= 40) r LEFT JOIN rel USING (query_id, doc_id)), c AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM j), n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id)"
+_RUNS = "runs AS (SELECT doc_id % 10 AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY n_chars DESC, doc_id) AS INT) AS rank FROM documents), rel AS (SELECT doc_id % 10 AS query_id, doc_id FROM v_truth WHERE relevant = 1), j AS (SELECT r.*, CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM runs r LEFT JOIN rel USING (query_id, doc_id)), c AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS cum FROM j), n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id)"
 _IR = f"{_RUNS}, m AS (SELECT query_id, " + ", ".join(f"CAST(sum(rel) FILTER (rank <= {k}) AS DOUBLE) / {k} AS p{k}" for k in E.KS) + ", CASE WHEN n_rel > 0 THEN sum(rel) / n_rel ELSE 0 END AS recall, coalesce(1.0 / min(rank) FILTER (rel = 1), 0) AS rr, CASE WHEN n_rel > 0 THEN sum(CASE WHEN rel = 1 THEN cum / rank ELSE 0 END) / n_rel ELSE 0 END AS ap, CASE WHEN n_rel > 0 THEN sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, CAST(n_rel AS INT) + 1), lambda i: 1.0 / log2(i + 1))) ELSE 0 END AS ndcg FROM c LEFT JOIN n USING (query_id) GROUP BY query_id, n_rel)"
 
 
@@ -540,7 +540,7 @@ def ir02(spark, d):
     return m.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "rr", "ap")])
 
 
-@query("ir03_ndcg", f"WITH {_IR}, g AS (SELECT doc_id % 10 AS query_id, doc_id, quality + toxic AS grade FROM labels), dg AS (SELECT query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM (SELECT * FROM runs WHERE rank <= 40) r LEFT JOIN g USING (query_id, doc_id) GROUP BY query_id), ig AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM g) y GROUP BY query_id) SELECT query_id, round(ndcg, 9) AS ndcg, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 9) AS graded FROM m JOIN dg USING (query_id) LEFT JOIN ig USING (query_id)")
+@query("ir03_ndcg", f"WITH {_IR}, g AS (SELECT doc_id % 10 AS query_id, doc_id, quality + toxic AS grade FROM labels), dg AS (SELECT query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg FROM runs r LEFT JOIN g USING (query_id, doc_id) GROUP BY query_id), ig AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS r FROM g) y GROUP BY query_id) SELECT query_id, round(ndcg, 9) AS ndcg, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 9) AS graded FROM m JOIN dg USING (query_id) LEFT JOIN ig USING (query_id)")
 def ir03(spark, d):
     grades = S.table(spark, d, "labels").select((F.col("doc_id") % 10).alias("query_id"), "doc_id", (F.col("quality") + F.col("toxic")).alias("grade"))
     graded = E.graded_ndcg(_runs(spark, d), grades).select("query_id", F.round("ndcg", 9).alias("graded"))
