@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 KS = (1, 3, 5, 10, 20)
 
 
+def running(df: DataFrame, amount: Column, *order: Column | str, name: str = "upto") -> DataFrame:
+    """df with the sum of a whole-number amount over all rows up to each, in an order of all rows. Rows are cut into ranges
+    of the order; each range is summed by itself and starts at the sum of those before it, one row a range."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    cut = df.withColumn("_amount", amount.cast("long")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    cut = written(cut, "running")  # so that both uses below see the same ranges
+    ranges = cut.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    before = ranges.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    own = F.sum("_amount").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before", "_amount")
+
+
 def average_ranks(df: DataFrame, value: str = "value") -> DataFrame:
     """df with `rank`: ties share the mean of their places. Counted per value first, so only distinct values are ordered."""
-    per = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    per = per.select(F.col(value).alias("_v"), (before + (F.col("_n") + 1) / 2.0).alias("rank"))
+    per = running(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), F.col("_n"), value)
+    per = per.select(F.col(value).alias("_v"), (F.col("upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("rank"))
     return df.join(per, df[value] == per["_v"]).drop("_v")
 
 
@@ -56,9 +71,18 @@ def hash_order(key: Column, seed: int) -> Column:
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """df with `fold` 0..k-1: equal folds in seeded order, what is left over in the last."""
-    order = F.row_number().over(Window.orderBy(hash_order(F.col(key), seed), key)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("fold", F.least(F.lit(k - 1), F.floor(order / F.greatest(F.lit(1), F.floor(n / k)))).cast("int"))
+    placed = running(df, F.lit(1), hash_order(F.col(key), seed), key, name="_place")
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    fold = F.least(F.lit(k - 1), F.floor((F.col("_place") - 1) / F.greatest(F.lit(1), F.floor(F.col("_n") / k))))
+    return placed.crossJoin(F.broadcast(n)).withColumn("fold", fold.cast("int")).drop("_place", "_n")
+
+
+def cross_validated(df: DataFrame, key: str, k: int, train_and_evaluate: Callable[[DataFrame, DataFrame], float], seed: int = 42) -> tuple[list[float], float, float]:
+    """Scores of k folds, their mean and deviation: train_and_evaluate(train, test) of each fold's complement and the fold."""
+    parts = written(folds(df, key, k, seed), "folds")
+    scores = [float(train_and_evaluate(parts.where(F.col("fold") != i).drop("fold"), parts.where(F.col("fold") == i).drop("fold"))) for i in range(k)]
+    mean = sum(scores) / k if k else 0.0
+    return scores, mean, (sum((s - mean) ** 2 for s in scores) / k) ** 0.5 if k else 0.0
 
 
 def stratified(df: DataFrame, key: str, size: int, seed: int = 42, stratum: str = "difficulty") -> DataFrame:
@@ -68,19 +92,24 @@ def stratified(df: DataFrame, key: str, size: int, seed: int = 42, stratum: str
     return df.where(F.col(stratum).isin("easy", "medium", "hard")).withColumn("_rn", rn).where(F.col("_rn") <= quota).drop("_rn")
 
 
-def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: mean, lo, hi of a 95% interval. Poisson resampling: each row's weight in a round is drawn from its key, so
-    rounds are sums and no resample is built."""
-    u = (F.pmod(F.xxhash64(F.col(key), "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cdf, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for i in range(1, 9):
-        cdf += term
-        weight = weight + (u > cdf).cast("int")
-        term /= i
-    draws = df.select(F.col(key), F.col(value).alias("v")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select("round", "v", weight.alias("w"))
-    means = draws.groupBy("round").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    cut = lambda q: F.element_at(F.sort_array(F.collect_list("m")), F.lit(min(rounds, int(q * rounds) + 1)))  # noqa: E731  `rounds` values
-    return means.agg(cut(0.025).alias("lo"), cut(0.975).alias("hi")).crossJoin(df.agg(F.avg(value).alias("mean")))
+def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """One row: mean, lo, hi and std_error of an interval by resampling. In each round as many rows are drawn as there are,
+    with replacement; the places drawn are md5 of round and draw, so any engine can repeat them. No row gives zeros, one
+    row its value."""
+    some = df.where(F.col(value).isNotNull())
+    placed = running(some.select(F.col(key), F.col(value).alias("v")), F.lit(1), key, name="place").select((F.col("place") - 1).alias("place"), "v")
+    n = placed.count()
+    if not n:
+        return df.sparkSession.range(1).select(*[F.lit(0.0).alias(c) for c in ("mean", "lo", "hi", "std_error")])
+    draws = placed.select(F.col("place").alias("draw")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "round", "draw", F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("long") % n
+    # Each place is drawn by some rounds times: counted before the values are joined.
+    times = draws.groupBy("round", drawn.alias("place")).agg(F.count(F.lit(1)).alias("times"))
+    means = times.join(placed, "place").groupBy("round").agg((F.sum(F.col("v") * F.col("times")) / n).alias("m"))
+    at = lambda q: F.element_at(F.sort_array(F.collect_list("m")), F.lit(min(rounds, int(q * rounds) + 1)))  # noqa: E731  `rounds` values
+    alpha = 1 - confidence
+    one = means.agg(at(round(alpha / 2, 12)).alias("lo"), at(round(1 - alpha / 2, 12)).alias("hi"), F.stddev_pop("m").alias("std_error"))
+    return one.crossJoin(F.broadcast(some.agg(F.avg(value).alias("mean")))).select("mean", "lo", "hi", "std_error")
 
 
 def judged(runs: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import bucketed, small, written
+from ..sources.shared import bucketed, by_bucket, small, written
 
 K1, B = 1.2, 0.75
 #: Up to so many terms of queries are broadcast.
@@ -70,7 +70,9 @@ def _indexed(occurrences: DataFrame, dl: DataFrame, keep) -> TextIndex:
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Occurrences, counted where their document lies, and lengths."""
     tokens = docs.select(F.col(id_col).alias("doc_id"), T.code_tokens(F.col(text_col)).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
+    tokens = written(by_bucket(tokens, "doc_id"), "tokens")
     each = tokens.select("doc_id", "dl", F.explode("t").alias("term"))
     return each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), tokens.select("doc_id", "dl")
 

@@ -342,8 +342,8 @@ def wn06b(spark, d):
 @query("wn10_git_priority", "SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 200 ELSE 100 - CAST(row_number() OVER (ORDER BY last DESC, user_id) - 1 AS INT) END AS priority FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) x")
 def wn10(spark, d):
     per = events(spark, d).groupBy("user_id").agg(F.max("ts").alias("last"))
-    place = F.row_number().over(Window.orderBy(F.desc("last"), "user_id")) - 1
-    return per.select("user_id", F.when(F.col("user_id") % 5 == 0, 200).otherwise(100 - place).alias("priority"))
+    placed = E.running(per, F.lit(1), F.desc("last"), F.col("user_id"), name="place")
+    return placed.select("user_id", F.when(F.col("user_id") % 5 == 0, 200).otherwise(101 - F.col("place")).cast("int").alias("priority"))
 
 
 @query("tk01_top_k", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
@@ -433,9 +433,12 @@ def sm07(spark, d):
 # ---- statistics
 
 
-@query("sa01_bootstrap")
+@query("sa01_bootstrap", """WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS place, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM v), draws AS (
+  SELECT round, CAST(concat('0x', substr(md5(concat(round, ':', place, ':42')), 1, 13)) AS BIGINT) % n AS place FROM v CROSS JOIN n CROSS JOIN range(1, 1001) r(round)),
+  m AS (SELECT round, sum(v) / count(*) AS m FROM draws JOIN v USING (place) GROUP BY round), s AS (SELECT list(m ORDER BY m) AS l, stddev_pop(m) AS std_error FROM m)
+  SELECT round((SELECT avg(v) FROM v), 6) AS mean, round(l[26], 6) AS lo, round(l[976], 6) AS hi, round(std_error, 6) AS std_error FROM s""")
 def sa01(spark, d):
-    return E.bootstrap(S.table(spark, d, "supplier"), "s_acctbal", "s_suppkey", 200)
+    return E.bootstrap(S.table(spark, d, "supplier"), "s_acctbal", "s_suppkey").select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "std_error")])
 
 
 _GROUPS = "r AS (SELECT event_type, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS rk FROM events WHERE event_type IN ('click', 'view')), s AS (SELECT count_if(event_type = 'click') AS n1, count_if(event_type = 'view') AS n2, sum(rk) FILTER (event_type = 'click') AS r1, avg(value) FILTER (event_type = 'click') AS m1, avg(value) FILTER (event_type = 'view') AS m2, var_pop(value) FILTER (event_type = 'click') AS v1, var_pop(value) FILTER (event_type = 'view') AS v2 FROM r)"

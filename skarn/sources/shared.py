@@ -31,12 +31,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_bucket(df: DataFrame, key: str) -> DataFrame:
+    """df with the rows of a bucket in one partition."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     """df as a table bucketed by a key: what groups or joins by it later needs no shuffle."""
     spark = df.sparkSession
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, what)
     name = "skarn_" + path.rpartition("/")[2].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    by_bucket(df, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
