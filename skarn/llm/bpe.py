@@ -27,7 +27,7 @@ from .words import gathered, segments
 
 _NONE = np.int32(2**31 - 1)
 #: Bytes of text encoded at once; its ids and their spellings take some 20 times as much.
-SLICE = 3 << 20
+SLICE = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +40,7 @@ class SegmentTreeBPE:
     """Encoder and decoder for one table of ranks and one pattern. Remembers pieces, and forgets all of them
     once there are more than `memory`."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 100_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.size = max(ranks.values()) + 1
