@@ -24,10 +24,18 @@ def session(app: str = "skarn", master: str | None = None, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+#: Bytes of rows that go to a Python worker at once, where the application sets no other. Spark's own bound of 64 MB, held
+#: several times on both sides, is a large part of a small executor.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's source to the executors through Spark, once for each application."""
+    """Sends this package's source to the executors through Spark and bounds the batches for Python workers, once for each
+    application."""
     sc = spark.sparkContext
     if sc.applicationId not in _sent:
+        if not sc.getConf().contains(BATCH[0]):
+            spark.conf.set(*BATCH)
         root = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="skarn-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
