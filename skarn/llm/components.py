@@ -24,3 +24,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links (a, b), which join whole components: only the links' ends are walked."""
+
+    def at(frame: DataFrame, col: str) -> DataFrame:
+        to = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        return frame.join(to, frame[col] == to["_n"], "left").withColumn(col, F.coalesce("_l", col)).drop("_n", "_l")
+
+    roots = components(at(at(links.select("a", "b"), "a"), "b")).select(F.col("node").alias("root"), F.col("label").alias("least"))
+    known = labels.join(roots, labels["label"] == roots["root"], "left").select("node", F.coalesce("least", "label").alias("label"))
+    return known.unionByName(roots.join(labels.select("node"), roots["root"] == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("least").alias("label")))

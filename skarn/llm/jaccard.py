@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import plain_text, slices, table, tidy, written
-from .components import components
+from .components import components, merged
 from .words import spaced
 
 GRAM = 5
@@ -660,9 +660,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: i
         mixed = written(mixed.join(maps, "doc", "left"), "join-entries")
         for forest in (True, False):
             cross = written(_cross(_mixed_lists(labelled(mixed), held), forest), "join-across")
-            if not cross.isEmpty():
-                links = links.unionByName(_verified(docs, _second_members(cross)))
-                labels = components(links)
+            if cross.isEmpty():
+                break
+            new = _verified(docs, _second_members(cross)).distinct()
+            if not new.isEmpty():
+                labels = written(merged(labels, new), "labels")
+            # Where all pairs of the forests are links, what they left out lies in one component too.
+            if forest and new.count() == cross.count():
+                break
     best = sizes.where("doc_id is not null").join(reps, "print", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = best.join(labels, best["rep"] == labels["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     none = sizes.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
