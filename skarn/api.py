@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import analytics, chunk, graph, incremental, search, vector
+from .sources.shared import written
 
 MODES = ("semantic", "keyword", "hybrid")
 
@@ -29,6 +30,7 @@ class Engine:
     def __init__(self, files: DataFrame, manifest: DataFrame | None = None, embed=vector.hashing_embedding, max_tokens: int = 512, overlap: float = 0.25):
         self.files, self.manifest, self.embed = files, manifest, embed
         self.size, self.step = chunk.windows(max_tokens, overlap)
+        self._stored: tuple[DataFrame, DataFrame | None, search.TextIndex | None] | None = None
 
     # ---- indexing
 
@@ -54,21 +56,30 @@ class Engine:
         lines = chunk.line_chunks(own, self.size, self.step).join(own.select("relative_path", "language"), "relative_path")
         return lines.withColumn("chunk_id", T.chunk_id(F.col("relative_path"), F.col("start_line"), F.col("end_line"), F.col("content")))
 
+    def _store(self, vectors: bool, words: bool) -> tuple[DataFrame, DataFrame | None, search.TextIndex | None]:
+        """Chunks, their vectors and their text index as written tables, each made by the first search that needs it."""
+        docs, vecs, index = self._stored or (written(self.chunks().withColumnRenamed("chunk_id", "doc_id"), "chunks"), None, None)
+        if vectors and vecs is None:
+            vecs = written(self.embed(docs.select("doc_id", F.col("content").alias("text"))).select("doc_id", "vector"), "vectors")
+        if words and index is None:
+            index = search.text_index(docs, text_col="content")
+        self._stored = docs, vecs, index
+        return self._stored
+
     # ---- retrieval
 
     def search(self, queries: DataFrame, *, mode: str = "hybrid", limit: int = 10, language: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, ranking: bool = False, compat: bool = False) -> DataFrame:
-        """query_id, rank, doc_id (chunk), relative_path, score."""
+        """query_id, rank, doc_id (chunk), relative_path, score. Reads the stored chunks, vectors and index."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
-        docs = self.chunks().withColumnRenamed("chunk_id", "doc_id")
+        docs, vectors, index = self._store(mode != "keyword", mode != "semantic")
         wide = limit * 3 * (2 if ranking else 1)
         semantic = keyword = None
         if mode != "keyword":
-            vectors = self.embed(docs.select("doc_id", F.col("content").alias("text"))).select("doc_id", "vector")
             asked = self.embed(queries.select("query_id", F.col("query").alias("text")), prefix="search_query: ").select("query_id", "vector")
             semantic = vector.knn(vectors, asked, wide)
         if mode != "semantic":
-            keyword = search.bm25(docs, queries, wide, text_col="content")
+            keyword = search.bm25_of(index, queries, wide)
         return search.search(docs, semantic, keyword, limit, include=include, exclude=exclude, ranking=ranking, language=language, compat=compat)
 
     def symbols(self, symbols: DataFrame, queries: DataFrame, *, threshold: float = 0.4, types: list[str] | None = None, limit: int = 10) -> DataFrame:
