@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,8 +21,14 @@ _INDEXES: dict[tuple[str, str], search.TextIndex] = {}
 
 
 def _text_index(spark, d):
-    """The stored index of a corpus, built once in an application; every keyword search reads it."""
+    """The stored index of a corpus, built once in an application, or again where its folder was cleared; every keyword
+    search reads it."""
     key = (spark.sparkContext.applicationId, d)
+    if key in _INDEXES:
+        try:
+            _INDEXES[key].stats.collect()
+        except (PySparkException, Py4JError):
+            del _INDEXES[key]
     if key not in _INDEXES:
         _INDEXES[key] = search.text_index(S.table(spark, d, "documents"))
     return _INDEXES[key]
