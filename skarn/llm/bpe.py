@@ -27,7 +27,9 @@ from .words import gathered, segments
 
 _NONE = np.int32(2**31 - 1)
 #: Bytes of text encoded at once; its ids and their spellings take some 20 times as much.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Leaves of the trees that are merged in step, one piece at least; a leaf takes some 50 bytes.
+CELLS = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +42,7 @@ class SegmentTreeBPE:
     """Encoder and decoder for one table of ranks and one pattern. Remembers pieces, and forgets all of them
     once there are more than `memory`."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 50_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.size = max(ranks.values()) + 1
@@ -71,7 +73,12 @@ class SegmentTreeBPE:
         text = [str(i).encode() + b" " for i in range(self.size)]
         self.text_starts = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.text_bytes = np.frombuffer(b"".join(text), np.uint8)
-        self.memory, self.known, self.starts, self.values = memory, {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.memory = memory
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the remembered pieces."""
+        self.known, self.starts, self.values = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -146,7 +153,7 @@ class SegmentTreeBPE:
         parts = []
         for width in np.unique(widths).tolist():
             members = todo[widths == width]
-            most = max(1, (1 << 19) // width)
+            most = max(1, CELLS // width)
             for k in range(0, len(members), most):
                 some = members[k : k + most]
                 size = lengths[some]
@@ -168,7 +175,7 @@ class SegmentTreeBPE:
     def encode_segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids): ids of each text end to end. Distinct pieces that are not yet known are merged together."""
         if len(self.known) > self.memory:
-            self.known, self.starts, self.values = {}, np.zeros(1, np.int64), np.zeros(0, np.int32)
+            self.forget()
         known = self.known
         place, counts, new = [], [], []
         for t in texts:
@@ -236,6 +243,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 if keep_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        c.forget()  # the worker lives on
         tidy()
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
