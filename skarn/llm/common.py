@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -50,6 +51,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(df: DataFrame, key: str, hot: int) -> DataFrame:
+    """The keys that hold more than 1/hot of df's rows, so fewer than `hot` of them; null is none."""
+    return written(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") > df.count() / hot)).select(key), "hot-keys")
+
+
+def by_key(left: DataFrame, right: DataFrame, key: str, hot: int, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
+    """left (a written table) joined to right, which has a key once. What belongs to a hot key comes by a broadcast of fewer
+    than `hot` rows, all else by a shuffle, so that no task gets a key's rows."""
+    keys = hot_keys(left, key, hot) if keys is None else keys
+    if keys.isEmpty():
+        return left.join(right, key, how)
+    keys = F.broadcast(keys)
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_semi").join(few, key, how).unionByName(left.join(keys, key, "left_anti").join(right, key, how))
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or a plain path."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")

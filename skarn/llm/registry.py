@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, idstore, jaccard, langid, media, mixing, secrets, sharding
+from . import ann, bpe, fim, html, idstore, jaccard, langid, lexical, media, mixing, secrets, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_url_filters": urls.op12_url_filters,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing_sources": mixing.ORACLE, "op5_sampled_splitters": sharding.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}
+    return {"op2_mixing_sources": mixing.ORACLE, "op5_sampled_splitters": sharding.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE,
+            "op11_fill_in_middle": fim.ORACLE, "op12_url_filters": urls.ORACLE, "op13_lexical_search": lexical.ORACLE}
