@@ -12,41 +12,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import analytics, chunk, graph, incremental, search, vector
-from .sources.shared import written
+from .sources.shared import small, written
+from .sources.versions import Versions
 
 MODES = ("semantic", "keyword", "hybrid")
+#: The tables of a published index; all but the last are replaced by file.
+TABLES = ("chunks", "vectors", "occurrences", "lengths", "manifest", "frequencies")
+KEY = "relative_path"
 
 
 @dataclass
 class Index:
-    """What indexing gives: tables to write and read again."""
+    """What indexing gives: the chunks, postings and manifest rows of the files that it took in, and the published version."""
 
     chunks: DataFrame
     postings: DataFrame
     manifest: DataFrame
+    version: int
 
 
 class Engine:
-    def __init__(self, files: DataFrame, manifest: DataFrame | None = None, embed=vector.hashing_embedding, max_tokens: int = 512, overlap: float = 0.25):
+    def __init__(self, files: DataFrame, manifest: DataFrame | None = None, embed=vector.hashing_embedding, max_tokens: int = 512, overlap: float = 0.25, versions: Versions | None = None):
+        """versions: where the index is published; a folder of its own if it is not given."""
         self.files, self.manifest, self.embed = files, manifest, embed
         self.size, self.step = chunk.windows(max_tokens, overlap)
-        self._stored: tuple[DataFrame, DataFrame | None, search.TextIndex | None] | None = None
+        self.versions = versions or Versions(files.sparkSession)
 
     # ---- indexing
 
     def plan(self, force: bool = False) -> DataFrame:
-        """relative_path and action against the manifest; everything is added anew with `force` or without one."""
-        if force or self.manifest is None:
+        """relative_path and action against the manifest that the engine was given, or the published one once it has indexed or
+        was given none; everything is added anew with `force` or without a manifest."""
+        old = self.manifest
+        if old is None and self.versions.latest():
+            old = self.versions.table("manifest")
+        if force or old is None:
             return self.files.select("relative_path", F.lit("add").alias("action"))
-        return incremental.plan(incremental.manifest_diff(self.files, self.manifest))
-
-    def index(self, force: bool = False) -> Index:
-        """Chunks, postings and manifest rows of the files that the plan adds or updates."""
-        todo = self.plan(force).where("action <> 'delete'").select("relative_path")
-        fresh = self.files.join(todo, "relative_path", "left_semi")
-        chunks = self.chunks(fresh)
-        rows = fresh.join(chunks.groupBy("relative_path").agg(F.count(F.lit(1)).alias("chunk_count")), "relative_path", "left")
-        return Index(chunks, search.postings(chunks, "chunk_id", "content"), rows.select("relative_path", "hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")))
+        return incremental.plan(incremental.manifest_diff(self.files, old))
+
+    def index(self, force: bool = False, plan: DataFrame | None = None) -> Index:
+        """Brings the published index up to the files by a plan (relative_path, action), by default that of `plan`. Chunks,
+        vectors, postings and the manifest of the planned files are replaced in one version; the first version, and any with
+        `force`, holds all files."""
+        todo = written((self.plan(force) if plan is None else plan).select("relative_path", "action"), "plan")
+        added = todo.where("action <> 'delete'").select("relative_path")
+        first = force or not self.versions.latest()
+        fresh = self.files.join(small(added), "relative_path", "left_semi")
+        tables = self._tables(self.files if first else fresh)
+        if first:
+            tables["frequencies"] = tables["occurrences"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            version = self.versions.publish(tables, {t: KEY for t in TABLES[:-1]})
+        else:
+            gone = todo.select(F.col("relative_path").alias("key"))
+            lost = self.versions.table("occurrences").join(small(todo.select("relative_path")), KEY, "left_semi")
+            change = lost.select("term", F.lit(-1).cast("long").alias("df")).unionByName(tables["occurrences"].select("term", F.lit(1).cast("long").alias("df")))
+            sums = self.versions.table("frequencies").unionByName(change.groupBy("term").agg(F.sum("df").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
+            version = self.versions.replace(gone, tables, {"frequencies": sums.where("df > 0")})
+        self.manifest = None  # from here on the published one counts
+        own = lambda name: self.versions.table(name, version).join(small(added), KEY, "left_semi")
+        return Index(own("chunks").withColumnRenamed("doc_id", "chunk_id"), own("occurrences").select("doc_id", "term", "tf"), own("manifest").select("relative_path", "hash", "chunk_count"), version)
+
+    def update(self, files: DataFrame, plan: DataFrame | None = None) -> Index:
+        """Takes the files as they are now and brings the index up to them."""
+        self._stored()
+        self.files = files
+        return self.index(plan=plan)
+
+    def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
+        """The tables of some files, all from one written set of chunks."""
+        docs = written(self.chunks(files).withColumnRenamed("chunk_id", "doc_id"), "chunks")
+        path = docs.select("doc_id", KEY)
+        tf, dl = search.occurrences_of(docs, "doc_id", "content", KEY)
+        counts = docs.groupBy(KEY).agg(F.count(F.lit(1)).alias("chunk_count"))
+        return {
+            "chunks": docs,
+            "vectors": self.embed(docs.select("doc_id", F.col("content").alias("text"))).select("doc_id", "vector").join(path, "doc_id").select("doc_id", KEY, "vector"),
+            "occurrences": tf,
+            "lengths": dl,
+            "manifest": files.select(KEY, "hash").join(counts, KEY, "left").select(KEY, "hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")),
+        }
+
+    def _stored(self) -> int:
+        """The newest version; all files are published if there is none."""
+        if self.versions.latest() is None:
+            given = self.manifest
+            self.index(force=True)
+            self.manifest = given
+        return self.versions.latest()
 
     def chunks(self, files: DataFrame | None = None) -> DataFrame:
         """chunk_id, relative_path, language, start_line, end_line, content, tokens."""
@@ -56,31 +108,35 @@ class Engine:
         lines = chunk.line_chunks(own, self.size, self.step).join(own.select("relative_path", "language"), "relative_path")
         return lines.withColumn("chunk_id", T.chunk_id(F.col("relative_path"), F.col("start_line"), F.col("end_line"), F.col("content")))
 
-    def _store(self, vectors: bool, words: bool) -> tuple[DataFrame, DataFrame | None, search.TextIndex | None]:
-        """Chunks, their vectors and their text index as written tables, each made by the first search that needs it."""
-        docs, vecs, index = self._stored or (written(self.chunks().withColumnRenamed("chunk_id", "doc_id"), "chunks"), None, None)
-        if vectors and vecs is None:
-            vecs = written(self.embed(docs.select("doc_id", F.col("content").alias("text"))).select("doc_id", "vector"), "vectors")
-        if words and index is None:
-            index = search.text_index(docs, text_col="content")
-        self._stored = docs, vecs, index
-        return self._stored
-
     # ---- retrieval
 
     def search(self, queries: DataFrame, *, mode: str = "hybrid", limit: int = 10, language: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, ranking: bool = False, compat: bool = False) -> DataFrame:
-        """query_id, rank, doc_id (chunk), relative_path, score. Reads the stored chunks, vectors and index."""
+        """query_id, rank, doc_id (chunk), relative_path, score. Reads the newest published version; filters hold before
+        anything is ranked (with `compat`, as search.search says)."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
-        docs, vectors, index = self._store(mode != "keyword", mode != "semantic")
-        wide = limit * 3 * (2 if ranking else 1)
+        at = self._stored()
+        docs = self.versions.table("chunks", at)
+        filtered = bool(language or include or exclude) and not compat
+        within = written(search.allowed(docs, language, include, exclude), "allowed") if filtered else None
+        wide = limit * (2 if ranking else 1) * (3 if compat and (include or exclude) else 1) * 3
         semantic = keyword = None
         if mode != "keyword":
+            vectors = self.versions.table("vectors", at)
+            if within is not None:
+                vectors = vectors.join(within, "doc_id", "left_semi")
+            elif compat and language:
+                vectors = vectors.join(search.allowed(docs, language), "doc_id", "left_semi")
             asked = self.embed(queries.select("query_id", F.col("query").alias("text")), prefix="search_query: ").select("query_id", "vector")
             semantic = vector.knn(vectors, asked, wide)
         if mode != "semantic":
-            keyword = search.bm25_of(index, queries, wide)
-        return search.search(docs, semantic, keyword, limit, include=include, exclude=exclude, ranking=ranking, language=language, compat=compat)
+            keyword = search.bm25_of(self._text_index(at), queries, wide, within=within)
+        return search.search(docs, semantic, keyword, limit, include=include if compat else None, exclude=exclude if compat else None, ranking=ranking, language=language if compat else None, compat=compat)
+
+    def _text_index(self, at: int) -> search.TextIndex:
+        lengths = self.versions.table("lengths", at)
+        stats = search.corpus_stats(lengths)
+        return search.TextIndex(self.versions.table("occurrences", at), lengths, search.idf_of(self.versions.table("frequencies", at), stats), stats)
 
     def symbols(self, symbols: DataFrame, queries: DataFrame, *, threshold: float = 0.4, types: list[str] | None = None, limit: int = 10) -> DataFrame:
         from .functions import text as T

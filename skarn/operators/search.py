@@ -39,10 +39,14 @@ def corpus_stats(dl: DataFrame) -> DataFrame:
     return dl.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), F.avg("dl").alias("avgdl"))
 
 
+def idf_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf of a table of document frequencies (term, df)."""
+    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+
+
 def inverse_frequency(tf: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf."""
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return idf_of(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
 
 
 def top(scored: DataFrame, k: int, by: str = "score", tie: str = "doc_id", group: str | None = "query_id", rank: str = "rank") -> DataFrame:
@@ -77,6 +81,13 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), tokens.select("doc_id", "dl")
 
 
+def occurrences_of(docs: DataFrame, id_col: str, text_col: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (doc_id, key, dl, term, tf) and lengths (doc_id, key, dl) of documents that belong to a key."""
+    tokens = docs.select(F.col(id_col).alias("doc_id"), key, T.code_tokens(F.col(text_col)).alias("t")).select("doc_id", key, "t", F.size("t").cast("long").alias("dl"))
+    tokens = written(tokens, "tokens")
+    return tokens.select("doc_id", key, "dl", F.explode("t").alias("term")).groupBy("doc_id", key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), tokens.select("doc_id", key, "dl")
+
+
 def _kept(df: DataFrame, what: str) -> DataFrame:
     """Occurrences are bucketed by document, so that scores are summed without a shuffle; the rest is a written table."""
     return bucketed(df, what, "doc_id") if what == "occurrences" else written(df, what)
@@ -96,9 +107,9 @@ def updated(index: TextIndex, gone: DataFrame, fresh: DataFrame, *, id_col: str
     return _indexed(rest(index.occurrences).unionByName(tf), rest(index.lengths).unionByName(dl), _kept)
 
 
-def bm25_of(index: TextIndex, queries: DataFrame, k: int = 10, *, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_of(index: TextIndex, queries: DataFrame, k: int = 10, *, within: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, rank, doc_id, score by an index. A term that a query repeats counts as often; a query without terms has
-    no rows.
+    no rows. within: the documents (doc_id) that may be found; frequencies stay those of the whole corpus.
 
     The terms of all queries are a broadcast where they are counted to be few; then each occurrence meets them where it
     lies, a document's scores are summed there, and only the best of each task are shuffled."""
@@ -106,7 +117,8 @@ def bm25_of(index: TextIndex, queries: DataFrame, k: int = 10, *, k1: float = K1
     wanted = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights_ = written(wanted.join(index.frequencies, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "query-terms")
     few = weights_.count() <= BROADCAST_ROWS
-    each = index.occurrences.join(F.broadcast(weights_) if few else weights_, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    occurrences = index.occurrences if within is None else index.occurrences.join(within.select("doc_id"), "doc_id", "left_semi")
+    each = occurrences.join(F.broadcast(weights_) if few else weights_, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     score = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     total = each.groupBy("doc_id", "query_id").agg(F.round(F.sum(score), DIGITS).alias("score"))
     return top(total, k).select("query_id", "rank", "doc_id", "score")
@@ -172,21 +184,31 @@ def rank_score(semantic: Column, keyword: Column, recency: Column, exported: Col
     return unit(unit(semantic) * w["semantic"] + unit(keyword) * w["keyword"] + unit(recency) * w["recency"] + exported.cast("double") * w["exported"] + entry_point.cast("double") * w["entry_point"])
 
 
+def allowed(chunks: DataFrame, language: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """doc_id of the chunks that a search's filters leave."""
+    own = chunks.where(F.col("language") == language) if language else chunks
+    return own.where(T.in_scope(F.col("relative_path"), include, exclude)).select("doc_id")
+
+
 def search(chunks: DataFrame, semantic: DataFrame | None, keyword: DataFrame | None, k: int = 10, *, include: list[str] | None = None, exclude: list[str] | None = None, ranking: bool = False, language: str | None = None, compat: bool = False) -> DataFrame:
-    """Search over chunks (doc_id, relative_path, language, content): fuse what is given, filter, rank, cut.
-
-    The language filter holds for both sides; with `compat`, for the semantic side alone."""
-    fetch = k * (2 if ranking else 1) * (3 if include or exclude else 1)
-    wanted = chunks.where(F.col("language") == language) if language else chunks
-    keep = lambda side: side.join(wanted.select("doc_id"), "doc_id", "left_semi")
-    s = keep(semantic) if semantic is not None and language else semantic
-    kw = keep(keyword) if keyword is not None and language and not compat else keyword
+    """Search over chunks (doc_id, relative_path, language, content): filter, fuse what is given, rank, cut.
+
+    Filters hold for both lists and come before anything is cut; lists that were cut before should be made from what the
+    filters leave (`allowed`). With `compat`, the language holds for the semantic list alone, and the scope is applied to
+    three times as many results after they are fused, so some may be missing."""
+    fetch = k * (2 if ranking else 1) * (3 if compat and (include or exclude) else 1)
+    s, kw = semantic, keyword
+    if language or not compat and (include or exclude):
+        wanted = allowed(chunks, language, None if compat else include, None if compat else exclude)
+        s = s if s is None else s.join(wanted, "doc_id", "left_semi")
+        kw = kw if kw is None or compat else kw.join(wanted, "doc_id", "left_semi")
     if s is not None and kw is not None:
         found = hybrid(s, kw, fetch)
     else:
         one = s if s is not None else kw
         found = top(one.select("query_id", "doc_id", "score", (F.col("score") if s is not None else F.lit(0.0)).alias("semantic"), (F.lit(0.0) if s is not None else F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).alias("keyword")), fetch)
-    out = found.drop("rank").join(chunks, "doc_id").where(T.in_scope(F.col("relative_path"), include, exclude))
+    out = found.drop("rank").join(chunks, "doc_id")
+    out = out.where(T.in_scope(F.col("relative_path"), include, exclude)) if compat else out
     if ranking:
         out = out.withColumn("score", F.round(rank_score(F.col("semantic"), F.col("keyword"), F.lit(0.5), T.is_exported(F.col("content")), T.is_entry_point(F.col("relative_path"))), DIGITS))
     return top(out, k).select("query_id", "rank", "doc_id", "relative_path", "score")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,48 @@ def hashing_embedding(df: DataFrame, text_col: str = "text", dims: int = 384, pr
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{schema}, vector array<float>")
+
+
+#: Dimensions where neither the model nor the caller states any.
+DIMENSIONS = 384
+
+
+@dataclass(frozen=True)
+class Model:
+    """An embedding: embed(df with a column text, prefix=...) gives df with `vector` of `dims` floats."""
+
+    name: str
+    dims: int
+    embed: Callable[..., DataFrame]
+
+
+MODELS: dict[str, Model] = {}
+
+
+def register(model: Model) -> Model:
+    """Makes a model known by its name; a later one of the name replaces it."""
+    MODELS[model.name] = model
+    return model
+
+
+register(Model("hashing", DIMENSIONS, hashing_embedding))
+
+
+def resolved_dims(requested: float | None, native: float | None) -> int:
+    """The smaller of what is asked for and what the model has; a number that is missing or not positive does not count."""
+    known = lambda x: x is not None and x == x and 0 < x < float("inf")
+    if not known(native):
+        return DIMENSIONS
+    return int(min(requested, native)) if known(requested) else int(native)
+
+
+def embedder(name: str = "hashing", dims: int | None = None) -> Callable[..., DataFrame]:
+    """The embedding of a registered model, cut to the resolved dimensions; not normalised again."""
+    model = MODELS[name]
+    size = resolved_dims(dims, model.dims)
+
+    def run(df: DataFrame, **options) -> DataFrame:
+        out = model.embed(df, **options)
+        return out if size == model.dims else out.withColumn("vector", F.slice("vector", 1, size))
+
+    return run

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk, incremental, search, vector
 from ..sources import tables as S
+from ..sources.shared import written
+from ..sources.versions import Versions
 from .registry import query
 from .scalar import _NORM, duck_tokens
 
@@ -212,7 +214,7 @@ def tx06(spark, d):
 @query("tx07_search_hybrid", rf"{_FUSE}, f AS (SELECT query_id, doc_id, relative_path, {_RANK} AS score FROM hy JOIN v_files USING (doc_id) WHERE rank <= 60 AND regexp_matches(relative_path, '{T.glob_regex('src*/**')}') AND NOT regexp_matches(relative_path, '{T.glob_regex('**/*.de')}')) SELECT query_id, rank, doc_id, relative_path, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM f) x WHERE rank <= 10")
 def tx07(spark, d):
     kw = _keyword(spark, d)
-    return search.search(S.files(spark, d), _semantic(spark, d), kw, include=["src*/**"], exclude=["**/*.de"], ranking=True)
+    return search.search(S.files(spark, d), _semantic(spark, d), kw, include=["src*/**"], exclude=["**/*.de"], ranking=True, compat=True)
 
 
 @query("tx08_search_modes", f"WITH {_BM25} SELECT query_id, rank, doc_id, relative_path, score FROM kw JOIN v_files USING (doc_id) WHERE rank <= 10")
@@ -311,6 +313,60 @@ def inc02(spark, d):
     return p.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Recursive: a file's stays one after the other. `at` orders what happens to a path.
+_NET = """lg AS (SELECT DISTINCT * FROM v_commits), lk AS (SELECT *, CASE status WHEN 'R' THEN concat(seq, '|', old_path, '|', path) END AS link FROM lg),
+ tc AS (SELECT path, seq, 1 AS kind, CAST(NULL AS VARCHAR) AS link, NULL AS o FROM lk WHERE status = 'A' UNION ALL SELECT path, seq, 2, NULL, NULL FROM lk WHERE status = 'M' UNION ALL SELECT path, seq, 0, NULL, NULL FROM lk WHERE status = 'D'
+  UNION ALL SELECT path, seq, 1, link, old_path FROM lk WHERE status = 'R' UNION ALL SELECT old_path, seq, 0, link, old_path FROM lk WHERE status = 'R'),
+ sg AS (SELECT *, sum(CASE kind WHEN 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY seq, kind, o ROWS UNBOUNDED PRECEDING) AS seg, row_number() OVER (PARTITION BY path ORDER BY seq, kind, o) AS pos FROM tc),
+ st AS (SELECT path, seg, bool_or(kind = 1) AS born, arg_min(link, pos) FILTER (WHERE kind = 1) AS came, arg_min_null(link, pos) FILTER (WHERE kind = 0) AS gone_by, bool_or(kind = 0) OR seg < max(seg) OVER (PARTITION BY path) AS gone FROM sg GROUP BY path, seg),
+ wk AS (SELECT path AS start, born, path, gone, gone_by FROM st WHERE came IS NULL OR came NOT IN (SELECT gone_by FROM st WHERE gone_by IS NOT NULL) UNION ALL SELECT wk.start, wk.born, n.path, n.gone, n.gone_by FROM wk JOIN st n ON n.came = wk.gone_by),
+ net AS (SELECT CASE WHEN born THEN 'A' WHEN gone THEN 'D' WHEN start = path THEN 'M' ELSE 'R' END AS status, CASE WHEN gone THEN start ELSE path END AS path, CASE WHEN NOT born AND NOT gone AND start <> path THEN start END AS old_path FROM wk WHERE gone_by IS NULL AND NOT (born AND gone))"""
+# The crawl has all documents and the files alive at the end (notes are no source files); the manifest, an earlier state of both.
+_GIT = f"""{_NET}, now AS (SELECT relative_path FROM v_files UNION SELECT path FROM net WHERE status <> 'D' AND path NOT LIKE 'docs/%'),
+ was AS (SELECT relative_path FROM v_manifest UNION SELECT coalesce(old_path, path) FROM net WHERE status <> 'A'),
+ took AS (SELECT DISTINCT CASE status WHEN 'D' THEN path ELSE old_path END AS path FROM net WHERE status IN ('D', 'R')),
+ came AS (SELECT path, arg_min(status, status) AS status, arg_min_null(old_path, status) AS old_path FROM net WHERE status <> 'D' AND path IN (SELECT relative_path FROM now) GROUP BY path),
+ chg AS (SELECT coalesce(c.path, t.path) AS relative_path, CASE WHEN c.path IS NULL AND n.relative_path IS NULL THEN 'delete' WHEN t.path IS NOT NULL OR c.status = 'M' THEN 'update' ELSE 'add' END AS action,
+  CASE WHEN c.path IS NULL AND n.relative_path IS NULL THEN 'deleted' WHEN t.path IS NOT NULL THEN 'replaced' WHEN c.status = 'M' THEN 'modified' WHEN c.status = 'R' THEN 'renamed' ELSE 'added' END AS reason, c.old_path FROM came c FULL JOIN took t ON c.path = t.path LEFT JOIN now n ON n.relative_path = coalesce(c.path, t.path)),
+ plan AS (SELECT * FROM chg UNION ALL SELECT relative_path, 'add', 'catch_all', NULL FROM now WHERE relative_path NOT IN (SELECT relative_path FROM was) AND relative_path NOT IN (SELECT relative_path FROM chg))"""
+
+
+def _net(spark, d):
+    return incremental.net_changes(incremental.parse_name_status(S.commits(spark, d)))
+
+
+def _git_state(spark, d):
+    """net changes, the files as they are now, and the manifest of the state that was indexed."""
+    net = written(_net(spark, d), "net-changes")
+    text = lambda c, note: F.concat(F.lit("// "), c, F.lit(f"\n{note} of "), c, F.lit("\nexport function "), F.regexp_replace(c, "[^a-z0-9]+", "_"), F.lit("() {}"))
+    alive = net.where("status <> 'D' and path not like 'docs/%'").select(F.col("path").alias("relative_path")).distinct()
+    alive = alive.select("relative_path", F.lit("typescript").alias("language"), text(F.col("relative_path"), "body").alias("content"))
+    before = net.where("status <> 'A' and path not like 'docs/%'").select(F.coalesce("old_path", "path").alias("relative_path")).distinct()
+    before = before.select("relative_path", F.lit("typescript").alias("language"), text(F.col("relative_path"), "stale words").alias("content"))
+    docs = S.files(spark, d)
+    files = docs.select("relative_path", "language", "content", "hash").unionByName(alive.withColumn("hash", T.short_hash(F.col("content"))))
+    old = S.manifest(spark, d).join(docs.select("relative_path", "language", "content"), "relative_path", "left")
+    old = old.select("relative_path", "language", F.when(F.col("hash") == "stale", F.concat(F.lit("stale words\n"), "content")).otherwise(F.coalesce("content", F.lit("a file that went"))).alias("content"), "hash")
+    return net, files, old.unionByName(before.withColumn("hash", T.short_hash(F.col("content"))))
+
+
+@query("inc02b_net_changes", f"WITH RECURSIVE {_NET} SELECT status, path, old_path FROM net")
+def inc02b(spark, d):
+    return _net(spark, d)
+
+
+@query("inc02c_git_plan", f"WITH RECURSIVE {_GIT} SELECT relative_path, action, reason, old_path FROM plan")
+def inc02c(spark, d):
+    net, files, old = _git_state(spark, d)
+    return incremental.git_plan(files, old, net)
+
+
+@query("inc02d_git_plan_stats", f"WITH RECURSIVE {_GIT}, c AS (SELECT count(*) FILTER (WHERE action = 'add' AND reason <> 'catch_all') AS added, count(*) FILTER (WHERE action = 'update') AS updated, count(*) FILTER (WHERE action = 'delete') AS deleted, count(*) FILTER (WHERE reason = 'catch_all') AS caught, (SELECT count(*) FROM now) AS total FROM plan) SELECT *, total - added - updated - caught AS unchanged FROM c")
+def inc02d(spark, d):
+    net, files, old = _git_state(spark, d)
+    return incremental.plan_stats(incremental.git_plan(files, old, net), files)
+
+
 @query("inc03_full_plan", "SELECT relative_path, 'add' AS action FROM v_files")
 def inc03(spark, d):
     return S.files(spark, d).select("relative_path", F.lit("add").alias("action"))
@@ -358,6 +414,45 @@ def inc05(spark, d):
     return incremental.apply_plan(old, actions, fresh)
 
 
+# The files as they are now, their chunks of 16 lines every 12, and what a search over those chunks finds.
+_NOW = f"""{_NET}, nf AS (SELECT relative_path, content FROM v_files UNION ALL SELECT path, concat('// ', path, chr(10), 'body of ', path, chr(10), 'export function ', regexp_replace(path, '[^a-z0-9]+', '_', 'g'), '() {{}}') FROM (SELECT DISTINCT path FROM net WHERE status <> 'D' AND path NOT LIKE 'docs/%') y),
+ ch AS (SELECT relative_path, start_line, end_line, content, substr(sha256(concat(relative_path, ':', start_line, ':', end_line, ':', content)), 1, 16) AS doc_id FROM ({_CHUNK.format(size=16, step=12).replace('v_files', 'nf')}) z WHERE regexp_matches(content, '\\S'))"""
+_SEARCH = f"""{_NOW}, tok AS (SELECT doc_id, unnest({duck_tokens('content')}) AS term FROM ch), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, len({duck_tokens('content')}) AS dl FROM ch), st2 AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+ idf AS (SELECT term, ln(((SELECT n FROM st2) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY term), {_Q}, bm AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / (SELECT avgdl FROM st2)))), 6) AS score FROM tf JOIN idf USING (term) JOIN qn USING (term) JOIN dl USING (doc_id) GROUP BY ALL)"""
+
+
+def _brought_up(spark, d):
+    """An engine that published the earlier state and was brought up to date by the git-based plan."""
+    from ..api import Engine
+
+    net, files, old = _git_state(spark, d)
+    files = written(files, "files-now")
+    engine = Engine(written(old, "files-before"), max_tokens=64, embed=vector.embedder("hashing", 16), versions=Versions(spark, buckets=4))
+    engine.update(files, incremental.git_plan(files, old, net).unionByName(incremental.plan(incremental.manifest_diff(S.files(spark, d), S.manifest(spark, d))).where("action <> 'add'").withColumns({"reason": F.lit("hash"), "old_path": F.lit(None).cast("string")})))
+    return engine
+
+
+@query("inc05b_published_after_plan", f"WITH RECURSIVE {_NOW}, tok AS (SELECT doc_id, unnest({duck_tokens('content')}) AS term FROM ch), tf AS (SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS dl FROM tok GROUP BY doc_id) SELECT doc_id, relative_path, start_line, coalesce(terms, 0) AS terms, coalesce(dl, 0) AS dl, 16 AS dims FROM ch LEFT JOIN tf USING (doc_id)")
+def inc05b(spark, d):
+    """Chunks, vectors, postings and lengths of the newest version, joined by chunk: none may lack its others."""
+    v = _brought_up(spark, d).versions
+    n = v.latest()
+    terms = v.table("occurrences", n).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"))
+    rows = v.table("chunks", n).join(v.table("vectors", n).select("doc_id", F.size("vector").alias("dims")), "doc_id", "full_outer").join(v.table("lengths", n).select("doc_id", "dl"), "doc_id", "full_outer").join(terms, "doc_id", "full_outer")
+    return rows.select("doc_id", "relative_path", "start_line", F.coalesce("terms", F.lit(0)).alias("terms"), "dl", "dims")
+
+
+@query("inc05c_search_after_plan", f"WITH RECURSIVE {_SEARCH} SELECT query_id, rank, doc_id, relative_path, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM bm) x JOIN ch USING (doc_id) WHERE rank <= 10")
+def inc05c(spark, d):
+    return _brought_up(spark, d).search(_queries(spark, d), mode="keyword")
+
+
+@query("tx07b_filtered_search", f"WITH RECURSIVE {_SEARCH} SELECT query_id, rank, doc_id, relative_path, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM bm JOIN ch USING (doc_id) WHERE regexp_matches(relative_path, '[.]es$') AND NOT regexp_matches(relative_path, '^src_?1')) x WHERE rank <= 10")
+def tx07b(spark, d):
+    """A rare language and a scope: the filters come before the ranking, so nothing that they leave is missing."""
+    return _brought_up(spark, d).search(_queries(spark, d), mode="keyword", language="es", exclude=["src1*/**", "src_1*/**"])
+
+
 @query("inc06_version_gate", "SELECT relative_path, 'add' AS action FROM v_files")
 def inc06(spark, d):
     # Another version or root: the old manifest counts for nothing.

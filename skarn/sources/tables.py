@@ -72,6 +72,20 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("callee"))
 
 
+def commits(spark: SparkSession, d: str) -> DataFrame:
+    """A history of commits (seq, line) in the form of a name-status diff: what a user clicks is modified, a view renames the
+    user's file, a purchase deletes it, a signup adds it, an error touches the user's notes."""
+    n = F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    at = lambda v: F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit("_"), v.cast("string"), F.lit(".ts"))
+    v = F.col("v")
+    line = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("R090\t"), at(v - 1), F.lit("\t"), at(v)))
+        .when(F.col("event_type") == "click", F.concat(F.lit("M\t"), at(v))).when(F.col("event_type") == "purchase", F.concat(F.lit("D\t"), at(v)))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("A\t"), at(v))).otherwise(F.concat(F.lit("M\tdocs/u"), F.col("user_id").cast("string"), F.lit(".md")))
+    )
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", n.alias("v")).select(F.col("event_id").alias("seq"), line.alias("line"))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevant"))
 
@@ -87,5 +101,6 @@ DUCK = {
     "v_tasks": "SELECT concat(conv_id, '-', turn) AS id, CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS parent_id, role AS label, CASE turn % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, text, conv_id, turn FROM conversations",
     "v_symbols": "SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_type AS type, p_brand AS file_path, p_size AS line FROM part",
     "v_calls": "SELECT l_orderkey AS file_id, l_linenumber AS line, l_partkey AS callee FROM lineitem",
+    "v_commits": "SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'R' WHEN 'click' THEN 'M' WHEN 'purchase' THEN 'D' WHEN 'signup' THEN 'A' ELSE 'M' END AS status, CASE WHEN event_type IN ('view', 'click', 'purchase', 'signup') THEN concat('src/u', user_id, '_', v, '.ts') ELSE concat('docs/u', user_id, '.md') END AS path, CASE WHEN event_type = 'view' THEN concat('src/u', user_id, '_', v - 1, '.ts') END AS old_path FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS v FROM events) e",
     "v_truth": "SELECT doc_id, quality AS relevant FROM labels",
 }
