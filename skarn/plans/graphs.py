@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph, security
+from ..operators import analytics, graph, security, xref
 from ..sources import tables as S
 from .registry import query
 from .scalar import PERMISSION_SQL, hrefs
@@ -208,6 +208,46 @@ def gr08(spark, d):
     return hrefs(spark, d).where(F.col("href").startswith("/")).distinct()
 
 
+# What the source view's forms define and call, straight from the words.
+_CODE_DEFS = """cd AS (SELECT relative_path, a AS name, 'function' AS type, l + 2 AS start_line, l + 6 AS end_line, a AS fqn, list_sort(list_distinct([c, e])) AS calls FROM v_groups WHERE g % 4 <> 3
+ UNION ALL SELECT relative_path, b, 'method', l + 2, l + 7, concat(a, '.', b), list_sort(list_distinct([d, f, 'Builder'])) FROM v_groups WHERE g % 4 = 3 UNION ALL SELECT relative_path, e, 'arrow', l + 4, l + 6, concat(a, '.', b, '.', e), list_sort(list_distinct([f, 'Builder'])) FROM v_groups WHERE g % 4 = 3)"""
+_CODE_SITES = """cs AS (SELECT relative_path, c AS name, l + 3 AS line, NULL AS receiver, a AS caller FROM v_groups WHERE g % 4 <> 3 UNION ALL SELECT relative_path, e, l + 4, 'this', a FROM v_groups WHERE g % 4 <> 3
+ UNION ALL SELECT relative_path, d, l + 3, NULL, concat(a, '.', b) FROM v_groups WHERE g % 4 = 3 UNION ALL SELECT relative_path, unnest([f, 'Builder']), l + 5, NULL, concat(a, '.', b, '.', e) FROM v_groups WHERE g % 4 = 3)"""
+
+
+@query("gr08b_definitions", f"WITH {_CODE_DEFS} SELECT relative_path, name, type, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, fqn, array_to_string(calls, ',') AS calls FROM cd")
+def gr08b(spark, d):
+    defs, _ = xref.references(S.sources(spark, d))
+    return defs.select("relative_path", "name", "type", "start_line", "end_line", "fqn", F.array_join("calls", ",").alias("calls"))
+
+
+@query("gr08c_call_sites", f"WITH {_CODE_SITES} SELECT relative_path, name, CAST(line AS INT) AS line, receiver, caller FROM cs")
+def gr08c(spark, d):
+    _, sites = xref.references(S.sources(spark, d))
+    return sites.drop("i")
+
+
+@query("gr09b_called_by_in_code", f"WITH {_CODE_DEFS}, {_CODE_SITES} SELECT fqn, count(*) AS n, md5(array_to_string(list_sort(list(caller)), ',')) AS callers FROM (SELECT DISTINCT fqn, cs.caller FROM cd JOIN cs ON cs.name = cd.name) x GROUP BY fqn")
+def gr09b(spark, d):
+    """Which definitions call a definition, over all files."""
+    defs, sites = xref.references(S.sources(spark, d))
+    out = graph.called_by(defs.select("fqn").distinct(), sites.select("name", "caller"))
+    return out.select("fqn", F.size("called_by").cast("long").alias("n"), F.md5(F.array_join("called_by", ",").cast("binary")).alias("callers"))
+
+
+@query("gr10b_callees_in_code", f"WITH {_CODE_DEFS} SELECT fqn, unnest(calls) AS callee, count(*) AS files FROM cd GROUP BY fqn, callee")
+def gr10b(spark, d):
+    defs, _ = xref.references(S.sources(spark, d))
+    return defs.select("fqn", F.explode("calls").alias("callee")).groupBy("fqn", "callee").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("jn05b_outermost_definition", f"WITH {_CODE_DEFS}, {_CODE_SITES}, o AS (SELECT cs.relative_path AS file, cs.line, cs.name AS callee, arg_min(cd.fqn, cd.start_line) AS caller FROM (SELECT DISTINCT relative_path, line, name FROM cs) cs JOIN cd ON cd.relative_path = cs.relative_path AND cs.line BETWEEN cd.start_line AND cd.end_line GROUP BY cs.relative_path, cs.line, cs.name) SELECT * FROM o")
+def jn05b(spark, d):
+    """The first definition whose lines hold a call: the outermost one."""
+    defs, sites = xref.references(S.sources(spark, d))
+    return graph.enclosing(sites.select(F.col("relative_path").alias("file"), "line", F.col("name").alias("callee")).distinct(), defs.select(F.col("relative_path").alias("file"), F.col("fqn").alias("name"), F.col("start_line").alias("start"), F.col("end_line").alias("end")))
+
+
 # ---- roles
 
 _ROLES = "roles AS (SELECT DISTINCT src AS role FROM v_dag WHERE src NOT LIKE 'C%' UNION SELECT dst FROM v_dag), uroles AS (SELECT c_custkey AS usr, concat('N', c_nationkey) AS role FROM customer), perms AS (SELECT role, CASE CAST(substr(role, 2) AS INT) % 5 WHEN 0 THEN 'read:*' WHEN 1 THEN 'read:file:src/*' WHEN 2 THEN 'tool:execute:*' WHEN 3 THEN 'write:file' ELSE 'perm1' END AS permission FROM roles WHERE role NOT LIKE 'S%'), pol AS (SELECT role, CAST(substr(role, 2) AS INT) % 4 <> 3 AS passes FROM roles WHERE role LIKE 'N%'), starts AS (SELECT DISTINCT role AS node FROM uroles)"

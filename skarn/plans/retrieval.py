@@ -263,6 +263,21 @@ def ck03(spark, d):
     return chunk.packed_chunks(S.files(spark, d), 128)
 
 
+# Recursive: each part from the end of the one before it. ofs: the offset of each line.
+_SPLIT = """f AS (SELECT relative_path, doc_id, l, list_transform(range(0, len(l) + 1), lambda j: coalesce(CAST(list_sum(list_transform(l[1:j], lambda x: length(x) + 1)) AS BIGINT), 0)) AS ofs,
+  concat('// Scope: ', relative_path, chr(10), '// Symbol: document doc_', doc_id, chr(10), '// Part: ') AS head, concat(chr(10), '// Grounding (start of symbol):', chr(10), array_to_string(list_transform(l[1:2], lambda x: CASE WHEN x = '' THEN '//' ELSE concat('// ', x) END), chr(10))) AS more
+  FROM (SELECT relative_path, doc_id, string_split(content, chr(10)) AS l FROM v_files WHERE regexp_matches(content, '\\S')) x),
+ pt AS (SELECT relative_path, doc_id, l, ofs, head, more, 0 AS part, 0 AS s, greatest(1, len(list_filter(ofs[2:], lambda x: x - 1 <= greatest(0, 512 - 2 - length(head) - 1)))) AS e FROM f
+  UNION ALL SELECT relative_path, doc_id, l, ofs, head, more, part + 1, n, greatest(n + 1, n + len(list_filter(ofs[n + 2:], lambda x: x - ofs[n + 1] - 1 <= greatest(0, 512 - 2 - length(head) - length(CAST(part + 2 AS VARCHAR)) - length(more)))))
+  FROM (SELECT *, e - CASE WHEN e - s > 1 THEN least(greatest(1, CAST(floor((e - s) * 0.25) AS INT)), e - s - 1) ELSE 0 END AS n FROM pt WHERE e < len(l)) y)"""
+
+
+@query("ck03b_split_chunks", f"WITH RECURSIVE {_SPLIT} SELECT relative_path, CAST(part AS INT) AS part, CAST(s + 1 AS INT) AS start_line, CAST(e AS INT) AS end_line, concat('doc_', doc_id, '_part', part) AS name, md5(concat(head, part + 1, CASE WHEN part > 0 THEN more ELSE '' END, chr(10), chr(10), array_to_string(l[s + 1:e], chr(10)))) AS digest FROM pt")
+def ck03b(spark, d):
+    f = S.files(spark, d).select("relative_path", "language", "content", F.col("relative_path").alias("scope"), F.lit("document").alias("type"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
+    return chunk.split_chunks(f, 128, grounding=2).withColumn("digest", F.md5(F.col("content").cast("binary"))).drop("content")
+
+
 @query("ck04_enriched_chunks", f"SELECT relative_path, start_line, md5(concat('// Scope: ', relative_path, chr(10), content)) AS digest FROM ({_CHUNK.format(size=16, step=12)}) z WHERE regexp_matches(content, '\\S')")
 def ck04(spark, d):
     c = chunk.line_chunks(S.files(spark, d), 16, 12).withColumn("language", F.lit("en"))

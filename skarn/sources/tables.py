@@ -86,6 +86,38 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", n.alias("v")).select(F.col("event_id").alias("seq"), line.alias("line"))
 
 
+# The two forms of the source view's groups of six words; {0} to {5} are names made of them.
+FUNCTION_LINES = ["// {0}() {{ in a comment", "export function {0}({1}) {{", "  {2}({3}, \"{4}() {{\");", "  if ({5}) {{ this.{4}({1}); }}", "  return {{ key: `}}` }};", "}}"]
+CLASS_LINES = ["class {0} {{", "  async {1}({2}) {{", "    {3}();", "    const {4} = (x) => {{", "      {5}(new Builder());", "    }};", "  }}", "}}"]
+
+
+def _template(lines: list[str], name, text, joined) -> object:
+    """The lines with names put in, as one expression: name(k) is the k-th name, text(s) a literal."""
+    import re
+
+    parts = []
+    for bit in re.split(r"(\{\d\})", "\n".join(lines).replace("{{", "\x01").replace("}}", "\x02")):
+        bit = bit.replace("\x01", "{").replace("\x02", "}")
+        parts.append(name(int(bit[1])) if re.fullmatch(r"\{\d\}", bit) else text(bit))
+    return joined(parts)
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """Source files whose names are all the words of a document: relative_path, language, content. Every fourth group of six
+    words is a class with a method and an arrow function, the others are functions."""
+    w = F.col("w")
+
+    def group(g):
+        of = lambda k: F.concat(F.element_at(w, (g * 6 + k + 1).cast("int")), F.lit("_"))
+        made = lambda lines: _template(lines, of, F.lit, lambda parts: F.concat(*parts))
+        return F.when(g % 4 == 3, made(CLASS_LINES)).otherwise(made(FUNCTION_LINES))
+
+    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
+    n = F.floor(F.size("w") / 6).cast("int")
+    code = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), group), "\n")).otherwise("")
+    return words.where("w is not null").select(F.concat(F.lit("code/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("relative_path"), F.lit("typescript").alias("language"), code.alias("content"))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevant"))
 
@@ -102,5 +134,7 @@ DUCK = {
     "v_symbols": "SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_type AS type, p_brand AS file_path, p_size AS line FROM part",
     "v_calls": "SELECT l_orderkey AS file_id, l_linenumber AS line, l_partkey AS callee FROM lineitem",
     "v_commits": "SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'R' WHEN 'click' THEN 'M' WHEN 'purchase' THEN 'D' WHEN 'signup' THEN 'A' ELSE 'M' END AS status, CASE WHEN event_type IN ('view', 'click', 'purchase', 'signup') THEN concat('src/u', user_id, '_', v, '.ts') ELSE concat('docs/u', user_id, '.md') END AS path, CASE WHEN event_type = 'view' THEN concat('src/u', user_id, '_', v - 1, '.ts') END AS old_path FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS v FROM events) e",
+    # The names of the source view's groups and the line on which each begins, without any source text.
+    "v_groups": "SELECT concat('code/', doc_id, '.ts') AS relative_path, g, 6 * (g - g // 4) + 8 * (g // 4) AS l, concat(w[6 * g + 1], '_') AS a, concat(w[6 * g + 2], '_') AS b, concat(w[6 * g + 3], '_') AS c, concat(w[6 * g + 4], '_') AS d, concat(w[6 * g + 5], '_') AS e, concat(w[6 * g + 6], '_') AS f FROM (SELECT doc_id, w, unnest(range(0, len(w) // 6)) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents) x) y",
     "v_truth": "SELECT doc_id, quality AS relevant FROM labels",
 }
