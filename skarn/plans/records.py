@@ -10,6 +10,8 @@ from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..sources import files as FS
 from ..sources import tables as S
+from ..sources.shared import scratch
+from ..streaming import state
 from .registry import query
 
 
@@ -332,7 +334,15 @@ def wn06(spark, d):
     return events(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("load"))
 
 
-@query("wn06b_rate_limiter")
+def _limited(most, seconds):
+    """Recursive: a user's calls one after the other, with the times of those that passed."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT event_id, user_id, n, true AS accepted, [t] AS held FROM e WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, len(h) < {most}, CASE WHEN len(h) < {most} THEN list_append(h, t) ELSE h END FROM (SELECT e.*, list_filter(r.held, lambda x: e.t - x < {seconds}) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) y)
+SELECT event_id, accepted FROM r"""
+
+
+@query("wn06b_rate_limiter", _limited(2, 3600))
 def wn06b(spark, d):
     from ..streaming.state import rate_limited
 
@@ -420,6 +430,37 @@ def sm02(spark, d):
     return A.cache_hits(S.query_log(spark, d)).groupBy("query").agg(F.count_if(~F.col("hit")).alias("misses"))
 
 
+@query("sm02b_stream_repeat_cache", f"SELECT event_id, query AS key, hit FROM ({_HIT}) x")
+def sm02b(spark, d):
+    """The log as a stream of micro-batches; the time of each key's last query is kept between them."""
+    log = state.event_time(S.query_log(spark, d))
+    return state.finished(state.cache_hits(state.replayed(log, 3)), "cache-hits")
+
+
+@query("sm03b_stream_rate_limiter", _limited(3, 7200))
+def sm03b(spark, d):
+    return state.finished(state.rate_limited_stream(state.replayed(state.event_time(events(spark, d)), 2), 3, 7200), "rate-limited")
+
+
+@query("sm05_restarted_stream", "SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, user_id")
+def sm05(spark, d):
+    """Two micro-batches, then a driver lost after the second was written and before that was noted; the next run repeats it
+    and goes on."""
+    log = state.event_time(events(spark, d))
+    replay, ledger = state.Replay(log, 4), state.Ledger(spark, scratch(spark, "ledger"))
+    ledger.run(replay.add(2).stream())
+    ledger.unnoted(1)
+    ledger.run(replay.add(2).stream())
+    return ledger.table(log.schema).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("sm08_sliding_windows", "SELECT s AS start, event_type, count(*) AS n, max(value) AS peak FROM (SELECT event_type, value, ts, unnest([CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT), CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) - 3600]) AS s FROM events) x WHERE s + 7200 <= (SELECT epoch(max(ts)) - 600 FROM events) GROUP BY s, event_type")
+def sm08(spark, d):
+    """Two hours long, each hour; those that the watermark has passed."""
+    w = state.finished(state.sliding(state.replayed(state.event_time(events(spark, d)), 2)), "sliding")
+    return w.select(F.unix_timestamp("start").alias("start"), "event_type", "n", "peak")
+
+
 @query("sm04_samples", "SELECT CAST(floor(epoch(ts) / 5) * 5 AS BIGINT) AS start, max(value) AS peak, count(*) AS n FROM events GROUP BY start ORDER BY start DESC LIMIT 100")
 def sm04(spark, d):
     return A.samples(events(spark, d))

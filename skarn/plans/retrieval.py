@@ -11,6 +11,7 @@ from ..operators import chunk, incremental, search, vector
 from ..sources import tables as S
 from ..sources.shared import written
 from ..sources.versions import Versions
+from .records import _limited
 from .registry import query
 from .scalar import _NORM, duck_tokens
 
@@ -538,7 +539,7 @@ def vx05(spark, d):
     return Engine(S.files(spark, d), max_tokens=64).index(force=True).chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("relative_path").alias("files"))
 
 
-@query("sm03_rate_limiter")
+@query("sm03_rate_limiter", _limited(3, 7200))
 def sm03(spark, d):
     from ..streaming.state import rate_limited
 
