@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph, security, xref
+from ..operators import analytics, graph, roles, security, workflow, xref
 from ..sources import tables as S
 from .registry import query
 from .scalar import PERMISSION_SQL, hrefs
@@ -324,6 +324,83 @@ def sec05(spark, d):
     return _rbac(spark, d)[2]
 
 
+def _state(at):
+    """What the last change of each thing, since its role was made, leaves after event `at`."""
+    return f"""lg AS (SELECT * FROM v_role_log WHERE seq <= {at}), ro AS (SELECT role, max(seq) AS born FROM lg WHERE op IN ('create', 'delete') GROUP BY role HAVING arg_max(op, seq) = 'create'),
+ ch AS (SELECT CASE WHEN op IN ('grant', 'revoke') THEN 'permission' WHEN op IN ('inherit', 'disinherit') THEN 'parent' ELSE 'user' END AS kind, role, item, op, seq FROM lg WHERE op IN ('inherit', 'disinherit', 'assign', 'unassign') OR (op IN ('grant', 'revoke') AND regexp_matches(item, '^[a-zA-Z0-9_-]+$|^[^:]+:[^:]'))
+  UNION ALL SELECT 'user', ro.role, item, op, seq FROM lg CROSS JOIN ro WHERE op = 'leave'),
+ state AS (SELECT 'role' AS kind, role, CAST(NULL AS VARCHAR) AS item FROM ro UNION ALL SELECT kind, ch.role, item FROM ch JOIN ro ON ro.role = ch.role AND seq > born GROUP BY kind, ch.role, item HAVING arg_max(op, seq) IN ('grant', 'inherit', 'assign'))"""
+
+
+@query("sec05b_role_export", f"WITH {_state('(SELECT max(event_id) FROM events)')} SELECT * FROM state")
+def sec05b(spark, d):
+    return roles.exported(S.role_log(spark, d))
+
+
+@query("sec05c_role_export_then", f"WITH {_state('(SELECT max(event_id) // 2 FROM events)')} SELECT * FROM state")
+def sec05c(spark, d):
+    log = S.role_log(spark, d)
+    return roles.exported(log, log.agg(F.max("seq")).first()[0] // 2)
+
+
+@query("sec05d_role_problems", f"WITH RECURSIVE {_state('(SELECT max(event_id) FROM events)')}, pa AS (SELECT role, item AS parent FROM state WHERE kind = 'parent'), rc(a, b) AS (SELECT role, parent FROM pa UNION SELECT a, parent FROM rc JOIN pa ON rc.b = pa.role) SELECT 'dangling parent' AS problem, role, parent AS item FROM pa WHERE parent NOT IN (SELECT role FROM ro) UNION ALL SELECT 'cycle', role, parent FROM pa WHERE role = parent OR EXISTS (SELECT 1 FROM rc WHERE a = parent AND b = role)")
+def sec05d(spark, d):
+    """Parents that are no roles, and inheritance that would come back to its role (the check of each edge, from a table)."""
+    return roles.problems(roles.exported(S.role_log(spark, d)))
+
+
+@query("sec05e_allowed_then", f"""WITH rq AS (SELECT event_id AS request_id, concat('u', user_id % 13) AS usr, concat('file:read', event_id % 5) AS q, event_id AS moment FROM events WHERE event_type = 'click'), lg AS (SELECT * FROM v_role_log),
+ rr AS (SELECT request_id, usr, q, moment, lg.role, max(seq) AS born FROM rq JOIN lg ON op IN ('create', 'delete') AND seq <= moment GROUP BY ALL HAVING arg_max(op, seq) = 'create'),
+ us AS (SELECT rr.* FROM rr JOIN lg ON lg.item = rr.usr AND (lg.role = rr.role OR lg.op = 'leave') AND lg.op IN ('assign', 'unassign', 'leave') AND seq > born AND seq <= moment GROUP BY ALL HAVING arg_max(op, seq) = 'assign'),
+ pe AS (SELECT request_id, q, lg.role, lg.item AS g FROM us JOIN lg ON lg.role = us.role AND lg.op IN ('grant', 'revoke') AND seq > us.born AND seq <= us.moment GROUP BY ALL HAVING arg_max(op, seq) = 'grant')
+SELECT request_id, EXISTS (SELECT 1 FROM pe WHERE pe.request_id = rq.request_id AND (g = q OR g = 'file:*')) AS granted FROM rq""")
+def sec05e(spark, d):
+    requests = S.table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("request_id"), F.concat(F.lit("u"), (F.col("user_id") % 13).cast("string")).alias("user"), F.concat(F.lit("file:read"), (F.col("event_id") % 5).cast("string")).alias("request"), F.col("event_id").alias("seq"))
+    return roles.allowed_then(S.role_log(spark, d), requests).select("request_id", "granted")
+
+
+# Eight events of a user in order are an execution; a purchase or an error rejects, each 97th event is an error.
+_RUNS = "ev AS (SELECT concat(user_id, '-', (n - 1) // 8) AS execution, (n - 1) % 8 + 1 AS n, CASE WHEN event_id % 97 = 0 THEN 'error' WHEN event_type IN ('purchase', 'error') THEN 'rejected' ELSE 'approved' END AS d FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) x)"
+
+
+def _machine(flow, carry):
+    """Recursive: one outcome after the other."""
+    rows = ", ".join(f"('{s.id}', {str(s.veto).lower()}, {s.retries}, {s.escalate_at}, {repr(flow.following()[s.id]) if s.id in flow.following() else 'NULL'})" for s in flow.stages)
+    return f"""WITH RECURSIVE {_RUNS}, sg(id, veto, most, lim, nxt) AS (VALUES {rows}),
+ z AS (SELECT DISTINCT execution, CAST(0 AS BIGINT) AS n, '{flow.entry}' AS stage, 0 AS retries, 'running' AS status, 0 AS escalations, '' AS path FROM ev
+  UNION ALL SELECT execution, m, CASE WHEN d = 'error' OR again OR nxt IS NULL THEN stage ELSE nxt END, CASE WHEN d = 'error' THEN retries WHEN again THEN retries + 1 WHEN nxt IS NULL OR {str(carry).lower()} THEN retries ELSE 0 END,
+   CASE WHEN d = 'error' THEN 'failed' WHEN again THEN 'running' WHEN nxt IS NULL THEN 'completed' ELSE 'running' END, escalations + CASE WHEN d <> 'error' AND rej AND NOT again AND lim > 0 AND retries >= lim THEN 1 ELSE 0 END, concat(path, '/', stage)
+  FROM (SELECT z.*, ev.n AS m, ev.d, sg.nxt, sg.lim, veto AND ev.d = 'rejected' AS rej, veto AND ev.d = 'rejected' AND retries < most AS again FROM z JOIN ev ON ev.execution = z.execution AND ev.n = z.n + 1 JOIN sg ON sg.id = z.stage WHERE status = 'running') y)
+SELECT execution, arg_max(stage, n) AS stage, arg_max(retries, n) AS retries, arg_max(status, n) AS status, arg_max(escalations, n) AS escalations, CAST(max(n) AS INT) AS steps, arg_max(path, n) AS path FROM z GROUP BY execution"""
+
+
+_LONG = workflow.Workflow("long", "plan", (workflow.Stage("plan", True, 1, 1), workflow.Stage("build"), workflow.Stage("review", True, 2, 1), workflow.Stage("ship", True, 0, 0)), (("plan", "build"), ("build", "review"), ("build", "ship"), ("review", "ship"), ("ship", "plan")), ("ship",))
+
+
+def _runs(spark, d, flow, carry):
+    from pyspark.sql import Window
+
+    e = S.table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    e = e.select(F.concat_ws("-", "user_id", F.floor((F.col("n") - 1) / 8)).alias("execution"), "n", F.when(F.col("event_id") % 97 == 0, "error").when(F.col("event_type").isin("purchase", "error"), "rejected").otherwise("approved").alias("decision"))
+    out = workflow.executions(e, flow, order="n", carry=carry)
+    return out.withColumn("path", F.concat_ws("", F.transform("path", lambda x: F.concat(F.lit("/"), x))))
+
+
+@query("agt05_review_workflow", _machine(workflow.TEMPLATES["code-review"], True))
+def agt05(spark, d):
+    return _runs(spark, d, workflow.TEMPLATES["code-review"], True)
+
+
+@query("agt05b_tdd_workflow", _machine(workflow.TEMPLATES["tdd-cycle"], True))
+def agt05b(spark, d):
+    return _runs(spark, d, workflow.TEMPLATES["tdd-cycle"], True)
+
+
+@query("agt05c_long_workflow", _machine(_LONG, False))
+def agt05c(spark, d):
+    return _runs(spark, d, _LONG, False)
+
+
 _CONTROLS = "ctl AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}', '{g}', {e!r}, {m})" for c, n, g, e, m in security.CONTROLS) + ") t(control, name, category, evidence, least))"
 _ASSESS = f"WITH {_CONTROLS}, ev AS (SELECT control, ts FROM (SELECT control, unnest(evidence) AS type FROM ctl) c JOIN v_audit USING (type)), a AS (SELECT control, name, category, least * 200 AS least, count(ts) AS n, max(ts) AS last_at FROM ctl LEFT JOIN ev USING (control) GROUP BY ALL), s AS (SELECT *, CASE WHEN control = 'CC1.1' THEN 'not-tested' WHEN n >= least THEN 'compliant' ELSE 'non-compliant' END AS status FROM a)"
 

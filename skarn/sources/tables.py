@@ -118,6 +118,20 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return words.where("w is not null").select(F.concat(F.lit("code/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("relative_path"), F.lit("typescript").alias("language"), code.alias("content"))
 
 
+# What an event does to the roles: op and item by its type, its number k and its value. The same text in both engines.
+ROLE_OP = """CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN CASE WHEN k % 4 = 0 THEN 'delete' ELSE 'grant' END WHEN 'view' THEN CASE WHEN k % 3 = 0 THEN 'revoke' ELSE 'grant' END
+ WHEN 'click' THEN CASE WHEN k % 3 = 0 THEN 'disinherit' ELSE 'inherit' END ELSE CASE WHEN k % 9 = 0 THEN 'leave' WHEN k % 3 = 0 THEN 'unassign' ELSE 'assign' END END"""
+ROLE_ITEM = """CASE WHEN event_type IN ('view', 'purchase') THEN CASE WHEN k % 11 = 0 THEN 'not a permission' WHEN k % 7 = 0 THEN 'file:*' ELSE concat('file:read', k % 5) END WHEN event_type = 'click' THEN concat('r', k % 24) WHEN event_type = 'error' THEN concat('u', k % 13) END"""
+
+
+def role_log(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of roles: seq, op, role, item."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = e.withColumn("op", F.expr(ROLE_OP))
+    role = F.when(F.col("op") != "leave", F.concat(F.lit("r"), (F.col("user_id") % 20).cast("string")))
+    return e.select(F.col("event_id").alias("seq"), "op", role.alias("role"), F.when(~F.col("op").isin("create", "delete"), F.expr(ROLE_ITEM)).alias("item"))
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevant"))
 
@@ -136,5 +150,6 @@ DUCK = {
     "v_commits": "SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'R' WHEN 'click' THEN 'M' WHEN 'purchase' THEN 'D' WHEN 'signup' THEN 'A' ELSE 'M' END AS status, CASE WHEN event_type IN ('view', 'click', 'purchase', 'signup') THEN concat('src/u', user_id, '_', v, '.ts') ELSE concat('docs/u', user_id, '.md') END AS path, CASE WHEN event_type = 'view' THEN concat('src/u', user_id, '_', v - 1, '.ts') END AS old_path FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS v FROM events) e",
     # The names of the source view's groups and the line on which each begins, without any source text.
     "v_groups": "SELECT concat('code/', doc_id, '.ts') AS relative_path, g, 6 * (g - g // 4) + 8 * (g // 4) AS l, concat(w[6 * g + 1], '_') AS a, concat(w[6 * g + 2], '_') AS b, concat(w[6 * g + 3], '_') AS c, concat(w[6 * g + 4], '_') AS d, concat(w[6 * g + 5], '_') AS e, concat(w[6 * g + 6], '_') AS f FROM (SELECT doc_id, w, unnest(range(0, len(w) // 6)) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents) x) y",
+    "v_role_log": "SELECT event_id AS seq, op, CASE WHEN op <> 'leave' THEN concat('r', user_id % 20) END AS role, CASE WHEN op NOT IN ('create', 'delete') THEN " + ROLE_ITEM + " END AS item FROM (SELECT *, " + ROLE_OP + " AS op FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) a) b",
     "v_truth": "SELECT doc_id, quality AS relevant FROM labels",
 }
