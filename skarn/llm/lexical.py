@@ -24,9 +24,10 @@ carried, as the result is pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ def term_counts(text: str) -> Counter[bytes]:
 
 
 def features(terms: Iterable[bytes]) -> np.ndarray:
-    return np.unique(np.fromiter((zlib.crc32(t) & (FEATURES - 1) for t in terms), np.int64))
+    return np.unique(np.fromiter(map(zlib.crc32, terms), np.int64) & (FEATURES - 1))
 
 
 def bisect(indptr: np.ndarray, terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +83,16 @@ def bisect(indptr: np.ndarray, terms: np.ndarray, docs: np.ndarray) -> tuple[np.
     owner, edge = owner[telling], edge[telling]
     left = np.arange(n) < (n + 1) // 2
     nl, nr = int(left.sum()), n - int(left.sum())
-    cost = lambda l, r: l * np.log2(nl / (l + 1)) + r * np.log2(nr / (r + 1))  # noqa: E731, E741
+    # What a term costs in a half that has so many of its documents.
+    some = np.arange(n + 2)
+    cost_l, cost_r = some * np.log2(nl / (some + 1)), some * np.log2(nr / (some + 1))
     for _ in range(ROUNDS):
-        dl = np.bincount(edge, weights=left[owner], minlength=len(df))
+        of_left = left[owner]
+        dl = np.bincount(edge[of_left], minlength=len(df))
         dr = df - dl
-        now = cost(dl, dr)
-        to_right, to_left = now - cost(np.maximum(dl - 1, 0), dr + 1), now - cost(dl + 1, np.maximum(dr - 1, 0))
-        gain = np.bincount(owner, weights=np.where(left[owner], to_right[edge], to_left[edge]), minlength=n)
+        now = cost_l[dl] + cost_r[dr]
+        to_right, to_left = now - cost_l[np.maximum(dl - 1, 0)] - cost_r[dr + 1], now - cost_l[dl + 1] - cost_r[np.maximum(dr - 1, 0)]
+        gain = np.bincount(owner, weights=np.where(of_left, to_right[edge], to_left[edge]), minlength=n)
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         a, b = a[np.argsort(-gain[a], kind="stable")], b[np.argsort(-gain[b], kind="stable")]
         k = min(len(a), len(b))
@@ -171,8 +175,8 @@ def forward(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 rows = []
                 for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     if counts := term_counts(t or ""):
-                        own = sorted(counts)
-                        rows.append((leaf_of(weights, features(own)), i, counts.total(), b" ".join(own), np.array([counts[x] for x in own], "<u4").tobytes()))
+                        own = list(counts)
+                        rows.append((leaf_of(weights, features(own)), i, counts.total(), b" ".join(own), np.fromiter(counts.values(), "<u4").tobytes()))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["leaf", "doc_id", "n", "terms", "counts"])
         tidy()
@@ -186,8 +190,8 @@ _INDEX_DDL = "piece string, cluster int, doc_ids array<long>, terms binary, star
 
 def clusters_of(piece: str, doc_ids: list, lengths: list[int], terms: list[bytes], counts: list[bytes], n_docs: int, n_terms: int) -> pa.Table:
     """The index rows of a piece."""
-    names: dict[bytes, int] = {}
-    own = [np.fromiter((names.setdefault(t, len(names)) for t in x.split(b" ")), np.int64) for x in terms]
+    names: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    own = [np.fromiter(map(names.__getitem__, x.split(b" ")), np.int64) for x in terms]
     indptr = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     flat, tf = np.concatenate(own), np.concatenate([np.frombuffer(x, "<u4") for x in counts]).astype(np.int64)
     del own
@@ -195,7 +199,8 @@ def clusters_of(piece: str, doc_ids: list, lengths: list[int], terms: list[bytes
     del names
     m = np.array([100 - 75 + (75 * n * n_docs) // n_terms for n in lengths], np.int64)
     impact = (1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, np.diff(indptr)))
-    order = ordered(indptr, flat)
+    shared = np.bincount(flat)[flat] > 1  # the others tell nothing about the order
+    order = ordered(np.concatenate([[0], np.cumsum(shared)])[indptr], flat[shared])
     rows = []
     for k, at in enumerate(range(0, len(order), CLUSTER)):
         docs = order[at : at + CLUSTER]
