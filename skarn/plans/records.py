@@ -86,6 +86,63 @@ def src16(spark, d):
     return FS.audit_round_trip(S.audit(spark, d).select("event_id", "type"), "event_id long, type string")
 
 
+# Audit lines in order; those of errors are cut short, so that they are no JSON.
+_LINES = "ln AS (SELECT event_id, type, CASE WHEN type = 'error' THEN left(l, length(l) - 3) ELSE l END AS line FROM (SELECT event_id, type, concat('{\"event_id\":', event_id, ',\"type\":\"', type, '\",\"user_id\":', user_id, '}') AS l FROM v_audit) x)"
+
+
+def _lines(spark, d):
+    line = F.to_json(F.struct("event_id", "type", "user_id"))
+    return S.audit(spark, d).withColumn("line", line).select("event_id", F.when(F.col("type") == "error", F.expr("left(line, length(line) - 3)")).otherwise(F.col("line")).alias("line"))
+
+
+@query("src16b_rotated_log", f"WITH {_LINES} SELECT event_id, lpad(CAST(CAST(floor(before / 4096) AS BIGINT) AS VARCHAR), 12, '0') AS file FROM (SELECT event_id, type, coalesce(sum(length(line) + 1) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ln) x WHERE type <> 'error'")
+def src16b(spark, d):
+    """Two runs append to a log whose files hold 4 KB; read back, lines that are no JSON are skipped."""
+    lines, path = _lines(spark, d), scratch(spark, "audit-log")
+    half = lines.agg(F.max("event_id")).first()[0] // 2
+    FS.append_rotated(lines.where(F.col("event_id") <= half), path, "event_id", most=4096)
+    FS.append_rotated(lines.where(F.col("event_id") > half), path, "event_id", most=4096)
+    return FS.read_rotated(spark, path, "event_id long, type string, user_id long").select("event_id", "file")
+
+
+@query("src17b_csv_of_all_keys", """WITH r AS (SELECT event_id, type, user_id, props, row_number() OVER (ORDER BY event_id) AS n FROM v_audit)
+SELECT 0 AS line_no, 'event_id,note,props,type,user_id' AS line UNION ALL SELECT n, concat(event_id, ',', CASE WHEN type = 'error' THEN '"bad, ""very"" bad"' ELSE '' END, ',', CASE WHEN type = 'user_action' THEN concat('"', replace(replace(props, ' ', ''), '"', '""'), '"') ELSE '' END, ',', type, ',', CASE WHEN type <> 'error' THEN CAST(user_id AS VARCHAR) ELSE '' END) FROM r""")
+def src17b(spark, d):
+    """Records with other keys each: users only where there is no error, notes only where there is one, details as objects."""
+    details = F.from_json("props", "struct<k:int>")
+    rec = F.struct("event_id", "type", F.when(F.col("type") != "error", F.col("user_id")).alias("user_id"), F.when(F.col("type") == "error", 'bad, "very" bad').alias("note"), F.when(F.col("type") == "user_action", details).alias("props"))
+    return FS.csv_export(S.audit(spark, d).select("event_id", F.to_json(rec).alias("json")), "event_id")
+
+
+@query("src19b_truth_parts", "SELECT 'symbols' AS part, CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'easy' ELSE 'medium' END AS difficulty FROM labels UNION ALL SELECT 'imports', CAST(item_id AS VARCHAR), 'medium' FROM benchmark")
+def src19b(spark, d):
+    """Two of the five parts are written, one of them with gaps that the loader's defaults fill."""
+    path = scratch(spark, "truth")
+    own = S.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, "easy").alias("difficulty"))
+    FS.save_truth({"symbols": own, "imports": S.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"))}, path)
+    parts = FS.load_truth(spark, path, {p: "id string, difficulty string" for p in FS.TRUTH_PARTS}, {"difficulty": "medium"})
+    rows = [df.select(F.lit(p).alias("part"), "id", "difficulty") for p, df in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+# A tree of files made of documents: names give the language, two folders are ignored, and one extension is none.
+_TREE = "tr AS (SELECT concat(CASE doc_id % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN concat(source, '/dist/') ELSE concat(source, '/lib', doc_id % 3, '/') END, 'f', doc_id, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.TS' WHEN 2 THEN '.go' ELSE '.txt' END) AS relative_path, doc_id, text FROM documents)"
+
+
+@query("src01b_crawled_tree", f"WITH {_TREE} SELECT relative_path, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'go' END AS language, substr(sha256(text), 1, 16) AS hash, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS digest FROM tr WHERE doc_id % 4 <> 3 AND NOT starts_with(relative_path, 'node_modules/') AND NOT contains(relative_path, '/dist/')")
+def src01b(spark, d):
+    """The documents as a tree of files in the shared folder, crawled by the data source."""
+    root = scratch(spark, "tree")
+    name = F.expr("concat(CASE doc_id % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN concat(source, '/dist/') ELSE concat(source, '/lib', doc_id % 3, '/') END, 'f', doc_id, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.TS' WHEN 2 THEN '.go' ELSE '.txt' END)")
+    tree = FS.write_tree(S.table(spark, d, "documents").select(name.alias("relative_path"), F.col("text").alias("content")), root)
+    tree.write.format("noop").mode("overwrite").save()
+    got = FS.crawled(spark, root, ["node_modules/", "# a comment", "dist/"], parts=8)
+    return got.select("relative_path", "language", "hash", "size", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query("src17_csv_export")
 def src17(spark, d):
     return FS.csv_lines(S.audit(spark, d).select("event_id", "type", "props"))
