@@ -1,14 +1,18 @@
 """Sharding by sampled splitters under the law `bytes`: sizes near equal. DataFrame and SQL functions only.
 
-Records are ordered by (hash of the text, hash of the row), so equal texts stand together and a text that a third of all
-rows carry is still many keys. A size-weighted sample of keys gives quantile boundaries; rows are range-partitioned by
-them, each range's bytes are counted exactly and overfull ranges are subdivided. Exact running sizes over the pieces then
-fill the shards in key order. Equal texts stay in one shard where together they are at most 1/HEAVY of a shard.
-Single records over 1/HEAVY of a shard (fewer than shards x HEAVY of them can exist) are dealt first, largest first in
-alternating order, and the ranges fill what is left of each shard up to one level.
-
-Defined cases: a null text is 8 bytes; repeated rows are records of their own; null ids sort as the empty string; an empty
-table gives an empty result; shards may stay empty where there are fewer records than shards.
+What is placed are units: all records of one text together, and single records of a text that is larger than a shard (fewer
+than `shards` texts can be). Units are ordered by the hash of the text, then of the row. A size-weighted sample of their keys
+gives quantile boundaries; units are range-partitioned by them, each range's bytes are counted exactly and overfull ranges are
+subdivided. Running sizes over the pieces and inside each give every unit its place on the line of all bytes, and it goes to
+the shard that its middle lies in: a border between shards moves to the nearer end of the unit that it would cut. So equal
+texts stand together, and a shard differs from the mean by half of the units at its two borders at most.
+
+A text of very many records is one unit; its records take the unit's shard by a broadcast of at most HOT keys, and slots are
+counted over pieces of rows by hash, so no task gets a text's rows.
+
+Defined cases: a null text is 8 bytes; repeated rows are records of their own; null ids sort as the empty string; ties of size
+or text are told apart by the row's hash; an empty table gives an empty result; shards may stay empty where there are fewer
+units than shards, or a unit covers a shard's whole share. Further columns are not carried: the result is one of records.
 """
 
 from __future__ import annotations
@@ -18,76 +22,56 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import by_key, hot_keys, table, written
 from .mixing import dialect
 
 SHARDS = 24
-#: A record or a group of equal texts over 1/HEAVY of a shard is too large to move as one.
-HEAVY = 64
 #: Ranges before subdivision, and sampled keys for each of them.
 RANGES, KEYS = 384, 16
-#: Rows of a piece of a range, about: a range of more is subdivided, whatever its bytes, and a task orders one piece at a time.
+#: Rows of a piece, about: a range of more units is subdivided, whatever its bytes, and a task orders one piece at a time.
 PIECE_ROWS = 1 << 20
+#: Texts that hold more than 1/HOT of the records are joined by broadcast.
+HOT = 1024
 SEED = 29
 
-_CUT = """heavy AS (
-  SELECT key, row_key, size, row_number() OVER (ORDER BY size DESC, key, row_key) - 1 AS place FROM records
-  WHERE size * {SHARDS} * {HEAVY} > (SELECT sum(size) FROM records)
-), dealt AS (
-  SELECT key, row_key, size, CAST(CASE WHEN ({DIV(place, {SHARDS})}) % 2 = 0 THEN place % {SHARDS} ELSE {SHARDS} - 1 - place % {SHARDS} END AS BIGINT) AS shard FROM heavy
-)"""
-# What the heavy records take of each shard, and the level up to which light records fill: shard, from, to.
-_ROOM = """full_of AS (
-  SELECT s.shard, CAST(coalesce(sum(d.size), 0) AS BIGINT) AS held FROM (SELECT {SERIES(CAST(0 AS BIGINT), CAST({SHARDS} - 1 AS BIGINT))} AS shard) s LEFT JOIN dealt AS d ON s.shard = d.shard GROUP BY s.shard
-), light_sum AS (
-  SELECT coalesce((SELECT sum(size) FROM records), 0) - coalesce((SELECT sum(size) FROM dealt), 0) AS light
-), levels AS (
-  SELECT min((light + up) / n) AS level FROM (SELECT CAST(sum(held) OVER (ORDER BY held, shard) AS DOUBLE) AS up, row_number() OVER (ORDER BY held, shard) AS n FROM full_of) x CROSS JOIN light_sum
-), room AS (
-  SELECT shard, sum(greatest(0e0, level - held)) OVER (ORDER BY shard) AS upto FROM full_of CROSS JOIN levels
-)"""
-_LIGHT = """light AS (
-  SELECT r.key, r.row_key, r.size FROM records AS r LEFT JOIN dealt AS d ON r.key = d.key AND r.row_key = d.row_key WHERE d.key IS NULL
+# Texts larger than a shard are torn; the units.
+_UNITS = """texts AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS size FROM records GROUP BY key
+), torn AS (
+  SELECT key FROM texts WHERE size * {SHARDS} > (SELECT sum(size) FROM records)
+), units AS (
+  SELECT key, '' AS row_key, size FROM texts WHERE key NOT IN (SELECT key FROM torn)
+  UNION ALL SELECT key, row_key, size FROM records WHERE key IN (SELECT key FROM torn)
 )"""
 _BOUNDS = """hits AS (
-  SELECT concat(key, row_key) AS k, size * CAST({RANGES} * {KEYS} AS DOUBLE) / (SELECT sum(size) FROM light) AS x, {HASH(concat(key, row_key, ':{SEED}'))} / 1152921504606846976e0 AS u FROM light
+  SELECT concat(key, row_key) AS k, size * CAST({RANGES} * {KEYS} AS DOUBLE) / (SELECT sum(size) FROM units) AS x, {HASH(concat(key, row_key, ':{SEED}'))} / 1152921504606846976e0 AS u FROM units
 ), sample AS (
   SELECT k, row_number() OVER (ORDER BY k, i) AS place FROM (SELECT k, {SERIES(CAST(1 AS BIGINT), CAST(floor(x) + CASE WHEN u < x - floor(x) THEN 1 ELSE 0 END AS BIGINT))} AS i FROM hits WHERE x >= 1 OR u < x) y
 ), bounds AS (
   SELECT DISTINCT k AS bound FROM sample WHERE place % {KEYS} = 0
 )"""
-# Texts too large to stay whole: fewer than shards x HEAVY can exist.
-_TORN = """torn AS (
-  SELECT key FROM ranged GROUP BY key HAVING sum(size) * {SHARDS} * {HEAVY} > (SELECT sum(size) FROM records)
-)"""
 # rng: the range; sub: the piece of an overfull range; then running sizes over pieces and within each.
 _PLACE = """counted AS (
   SELECT rng, CAST(sum(size) AS DOUBLE) AS bytes, count(*) AS n FROM ranged GROUP BY rng
 ), cut_up AS (
   SELECT rng, greatest(CAST(ceil(n / {PIECE_ROWS}.0e0) AS BIGINT), CASE WHEN bytes > 1.5e0 * (SELECT sum(bytes) FROM counted) / {RANGES} THEN CAST(ceil(bytes * {RANGES} / (SELECT sum(bytes) FROM counted)) AS BIGINT) ELSE 1 END) AS cuts FROM counted
 ), piece_rows AS (
-  SELECT /*+ BROADCAST(t) */ r.key, r.row_key, r.size, r.rng, CASE WHEN t.key IS NULL THEN r.key END AS together, {HASH(CASE WHEN t.key IS NULL THEN r.key ELSE r.row_key END)} % c.cuts AS sub
-  FROM ranged AS r JOIN cut_up AS c ON r.rng = c.rng LEFT JOIN torn AS t ON r.key = t.key
+  SELECT r.key, r.row_key, r.size, r.rng, {HASH(concat(r.key, r.row_key))} % c.cuts AS sub FROM ranged AS r JOIN cut_up AS c ON r.rng = c.rng
 ), piece AS (
   SELECT rng, sub, sum(sum(size)) OVER (ORDER BY rng, sub) - sum(size) AS before FROM piece_rows GROUP BY rng, sub
-), run AS (
-  SELECT p.key, p.row_key, p.size, p.together, p.rng, p.sub, b.before + sum(p.size) OVER (PARTITION BY p.rng, p.sub ORDER BY p.key, p.row_key ROWS UNBOUNDED PRECEDING) AS upto
+), placed AS (
+  SELECT p.key, p.row_key, b.before + sum(p.size) OVER (PARTITION BY p.rng, p.sub ORDER BY p.key, p.row_key ROWS UNBOUNDED PRECEDING) - p.size / 2.0e0 AS mid
   FROM piece_rows AS p JOIN piece AS b ON p.rng = b.rng AND p.sub = b.sub
-), texts AS (
-  SELECT together, (min(upto - size) + max(upto)) / 2.0e0 AS middle FROM run WHERE together IS NOT NULL GROUP BY together HAVING count(*) > 1
-), middle AS (
-  SELECT r.key, r.row_key, r.size, r.rng, r.sub, coalesce(w.middle, r.upto - r.size / 2.0e0) AS mid FROM run r LEFT JOIN texts w ON coalesce(r.together, concat(r.key, ':', r.row_key)) = w.together
 ), put AS (
-  SELECT key, row_key, rng, sub, CAST(least({SHARDS} - 1, {COUNT(room, upto <= mid)}) AS BIGINT) AS shard FROM middle
-  UNION ALL SELECT key, row_key, -1 AS rng, CAST(0 AS BIGINT) AS sub, shard FROM dealt
+  SELECT key, row_key, CAST(least({SHARDS} - 1, floor(mid * {SHARDS} / (SELECT sum(size) FROM ranged))) AS BIGINT) AS shard FROM placed
 )"""
-_SLOT = """parts AS (
-  SELECT shard, rng, sub, sum(count(*)) OVER (PARTITION BY shard ORDER BY rng, sub) - count(*) AS before FROM put GROUP BY shard, rng, sub
-), slotted AS (
-  SELECT p.key, p.row_key, p.shard, b.before + row_number() OVER (PARTITION BY p.shard, p.rng, p.sub ORDER BY p.key, p.row_key) - 1 AS slot
-  FROM put AS p JOIN parts AS b ON p.shard = b.shard AND p.rng = b.rng AND p.sub = b.sub
-) SELECT r.doc_id, r.size, r.text_crc32, 'bytes' AS law, CAST(s.shard AS INT) AS shard, CAST(s.slot AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
-FROM records AS r JOIN slotted AS s ON r.key = s.key AND r.row_key = s.row_key"""
+_SLOT = """subbed AS (
+  SELECT *, {HASH(concat(key, row_key, ':slot'))} % (SELECT CAST(greatest(1, ceil(count(*) / {PIECE_ROWS}.0e0)) AS BIGINT) FROM sharded) AS sub FROM sharded
+), parts AS (
+  SELECT shard, sub, sum(count(*)) OVER (PARTITION BY shard ORDER BY sub) - count(*) AS before FROM subbed GROUP BY shard, sub
+) SELECT p.doc_id, p.size, p.text_crc32, 'bytes' AS law, CAST(p.shard AS INT) AS shard,
+  CAST(b.before + row_number() OVER (PARTITION BY p.shard, p.sub ORDER BY p.key, p.row_key) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM subbed AS p JOIN parts AS b ON p.shard = b.shard AND p.sub = b.sub"""
 
 
 def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,29 +86,32 @@ def records(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Shards `records` rows: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark = rows.sparkSession
-    values = {"SHARDS": shards, "HEAVY": HEAVY, "RANGES": RANGES, "KEYS": KEYS, "SEED": SEED, "PIECE_ROWS": PIECE_ROWS}
-
-    filled: list[str] = []
+    values = {"SHARDS": shards, "RANGES": RANGES, "KEYS": KEYS, "SEED": SEED, "PIECE_ROWS": PIECE_ROWS}
 
     def run(*parts: str, select: str = "", **tables: DataFrame) -> DataFrame:
         sql = dialect("WITH " + ", ".join(parts) + select, False, **values)
-        sql = sql.replace("{COUNT(room, upto <= mid)}", f"size(filter(array({', '.join(filled)}), b -> b <= mid))")
         for name in tables:
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
         return spark.sql(sql, **tables)
 
-    dealt = written(run(_CUT, select=" SELECT * FROM dealt", records=rows), "shard-heavy")
-    # To the driver come `shards` numbers and about RANGES keys, whatever the input.
-    filled += [f"{x[0]!r}D" for x in run(_ROOM, select=" SELECT upto FROM room ORDER BY shard", records=rows, dealt=dealt).collect()]
-    bounds = [f"'{x[0]}'" for x in run(_LIGHT, _BOUNDS, select=" SELECT bound FROM bounds ORDER BY bound", records=rows, dealt=dealt).collect()]
+    units = written(run(_UNITS, select=" SELECT * FROM units", records=rows), "shard-units")
+    # To the driver come about RANGES keys, whatever the input.
+    bounds = [f"'{x[0]}'" for x in run(_BOUNDS, select=" SELECT bound FROM bounds ORDER BY bound", units=units).collect()]
     # Looked up in two steps: every 20th boundary, then those between.
     some = f"size(filter(array({', '.join(bounds[::20])}), b -> b <= concat(key, row_key)))"
     fine = f"size(filter(slice(array({', '.join(bounds)}), ({some} - 1) * 20 + 1, 20), b -> b <= concat(key, row_key)))"
     at = f"CASE WHEN {some} = 0 THEN 0 ELSE ({some} - 1) * 20 + {fine} END" if bounds else "0"
-    ranged = written(run(_LIGHT, select=f" SELECT key, row_key, size, CAST({at} AS INT) AS rng FROM light", records=rows, dealt=dealt), "shard-ranged")
-    torn = written(run(_TORN, select=" SELECT * FROM torn", records=rows, ranged=ranged), "shard-torn")
-    put = written(run(_PLACE, select=" SELECT * FROM put", ranged=ranged, dealt=dealt, torn=torn), "shard-put")
-    return run(_SLOT, records=rows, put=put)
+    ranged = written(units.selectExpr("key", "row_key", "size", f"CAST({at} AS INT) AS rng"), "shard-ranged")
+    put = written(run(_PLACE, select=" SELECT * FROM put", ranged=ranged), "shard-put")
+    whole, single = put.where("row_key = ''").drop("row_key"), put.where("row_key <> ''")
+    torn = F.broadcast(single.select("key").distinct())  # fewer than `shards` rows
+    together = by_key(rows.join(torn, "key", "left_anti"), whole, "key", HOT, keys=_hot(rows, torn))
+    apart = rows.join(torn, "key", "left_semi").join(single, ["key", "row_key"])
+    return run(_SLOT, sharded=written(together.unionByName(apart.select(together.columns)), "shard-rows"))
+
+
+def _hot(rows: DataFrame, torn: DataFrame) -> DataFrame:
+    return hot_keys(rows, "key", HOT).join(torn, "key", "left_anti")
 
 
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,5 +135,5 @@ ORACLE = dialect(", ".join([_CRC, """records AS (
   SELECT doc_id, size, text_crc32, key, substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', CAST(copy AS VARCHAR))), 1, 16) AS row_key FROM (
     SELECT doc_id, size, text_crc32, key, row_number() OVER (PARTITION BY doc_id, size, text_crc32, key) AS copy FROM (
       SELECT d.doc_id, CAST(strlen(c.text) + 8 AS BIGINT) AS size, CAST(c.crc AS BIGINT) AS text_crc32, substr(md5(c.text), 1, 16) AS key FROM documents d JOIN crcs c ON coalesce(d.text, '') = c.text) a) b
-)""", _CUT, _ROOM, _LIGHT, _BOUNDS, "ranged AS (SELECT l.key, l.row_key, l.size, (SELECT count(*) FROM bounds b WHERE b.bound <= concat(l.key, l.row_key)) AS rng FROM light l)",
-    _TORN, _PLACE.replace("{COUNT(room, upto <= mid)}", "(SELECT count(*) FROM room o WHERE o.upto <= mid)"), _SLOT]), True, SHARDS=SHARDS, HEAVY=HEAVY, RANGES=RANGES, KEYS=KEYS, SEED=SEED, PIECE_ROWS=PIECE_ROWS)
+)""", _UNITS, _BOUNDS, "ranged AS (SELECT u.key, u.row_key, u.size, (SELECT count(*) FROM bounds b WHERE b.bound <= concat(u.key, u.row_key)) AS rng FROM units u)",
+    _PLACE, "sharded AS (SELECT r.*, p.shard FROM records AS r JOIN put AS p ON r.key = p.key AND p.row_key IN ('', r.row_key))", _SLOT]), True, SHARDS=SHARDS, RANGES=RANGES, KEYS=KEYS, SEED=SEED, PIECE_ROWS=PIECE_ROWS)
