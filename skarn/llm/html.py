@@ -2,8 +2,11 @@
 
 Tags form lines, and no more: a block of text is a line, a border of a container an empty line; what the tags or names call
 a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment becomes WINDOW empty lines, as does the
-border of an article. Whether a line is text is then decided by lengths alone. A line's length is that of its text, nothing
-where most of it is links. Lengths are summed over sliding windows of WINDOW lines. A dive point is an empty window; a surge
+border of an article. Names count by whole class tokens, of which the last part is the noun (site-footer, but not
+footer-study), or the first where only words of layout follow (ad-slot-2). A paragraph, heading or list item goes by an
+unmistakable name only, and an article by none that has other meanings too. Whether a line is text is then decided by lengths
+alone. A line's length is that of its text, nothing where most of it is links, except for a paragraph of the article. On a page
+without an article element, borders of containers count twice, and a surge takes SHARE of the page's largest window. Lengths are summed over sliding windows of WINDOW lines. A dive point is an empty window; a surge
 point a line whose window reaches SURGE characters, or, on a page where none does, the largest window. The lines between
 two dive points are kept where a surge point stands between them.
 
@@ -13,6 +16,7 @@ give equal texts; of columns named like a result (text, n_chars) the result's st
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -26,6 +30,8 @@ from .common import extended, slices, table
 WINDOW, SURGE = 3, 80
 #: A line with more than this share of its text in links is a menu.
 LINKS = 0.5
+#: Of the largest window, what a surge takes at least on a page without an article element.
+SHARE = 0.2
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,54 +41,82 @@ SKIPPED = frozenset("nav footer aside form button menu dialog head fieldset".spl
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BLOCKED = frozenset("article aside section main nav footer header form div ul ol table h1 h2 h3 h4 h5 h6 blockquote pre dl hr fieldset".split())
 CONTAINERS = frozenset("section div ul ol table blockquote dl".split())
-# Words in class, id and role that name other things than the article.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|footer|header|masthead|banner|contentinfo|complementary|sidebar|side|aside|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion"
-    r"|cookie|cookies|consent|gdpr|notice|alert|comment|comments|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|subscription"
-    r"|signup|popup|modal|overlay|login|search|toolbar|widget|copyright|pagination|pager|skip|toc|tags|dialog|form)(?=$|[\s_-])", re.I)
-FINAL = re.compile(r"comment|disqus|respond|repl(?:y|ies)|discussion|related|recommended|sidebar|aside|complementary", re.I)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+TEXTS = PROSE | INLINE | frozenset("li td th dd dt figcaption caption".split())
+# Words in class, id and role that name other things than the article; those of WEAK have other meanings too.
+STRONG = frozenset(
+    "nav navbar navigation menu menubar footer masthead contentinfo complementary sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr"
+    " comment comments commentlist disqus breadcrumb breadcrumbs newsletter subscribe subscription signup popup copyright pagination pager".split())
+WEAK = frozenset("header banner side aside notice alert respond reply replies discussion share sharing social related recommended modal overlay login search toolbar widget skip toc tags dialog form".split())
+# Words of layout.
+LAYOUT = frozenset(
+    "area articles bar block body bottom box button buttons col column container content group holder icons inner inline item items left link links list main news outer panel posts primary region right row secondary"
+    " section slot stories text thread title top unit widget wrap wrapper zone".split())
+FINAL = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended sidebar aside complementary".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+@functools.lru_cache(4096)
+def named_other(names: str) -> tuple[int, bool]:
+    """How surely the tokens of class, id and role name another thing than the article (2: surely, 1: by a word with other
+    meanings, 0: not), and whether they may not hold it either."""
+    strength, final = 0, False
+    for token in names.lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        word = parts[-1] if parts else ""
+        if word not in STRONG and word not in WEAK:
+            word = parts[0] if len(parts) > 1 and all(x in LAYOUT or x.isdigit() for x in parts[1:]) else ""
+        strength = max(strength, 2 if word in STRONG else int(word in WEAK))
+        final = final or word in FINAL
+    return strength, final
+
+
 def lines(page: str) -> list[tuple[str, int]]:
     """(text, length of it in links) of each line, both empty where the page parts its blocks."""
+    return parsed(page)[0]
+
+
+def parsed(page: str, border: int = 1) -> tuple[list[tuple[str, int]], bool]:
+    """The lines, and whether the page has an article. border: empty lines for the border of a container."""
     out: list[tuple[str, int]] = []
     part: list[str] = []
     linked = 0
     stack: list[list] = []  # name, skips, is a main element, skips by its names only
-    skips = mains = links = 0
-    seen_main = False
+    skips = mains = links = prose = 0
+    seen_main = in_prose = False
 
     def flush(gap: int = 0) -> None:
-        nonlocal linked
+        nonlocal linked, in_prose
         text = _SPACE.sub(" ", "".join(part)).strip()
         if text:
-            out.append((text, min(linked, len(text))))
+            out.append((text, 0 if in_prose else min(linked, len(text))))
         part.clear()
-        linked = 0
+        linked, in_prose = 0, False
         out.extend([("", 0)] * gap)
 
     def add(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, in_prose
         if raw and not skips:
             text = html.unescape(raw)
             part.append(text)
+            in_prose = in_prose or bool(prose and mains and text.strip())
             if links:
                 linked += len(text)
 
     def pop(to: int) -> None:
-        nonlocal skips, mains, links
+        nonlocal skips, mains, links, prose
         while len(stack) > to:
             name, skip, main, _ = stack.pop()
             skips -= skip
             if main or skip and not skips:
                 flush(WINDOW)
             elif name not in INLINE:
-                flush(int(name in CONTAINERS and not skips))
+                flush(border * (name in CONTAINERS and not skips))
             mains -= main
             links -= name == "a"
+            prose -= name in PROSE
 
     at = 0
     while True:
@@ -131,8 +165,9 @@ def lines(page: str) -> list[tuple[str, int]]:
             elif key in ("class", "id", "role"):
                 named += " " + value
                 main = main or key == "role" and value.lower() == "main"
-        other = bool(named and OTHER.search(named)) and name not in ("html", "body")
-        by_name = other and name not in SKIPPED and not FINAL.search(named)
+        strength, final = named_other(named) if named and name not in ("html", "body") else (0, False)
+        other = strength > (1 if main or name in TEXTS else 0)
+        by_name = other and name not in SKIPPED and not final
         skip = hidden or other or name in SKIPPED or (name == "header" and not mains)
         if main and not skip and not seen_main and skips:
             # A wrapper that is named like something else, but holds the article.
@@ -146,30 +181,33 @@ def lines(page: str) -> list[tuple[str, int]]:
         if (skip and not skips) or main:
             flush(WINDOW)
         elif name in CONTAINERS and not skips:
-            flush(1)
+            flush(border)
         skips += skip
         mains += main
         links += name == "a"
+        prose += name in PROSE
     pop(0)
     flush()
-    return out
+    return out, seen_main
 
 
-def text_lines(lengths: list[int]) -> np.ndarray:
-    """Which lines are text, by the lengths alone."""
+def text_lines(lengths: list[int], share: float = 0.0) -> np.ndarray:
+    """Which lines are text, by the lengths alone. share: of the largest window that a surge takes at least."""
     size = np.array(lengths, np.int64)
     if not size.any():
         return np.zeros(len(size), bool)
     window = np.convolve(size, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and those after it
-    surge = (window >= min(SURGE, int(window.max()))) & (size > 0)
+    surge = (window >= min(max(SURGE, share * int(window.max())), int(window.max()))) & (size > 0)
     run = np.cumsum(window == 0)  # dive points part the page into runs
     return (size > 0) & np.isin(run, run[surge])
 
 
 def extract(page: str) -> str:
     """The main text, one block a line."""
-    found = lines(page)
-    kept = text_lines([len(text) if linked <= LINKS * len(text) else 0 for text, linked in found])
+    found, main = parsed(page)
+    if not main:
+        found, _ = parsed(page, 2)
+    kept = text_lines([len(text) if linked <= LINKS * len(text) else 0 for text, linked in found], 0.0 if main else SHARE)
     return "\n".join(found[i][0] for i in np.flatnonzero(kept))
 
 

@@ -179,3 +179,36 @@ def test_repositories_count_beside_owners(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = secrets.classified(written(secrets.scan(df), "t"), "doc_id", "source").collect()
     assert {(r.text, x.live) for r in got for x in r.spans} == {(key["many"], False), (key["few"], True), (key["own"], True)}
+
+
+def test_names_do_not_take_article_text():
+    """A paragraph of the article stays whatever its class says, if the word has other meanings; so does one that is a link."""
+    words = "This paragraph of the article has about thirty words in it and says something about the matter at hand."
+    for name in ("notice-period", "tags", "search-results", "social-history", "related-work", "widget-theory", "form", "side", "alert"):
+        assert html.extract(f"<article><p>First.</p><p class='{name}'>{words}</p><p>Last.</p></article>") == f"First.\n{words}\nLast."
+    assert html.extract(f"<article class='related-post'><p>{words}</p></article>") == words
+    assert html.extract(f"<article><p>First.</p><p><a href=x>{words}</a></p></article>") == f"First.\n{words}"
+    for name in ("sidebar", "ad-slot-2", "site-footer", "user-comments", "cookie-notice", "comment", "related posts", "main_menu"):
+        assert html.extract(f"<article><p>{words}</p><div class='{name}'><p>{words}</p></div></article>") == words
+
+
+def test_windows_alone_tell_the_article(spark):
+    """Structure renamed to div and names taken away: advert and footer go by their lengths."""
+    import re
+
+    pages = table(spark, DIR, "pages").collect()
+    same = 0
+    for r in pages:
+        bare = re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", r.html)
+        bare = re.sub(r' (?:class|id|role)="[^"]*"', "", bare)
+        same += html.extract(bare) == html.extract(r.html)
+    assert same >= 0.9 * len(pages)
+
+
+def test_without_windows_other_lines_stay(monkeypatch):
+    """What fails when the windows are switched off."""
+    page = "<div><div><p>Home and away</p></div></div><div><div><div>" + "<p>A sentence of the story that goes on for a while.</p>" * 5 + "</div></div></div>"
+    kept = html.extract(page)
+    assert "Home" not in kept
+    monkeypatch.setattr(html, "text_lines", lambda lengths, share=0.0: np.array(lengths) > 0)
+    assert "Home" in html.extract(page)
