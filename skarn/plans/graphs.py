@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph, roles, security, workflow, xref
+from ..operators import analytics, graph, roles, security, summary, workflow, xref
 from ..sources import tables as S
 from .registry import query
 from .scalar import PERMISSION_SQL, hrefs
@@ -248,6 +248,45 @@ def jn05b(spark, d):
     return graph.enclosing(sites.select(F.col("relative_path").alias("file"), "line", F.col("name").alias("callee")).distinct(), defs.select(F.col("relative_path").alias("file"), F.col("fqn").alias("name"), F.col("start_line").alias("start"), F.col("end_line").alias("end")))
 
 
+# The source view in seven packages; every fifth file is an entry point, but in the last package.
+_MODULE = "CASE WHEN {0} % 5 = 0 AND {0} % 7 <> 6 THEN concat('pkg', {0} % 7, '/m', {0}, '/index.ts') ELSE concat('pkg', {0} % 7, '/f', {0}, '.ts') END"
+_DOC = "CAST(regexp_extract(relative_path, '([0-9]+)[.]ts', 1) AS BIGINT)"
+
+
+def _summary(budget):
+    path = _MODULE.format(_DOC)
+    return f"""WITH {_CODE_DEFS}, {_CODE_SITES}, fi AS (SELECT {_MODULE.format('doc_id')} AS path FROM documents WHERE text IS NOT NULL), de AS (SELECT {path} AS path, name, type, start_line FROM cd), si AS (SELECT DISTINCT {path} AS path, name FROM cs),
+ ow AS (SELECT name, min(path) AS dst FROM de GROUP BY name HAVING count(DISTINCT path) = 1), ed AS (SELECT DISTINCT si.path AS src, dst FROM si JOIN ow USING (name) WHERE si.path <> dst),
+ ea AS (SELECT path, regexp_extract(path, '^([^/]+)/', 1) AS scope, (SELECT count(*) FROM de WHERE de.path = fi.path) AS symbols, (SELECT count(*) FROM ed WHERE src = fi.path) AS uses, path IN (SELECT dst FROM ed) AS used FROM fi),
+ en AS (SELECT scope, path, row_number() OVER (PARTITION BY scope ORDER BY path) AS n FROM ea WHERE regexp_matches(path, 'index[.]ts$') OR scope NOT IN (SELECT scope FROM ea WHERE regexp_matches(path, 'index[.]ts$'))),
+ e2 AS (SELECT * FROM en WHERE n <= CASE WHEN scope IN (SELECT scope FROM ea WHERE regexp_matches(path, 'index[.]ts$')) THEN 5 ELSE 3 END),
+ ex AS (SELECT e2.scope, e2.n AS o, e2.path, de.name, row_number() OVER (PARTITION BY e2.path ORDER BY start_line, name) AS n FROM e2 JOIN de ON de.path = e2.path WHERE e2.n <= 3 AND type = 'function'),
+ li AS (SELECT scope, 0 AS p, 1 AS n, concat('files ', count(*), ', symbols ', sum(symbols), ', dependencies ', sum(uses), ', roots ', count(*) FILTER (WHERE NOT used), ', leaves ', count(*) FILTER (WHERE uses = 0)) AS text FROM ea GROUP BY scope
+  UNION ALL SELECT scope, 1, n, path FROM e2 UNION ALL SELECT scope, 2, o * 11 + n, concat(path, ' function:', name) FROM ex WHERE n <= 10
+  UNION ALL SELECT scope, 3, n, path FROM (SELECT scope, path, row_number() OVER (PARTITION BY scope ORDER BY path) AS n FROM ea WHERE uses = 0) x WHERE n <= 10),
+ tk AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM li), up AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY scope ORDER BY p, n, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, sum(tokens) OVER (PARTITION BY scope) AS total FROM tk)
+SELECT scope, ['architecture', 'entry', 'export', 'leaf'][p + 1] AS part, CAST(n AS INT) AS n, text, tokens, upto, upto <= {budget} AS kept, total <= {budget} AS within FROM up"""
+
+
+def _summarized(spark, d, budget):
+    def moved(df):
+        return df.withColumn("doc", F.expr(_DOC.replace("[.]", "\\\\."))).withColumn("relative_path", F.expr(_MODULE.format("doc"))).drop("doc")
+
+    files = S.sources(spark, d)
+    defs, sites = (moved(x) for x in xref.references(files))
+    return summary.summarized(moved(files), defs, summary.dependencies(defs, sites), budget)
+
+
+@query("gr15b_summary_short", _summary(120))
+def gr15b(spark, d):
+    return _summarized(spark, d, 120)
+
+
+@query("gr15c_summary_long", _summary(2000))
+def gr15c(spark, d):
+    return _summarized(spark, d, 2000)
+
+
 # ---- roles
 
 _ROLES = "roles AS (SELECT DISTINCT src AS role FROM v_dag WHERE src NOT LIKE 'C%' UNION SELECT dst FROM v_dag), uroles AS (SELECT c_custkey AS usr, concat('N', c_nationkey) AS role FROM customer), perms AS (SELECT role, CASE CAST(substr(role, 2) AS INT) % 5 WHEN 0 THEN 'read:*' WHEN 1 THEN 'read:file:src/*' WHEN 2 THEN 'tool:execute:*' WHEN 3 THEN 'write:file' ELSE 'perm1' END AS permission FROM roles WHERE role NOT LIKE 'S%'), pol AS (SELECT role, CAST(substr(role, 2) AS INT) % 4 <> 3 AS passes FROM roles WHERE role LIKE 'N%'), starts AS (SELECT DISTINCT role AS node FROM uroles)"
