@@ -210,6 +210,20 @@ class Tasks:
         now = self.current().drop("status").join(changes.select("id", "status"), "id")
         return Tasks(self.log.unionByName(now.withColumn("seq", F.col("seq") + 1).select(self.log.columns)))
 
+    def spawn(self, rows: DataFrame) -> tuple[Tasks, DataFrame]:
+        """Appends pending tasks (id, parent_id, label) whose parent exists, or is spawned with them, and the rows refused: those
+        of an unknown parent, those below one, and ids that are there already or stand there twice."""
+        own = written(rows.select("id", "parent_id", "label"), "spawned")
+        known = self.current().select("id")
+        fresh = own.join(known, "id", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("parent_id").alias("parent_id"), F.first("label").alias("label")).where("_n = 1").drop("_n")
+        fresh = written(fresh, "spawned")
+        starts = fresh.where("parent_id is null").select("id").unionByName(fresh.join(known.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"))
+        below = graph.closure(fresh.where("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst")), starts.select(F.col("id").alias("node")))
+        ok = fresh.join(below.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+        log = ok.withColumns({"status": F.lit("pending"), "seq": F.lit(0).cast(self.log.schema["seq"].dataType)})
+        more = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.log.schema if f.name not in log.columns]
+        return Tasks(self.log.unionByName(log.select("*", *more))), own.join(ok.select("id"), "id", "left_anti")
+
     def delete(self, ids: DataFrame, cascade: bool = False) -> Tasks:
         now = self.current()
         gone = ids.select("id")
@@ -230,3 +244,34 @@ class Tasks:
 
     def newest(self, n: int) -> DataFrame:
         return self.current().withColumn("_rn", F.row_number().over(Window.orderBy(F.desc("seq"), "id"))).where(F.col("_rn") <= n).drop("_rn")
+
+
+class ToolCache:
+    """Outputs of tools by task, stored in versions: a put replaces the outputs of its (task, tool) pairs and no others."""
+
+    SCHEMA = "key string, task string, tool string, output string, cached_at long"
+
+    def __init__(self, versions: Versions):
+        self.versions = versions
+        if versions.latest() is None:
+            versions.publish({"outputs": versions.spark.createDataFrame([], self.SCHEMA)}, {"outputs": "key"})
+
+    @staticmethod
+    def _key() -> F.Column:
+        return F.concat(F.length("task").cast("string"), F.lit(":"), "task", "tool")
+
+    def put(self, rows: DataFrame) -> int:
+        """rows: task, tool, output, cached_at; of one pair the newest counts. The version with them."""
+        keyed = rows.select(self._key().alias("key"), "task", "tool", "output", F.col("cached_at").cast("long").alias("cached_at")).where("key is not null")
+        last = keyed.groupBy("key").agg(F.max_by(F.struct("task", "tool", "output", "cached_at"), F.struct("cached_at", "output")).alias("r")).select("key", "r.*")
+        return self.versions.replace(last.select("key"), {"outputs": last})
+
+    def get(self, asked: DataFrame) -> DataFrame:
+        """asked (task, tool) with output, cached_at and hit."""
+        found = self.versions.table("outputs").select("task", "tool", "output", "cached_at", F.lit(True).alias("hit"))
+        return asked.select("task", "tool").join(found, ["task", "tool"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+    def clear(self, tasks: DataFrame) -> int:
+        """Without the outputs of these tasks (task)."""
+        gone = self.versions.table("outputs").join(tasks.select("task"), "task", "left_semi").select("key")
+        return self.versions.replace(gone, {"outputs": self.versions.spark.createDataFrame([], self.SCHEMA)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, graph, roles, security, summary, workflow, xref
+from ..operators import analytics, graph, registries, roles, security, summary, workflow, xref
 from ..sources import tables as S
 from .registry import query
 from .scalar import PERMISSION_SQL, hrefs
@@ -495,6 +495,54 @@ def ts01(spark, d):
     return spawned.select("id", "label", F.when(F.col("_p").isNull() & F.col("parent_id").isNotNull(), "rejected").otherwise("pending").alias("status"))
 
 
+# Every tenth conversation lacks its turn 2, every eleventh its root.
+_MISSING = "(conv_id % 10 = 3 AND turn = 2) OR (conv_id % 11 = 5 AND turn = 0)"
+
+
+@query("ts01b_spawn_batch", f"WITH RECURSIVE sp AS (SELECT * FROM v_tasks WHERE NOT ({_MISSING})), ok AS (SELECT id FROM sp WHERE parent_id IS NULL UNION ALL SELECT sp.id FROM ok JOIN sp ON sp.parent_id = ok.id) SELECT sp.id, CASE WHEN ok.id IS NULL THEN 'refused' ELSE 'pending' END AS status FROM sp LEFT JOIN ok ON ok.id = sp.id")
+def ts01b(spark, d):
+    """All tasks spawned in one batch: what stands below a missing task is refused."""
+    from ..api import Tasks
+
+    rows = S.tasks(spark, d).where(~F.expr(_MISSING))
+    tasks, refused = Tasks(spark.createDataFrame([], "id string, parent_id string, label string, status string, seq int")).spawn(rows)
+    return tasks.current().select("id", "status").unionByName(refused.select("id", F.lit("refused").alias("status")))
+
+
+@query("ts02b_stored_cache", "SELECT id AS task, tool, CASE WHEN turn % 3 = 0 AND tool = 'grep' THEN concat('new ', turn) WHEN conv_id % 4 = 1 AND NOT (turn % 3 = 0 AND tool = 'grep') THEN NULL WHEN tool = 'grep' THEN concat('old ', turn) WHEN tool = 'read' AND turn % 2 = 0 THEN concat('text ', turn) END AS output FROM v_tasks CROSS JOIN (VALUES ('grep'), ('read')) t(tool)")
+def ts02b(spark, d):
+    """Two puts and a clearing between them, then every pair is asked for."""
+    from ..api import ToolCache
+    from ..sources.versions import Versions
+
+    t = S.tasks(spark, d).select(F.col("id").alias("task"), "turn", "conv_id")
+    cache = ToolCache(Versions(spark, buckets=4))
+    old = t.select("task", F.lit("grep").alias("tool"), F.concat(F.lit("old "), F.col("turn").cast("string")).alias("output"), F.lit(1).alias("cached_at"))
+    read = t.where("turn % 2 = 0").select("task", F.lit("read").alias("tool"), F.concat(F.lit("text "), F.col("turn").cast("string")).alias("output"), F.lit(1).alias("cached_at"))
+    cache.put(old.unionByName(read))
+    cache.clear(t.where("conv_id % 4 = 1"))
+    cache.put(t.where("turn % 3 = 0").select("task", F.lit("grep").alias("tool"), F.concat(F.lit("new "), F.col("turn").cast("string")).alias("output"), F.lit(2).alias("cached_at")))
+    asked = t.select("task", F.explode(F.array(F.lit("grep"), F.lit("read"))).alias("tool"))
+    return cache.get(asked).select("task", "tool", "output")
+
+
+@query("ud02_validators", "SELECT relative_path, CAST((contains(content, 'License') AND NOT contains(content, 'Copyright'))::INT + (length(content) > 5000)::INT AS INT) AS errors, CAST((content LIKE '%  %')::INT AS INT) AS warnings, NOT (contains(content, 'License') AND NOT contains(content, 'Copyright')) AND length(content) <= 5000 AS passed FROM (SELECT relative_path, coalesce(content, '') AS content FROM v_files) x")
+def ud02(spark, d):
+    registries.VALIDATORS.register("licence")(lambda c: registries.message("error", "licence without a holder", F.contains(c, F.lit("License")) & ~F.contains(c, F.lit("Copyright"))))
+    registries.VALIDATORS.register("length")(lambda c: registries.message("error", F.format_string("%d characters", F.length(c)), F.length(c) > 5000))
+    registries.VALIDATORS.register("spaces")(lambda c: registries.message("warning", "two spaces", F.contains(c, F.lit("  "))))
+    return registries.validated(S.files(spark, d), ["licence", "length", "spaces"]).select("relative_path", "errors", "warnings", "passed")
+
+
+@query("ud03_policies", "SELECT c_custkey, policy, CASE policy WHEN 'rich' THEN c_acctbal > 1000 ELSE c_custkey % 2 = 0 END AS passes FROM customer JOIN (SELECT n_nationkey, 'rich' AS policy FROM nation UNION ALL SELECT n_nationkey, 'even' FROM nation WHERE n_nationkey % 3 = 0) p ON n_nationkey = c_nationkey")
+def ud03(spark, d):
+    registries.POLICIES.register("rich")(lambda: F.col("c_acctbal") > 1000)
+    registries.POLICIES.register("even")(lambda: F.col("c_custkey") % 2 == 0)
+    n = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("role"))
+    policies = n.withColumn("policy", F.lit("rich")).unionByName(n.where("role % 3 = 0").withColumn("policy", F.lit("even")))
+    return registries.policies_pass(policies, S.table(spark, d, "customer").withColumnRenamed("c_nationkey", "role")).select("c_custkey", "policy", "passes")
+
+
 @query("ts02_tool_cache", "SELECT id, concat('out-', turn) AS output, turn % 2 = 0 AS cached FROM v_tasks")
 def ts02(spark, d):
     t = S.tasks(spark, d)
