@@ -166,7 +166,7 @@ class Engine:
         starts = edges.sparkSession.createDataFrame([(e,) for e in entry_points], "node string")
         return graph.closure(edges, starts, max_depth)
 
-    def cycles(self, edges: DataFrame, max_length: int = 8) -> DataFrame:
+    def cycles(self, edges: DataFrame, max_length: int | None = None) -> DataFrame:
         return graph.cycles(edges, max_length)
 
     def find_symbol(self, definitions: DataFrame, name: str) -> DataFrame:

@@ -56,12 +56,13 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """`path` of every simple cycle of 2 to max_length nodes, once, from its least node and back to it."""
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """`path` of every simple cycle, of max_length nodes at most if that is given, once, from its least node and back to it.
+    A graph can have exponentially many; max_length bounds the work where that is so."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
     paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(2, max_length + 1):
+    for _ in _levels(None if max_length is None else max_length - 1):
         paths = written(paths, "cycles")
         if paths.isEmpty():
             break
@@ -156,3 +157,12 @@ def difficulty(n_definitions, n_calls):
 def ranked_in(df: DataFrame, part: str, k: int, *order) -> DataFrame:
     """The first k rows of each part."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(part).orderBy(*order))).where(F.col("rn") <= k)
+
+
+def nodes_and_links(edges: DataFrame) -> DataFrame:
+    """kind (node, link), source, target (null for nodes), weight: a graph as a drawing takes it. A node weighs what points to
+    it, a link how often it stands there."""
+    links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    ends = links.select(F.col("dst").alias("source"), "weight").unionByName(links.select(F.col("src").alias("source"), F.lit(0).cast("long").alias("weight")))
+    nodes = ends.groupBy("source").agg(F.sum("weight").alias("weight")).select(F.lit("node").alias("kind"), "source", F.lit(None).cast(edges.schema["dst"].dataType).alias("target"), "weight")
+    return nodes.unionByName(links.select(F.lit("link").alias("kind"), F.col("src").alias("source"), F.col("dst").alias("target"), "weight"))

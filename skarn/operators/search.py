@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import bucketed, by_bucket, small, written
+from ..sources.shared import bucketed, by_bucket, small, spread, written
 
 K1, B = 1.2, 0.75
 #: Up to so many terms of queries are broadcast.
@@ -134,7 +134,9 @@ def fuzzy(symbols: DataFrame, queries: DataFrame, k: int = 10, threshold: float
 
     Lengths bound the similarity, so pairs whose lengths differ too much skip the edit distance."""
     found = symbols.where(F.col("type").isin(types)) if types else symbols
-    found = found.select("name", F.lower("name").alias("low"), T.normalize_symbol(F.col("name")).alias("normal"))
+    # A name is compared once, however many symbols have it.
+    found = spread(found.groupBy("name").agg(F.count(F.lit(1)).alias("_n")))
+    found = found.select("name", "_n", F.lower("name").alias("low"), T.normalize_symbol(F.col("name")).alias("normal"))
     q = queries.where("query <> ''").select("query_id", F.lower("query").alias("q_low"), T.normalize_symbol(F.col("query")).alias("q_normal"))
     pairs = found.crossJoin(small(q))  # a stated query set against all symbols
 
@@ -144,8 +146,10 @@ def fuzzy(symbols: DataFrame, queries: DataFrame, k: int = 10, threshold: float
 
     boost = F.when(F.contains("low", "q_low") | F.contains("normal", "q_normal"), 0.2).otherwise(0.0)
     score = F.when(F.col("low") == F.col("q_low"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(like("q_normal", "normal"), like("q_low", "low")) + boost))
-    scored = pairs.select("query_id", "name", F.round(score, DIGITS).alias("score")).where(F.col("score") >= threshold)
-    return top(scored, k, tie="name").select("query_id", "rank", "name", "score")
+    # Generated, so that the filter does not compute it a second time.
+    scored = pairs.select("query_id", "name", "_n", F.explode(F.array(F.round(score, DIGITS))).alias("score")).where(F.col("score") >= threshold)
+    best = top(scored, k, tie="name").select("query_id", "name", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_n", F.lit(k)))).alias("_i"))
+    return top(best, k, tie="name").select("query_id", "rank", "name", "score")
 
 
 def hybrid(semantic: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import small
+from ..sources.shared import small, spread
 from .search import top
 
 DIGITS = 10
@@ -25,7 +25,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     stated set; blocks of it meet blocks of vectors where it is too large to broadcast). Filters on vectors stand before
     this and reach the scan."""
     q = queries.select("query_id", F.col("vector").alias("q"))
-    pairs = vectors.select("doc_id", "vector").crossJoin(small(q))
+    pairs = spread(vectors.select("doc_id", "vector")).crossJoin(small(q))
     return top(pairs.select("query_id", "doc_id", F.round(1 - squared_distance("vector", "q"), DIGITS).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 

@@ -13,10 +13,10 @@ from .scalar import PERMISSION_SQL, hrefs
 _REACH = "r(start, node, depth) AS (SELECT node, node, 0 FROM starts UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN {e} e ON e.src = r.node WHERE r.depth < {most})"
 
 
-@query("gr01_closure", f"WITH RECURSIVE starts AS (SELECT DISTINCT src AS node FROM v_edges), {_REACH.format(e='v_edges', most=8)} SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL")
+@query("gr01_closure", f"WITH RECURSIVE starts AS (SELECT DISTINCT src AS node FROM v_edges), {_REACH.format(e='v_edges', most=50)} SELECT start, node, min(depth) AS depth FROM r GROUP BY ALL")
 def gr01(spark, d):
     e = S.edges(spark, d)
-    return graph.closure(e, e.select(F.col("src").alias("node")).distinct(), 8)
+    return graph.closure(e, e.select(F.col("src").alias("node")).distinct(), 50)
 
 
 @query("gr02_roots_leaves", "SELECT DISTINCT src AS node, 'root' AS kind FROM v_dag WHERE src NOT IN (SELECT dst FROM v_dag) UNION ALL SELECT DISTINCT dst, 'leaf' FROM v_dag WHERE dst NOT IN (SELECT src FROM v_dag)")
@@ -27,7 +27,7 @@ def gr02(spark, d):
 
 @query("gr03_cycles", "WITH RECURSIVE p(path) AS (SELECT [src, dst] FROM v_edges WHERE src < dst UNION ALL SELECT list_append(path, dst) FROM p JOIN v_edges ON src = path[-1] WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < 5) SELECT array_to_string(list_append(path, dst), '>') AS cycle FROM p JOIN v_edges ON src = path[-1] AND dst = path[1]")
 def gr03(spark, d):
-    return graph.cycles(S.edges(spark, d), 5).select(F.array_join("path", ">").alias("cycle"))
+    return graph.cycles(S.edges(spark, d)).select(F.array_join("path", ">").alias("cycle"))
 
 
 @query("gr04_shortest_paths", "WITH RECURSIVE p(node, path) AS (SELECT 'click', ['click'] UNION ALL SELECT dst, list_append(path, dst) FROM p JOIN v_edges ON src = node WHERE NOT list_contains(path, dst)) SELECT node, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY len(path), path) AS rn FROM p) x WHERE rn = 1")
@@ -287,6 +287,11 @@ def gr15c(spark, d):
     return _summarized(spark, d, 2000)
 
 
+@query("gr16_nodes_and_links", "WITH nd AS (SELECT src AS id FROM v_dag UNION SELECT dst FROM v_dag) SELECT 'node' AS kind, id AS source, NULL AS target, (SELECT count(*) FROM v_dag WHERE dst = id) AS weight FROM nd UNION ALL SELECT 'link', src, dst, count(*) FROM v_dag GROUP BY src, dst")
+def gr16(spark, d):
+    return graph.nodes_and_links(S.dag(spark, d))
+
+
 # ---- roles
 
 _ROLES = "roles AS (SELECT DISTINCT src AS role FROM v_dag WHERE src NOT LIKE 'C%' UNION SELECT dst FROM v_dag), uroles AS (SELECT c_custkey AS usr, concat('N', c_nationkey) AS role FROM customer), perms AS (SELECT role, CASE CAST(substr(role, 2) AS INT) % 5 WHEN 0 THEN 'read:*' WHEN 1 THEN 'read:file:src/*' WHEN 2 THEN 'tool:execute:*' WHEN 3 THEN 'write:file' ELSE 'perm1' END AS permission FROM roles WHERE role NOT LIKE 'S%'), pol AS (SELECT role, CAST(substr(role, 2) AS INT) % 4 <> 3 AS passes FROM roles WHERE role LIKE 'N%'), starts AS (SELECT DISTINCT role AS node FROM uroles)"

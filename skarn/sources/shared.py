@@ -48,3 +48,10 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df to be broadcast where it is counted to have few rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as can run at once, where it comes in fewer: for costly work on few bytes. Large inputs stay as
+    they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
