@@ -171,3 +171,28 @@ def floor_index(value: str, *percents: float) -> list[Column]:
     """Percentiles at index floor(p n / 100) of the sorted values. For bounded logs (a retained window of records)."""
     values = F.sort_array(F.collect_list(value))
     return [F.element_at(values, (F.floor(F.count(value) * p / 100) + 1).cast("int")).alias(f"p{p:g}") for p in percents]
+
+
+def dependency_completeness(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: edges expected and found, completeness min(1, actual / expected), the share of expected roots and of expected
+    leaves that the actual graph has as such (1 where none is expected), and passed: completeness 0.8 and both shares 0.7."""
+    e, a = expected.select("src", "dst").distinct(), actual.select("src", "dst").distinct()
+    ends = lambda g, one, other: g.select(F.col(one).alias("node")).distinct().join(g.select(F.col(other).alias("node")).distinct(), "node", "left_anti")
+
+    def share(one: str, other: str, name: str) -> DataFrame:
+        want = ends(e, one, other).withColumn("want", F.lit(1))
+        both = want.join(ends(a, one, other).withColumn("have", F.lit(1)), "node", "left")
+        return both.agg(F.coalesce(F.sum("have") / F.sum("want"), F.when(F.count(F.lit(1)) == 0, 1.0).otherwise(0.0)).alias(name))
+
+    n = e.agg(F.count(F.lit(1)).alias("expected")).crossJoin(a.agg(F.count(F.lit(1)).alias("actual")))  # one-row tables
+    out = n.crossJoin(share("src", "dst", "roots")).crossJoin(share("dst", "src", "leaves"))
+    out = out.withColumn("completeness", F.when(F.col("expected") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("actual") / F.col("expected"))))
+    return out.withColumn("passed", (F.col("completeness") >= 0.8) & (F.col("roots") >= 0.7) & (F.col("leaves") >= 0.7))
+
+
+def progress(runs: DataFrame, by: str, *order: str) -> DataFrame:
+    """runs with `iteration` (from 1), `total` and `share` done, for each group in its order."""
+    w = Window.partitionBy(by)
+    n = F.row_number().over(w.orderBy(*order))
+    out = runs.withColumns({"iteration": n, "total": F.count(F.lit(1)).over(w)})
+    return out.withColumn("share", F.col("iteration") / F.col("total"))

@@ -139,3 +139,45 @@ def imports(files: DataFrame) -> DataFrame:
     called = (F.col("prev") == "(") & F.col("prev2").isin("require", "import")
     found = toks.where(F.col("prev").isin("from", "import") | called)
     return found.select("relative_path", F.expr("substring(text, 2, length(text) - 2)").alias("module"), "line")
+
+
+def docstrings(files: DataFrame, definitions: DataFrame) -> DataFrame:
+    """relative_path, name, line, doc: the comment that stands before a definition (relative_path, name, start_line), with
+    nothing but modifiers between them; definitions without one have no row."""
+    each = files.select("relative_path", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("i", "text"))
+    by = Window.partitionBy("relative_path").orderBy("i")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    comment = F.when(F.col("text").startswith("//") | F.col("text").startswith("/*"), F.struct("i", "text"))
+    stop = F.when(F.col("text").isin(";", "{", "}", ")"), F.col("i"))
+    each = each.withColumns({"line": (F.sum(ends).over(by.rowsBetween(Window.unboundedPreceding, 0)) - ends + 1).cast("int"), "c": F.last(comment, ignorenulls=True).over(before), "s": F.last(stop, ignorenulls=True).over(before)})
+    near = each.where(F.col("c").isNotNull() & (F.col("s").isNull() | (F.col("s") < F.col("c.i")))).select("relative_path", F.col("text").alias("name"), "line", F.col("c.text").alias("doc"))
+    own = definitions.select("relative_path", "name", F.col("start_line").alias("line")).distinct()
+    return own.join(near, ["relative_path", "name", "line"]).dropDuplicates(["relative_path", "name", "line"])
+
+
+def parsed_once(files: DataFrame, strategy=references) -> tuple[DataFrame, DataFrame]:
+    """What a strategy gives, with each distinct content read once; files that share it share what was found."""
+    keyed = written(files.select("relative_path", "content", F.sha2(F.col("content").cast("binary"), 256).alias("_hash")), "parse-keys")
+    once = keyed.groupBy("_hash").agg(F.first("content").alias("content")).select(F.col("_hash").alias("relative_path"), "content")
+    paths = keyed.select("_hash", "relative_path")
+    spread_ = lambda df: df.withColumnRenamed("relative_path", "_hash").join(paths, "_hash").select(df.columns)
+    defs, sites = strategy(once)
+    return spread_(defs), spread_(sites)
+
+
+#: How a name is resolved, best first.
+LEVELS = ("qualified", "name", "any case")
+
+
+def resolved(names: DataFrame, definitions: DataFrame) -> DataFrame:
+    """query, level, fqn, relative_path of the definitions that each name (query) means: those of that qualified name; where
+    there are none, those of that name; where there are none, those in any case. Three equal joins, none of them skewed by the
+    others: a level takes only the names that the levels before left over."""
+    defs = definitions.select("relative_path", "name", "fqn").distinct()
+    left, out = names.select("query").where("query is not null").distinct(), None
+    for level, (q, d) in enumerate(((F.col("query"), F.col("fqn")), (F.substring_index("query", ".", -1), F.col("name")), (F.lower(F.substring_index("query", ".", -1)), F.lower("name")))):
+        found = left.withColumn("_k", q).join(defs.withColumn("_k", d), "_k").select("query", F.lit(LEVELS[level]).alias("level"), "fqn", "relative_path")
+        left = left.join(found.select("query").distinct(), "query", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
