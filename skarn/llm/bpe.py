@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ _NONE = np.int32(2**31 - 1)
 SLICE = 1 << 20
 #: Leaves of the trees that are merged in step, one piece at least; a leaf takes some 50 bytes.
 CELLS = 1 << 17
+#: Leaves from which a piece is merged by itself: a step for few trees costs more than the steps of one.
+LONG = 1 << 11
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,6 +146,58 @@ class SegmentTreeBPE:
             rows = rows[tree[top + 1] < none]
         return ids
 
+    @cached_property
+    def _pairs(self) -> dict[int, int]:
+        """Rank by pair, for pieces that are merged by themselves."""
+        used = self.pair_keys >= 0
+        return dict(zip(self.pair_keys[used].tolist(), self.pair_ranks[used].tolist(), strict=True))
+
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece: the same tree, with a walk up from each changed leaf that ends where nothing changes."""
+        n = len(piece)
+        width, size, rank_of = 1 << (n - 1).bit_length(), self.size, self._pairs.get
+        first, none = self.byte[np.frombuffer(piece, np.uint8)], int(_NONE) * width
+        nodes = np.full(2 * width, none, np.int64)
+        nodes[width : width + n - 1] = self._rank(first[:-1], first[1:]).astype(np.int64) * width + np.arange(n - 1)
+        level = width // 2
+        while level:
+            np.minimum(nodes[2 * level : 4 * level : 2], nodes[2 * level + 1 : 4 * level : 2], out=nodes[level : 2 * level])
+            level //= 2
+        tree, ids = array("q", nodes.tobytes()), array("i", first.astype(np.int32).tobytes())
+        del nodes
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def put(place: int, value: int) -> None:
+            node = width + place
+            tree[node] = value
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while (least := tree[1]) < none:
+            made, at = divmod(least, width)
+            gone = after[at]
+            nxt = after[gone]
+            ids[at], ids[gone], after[at] = made, -1, nxt
+            put(gone, none)
+            if nxt < n:
+                before[nxt] = at
+                rank = rank_of(made * size + ids[nxt])
+                put(at, none if rank is None else rank * width + at)
+            else:
+                put(at, none)
+            prev = before[at]
+            if prev >= 0:
+                rank = rank_of(ids[prev] * size + made)
+                put(prev, none if rank is None else rank * width + prev)
+        out = np.frombuffer(ids, np.int32)
+        return out[out >= 0]
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ids): the ids of each piece (a match of the pattern, as UTF-8) end to end."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -153,6 +208,12 @@ class SegmentTreeBPE:
         parts = []
         for width in np.unique(widths).tolist():
             members = todo[widths == width]
+            if width >= LONG:
+                for i in members.tolist():
+                    ids = self._merge_long(pieces[i])
+                    counts[i] = len(ids)
+                    parts.append((np.array([i]), ids))
+                continue
             most = max(1, CELLS // width)
             for k in range(0, len(members), most):
                 some = members[k : k + most]
