@@ -9,7 +9,9 @@ Selection: whole passes over a shard's documents first, then blocks in seeded ha
 
 A shard holds about SHARD_WORDS words of one source, so a source with a third of all rows is many window groups.
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated
-rows are documents of their own; an empty table gives an empty result. Blocks are equal but for a document's last.
+rows are documents of their own; equal quotients go to the source, shard or seat of the lower number and equal draws to the
+smaller id; a very long text is many blocks of one document; an empty table gives an empty result. Blocks are equal but for a
+document's last. `mix` reads id, source and text alone; `mixed` carries all columns.
 """
 
 from __future__ import annotations
@@ -182,20 +184,21 @@ def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """df's rows as the mix takes them: whole copies as they are, then a last partial copy of the drawn blocks' words, one
-    space between them. A document that the mix leaves out goes."""
-    plan = mix(sized(df, id_col, source_col, text_col), pieces=True).where("taken > 0")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    space between them. A document that the mix leaves out goes. All columns are carried, whatever their names."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    plan = mix(sized(own), pieces=True).where("taken > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     keys = lambda i, s: [F.coalesce(i.cast("string"), F.lit("")).alias("_i"), i.isNull().alias("_in"), F.coalesce(s.cast("string"), F.lit("")).alias("_s"), s.isNull().alias("_sn")]  # noqa: E731  nulls are keys too
-    own = df.select("*", *keys(F.col(id_col), F.col(source_col)), size.alias("_size"))
-    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_i", "_in", "_s", "_sn", "_size").orderBy(text_col)).cast("long"))
+    own = own.select("_row", "text", *keys(F.col("doc_id"), F.col("source")), size.alias("_size"))
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_i", "_in", "_s", "_sn", "_size").orderBy("text")).cast("long"))
     plan = plan.select(*keys(F.col("doc_id"), F.col("source")), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "passes", "pieces")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # The words are bound to a lambda variable, else each piece would split the text again.
     pick = lambda w: F.array_join(F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(w, (p.block * BLOCK + 1).cast("int"), p.got.cast("int")))), " ")
     drawn = F.element_at(F.transform(F.array(words), pick), 1)
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("pieces").isNull(), F.array().cast("array<string>")).otherwise(F.array(drawn)))
-    out = own.join(plan, ["_i", "_in", "_s", "_sn", "_size", "_copy"]).withColumn("_text", F.explode(copies))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    copies = F.concat(F.array_repeat("text", F.col("passes")), F.when(F.col("pieces").isNull(), F.array().cast("array<string>")).otherwise(F.array(drawn)))
+    out = own.join(plan, ["_i", "_in", "_s", "_sn", "_size", "_copy"]).select("_row", F.explode(copies).alias("_text"))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
