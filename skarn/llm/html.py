@@ -10,7 +10,7 @@ without an article element, borders of containers count twice, and a surge takes
 point a line whose window reaches SURGE characters, or, on a page where none does, the largest window. The lines between
 two dive points are kept where a surge point stands between them.
 
-Defined cases: null and empty pages give an empty text; unclosed and misnested tags close with their parents; equal pages
+Defined cases: null and empty pages give an empty text; a very long page is read whole; unclosed and misnested tags close with their parents; equal pages
 give equal texts; of columns named like a result (text, n_chars) the result's stay; further columns are carried.
 """
 

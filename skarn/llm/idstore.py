@@ -4,12 +4,12 @@ File format: magic, sha256 of the dictionary, the frames end to end, then the in
 counts) as little-endian arrays and a fixed tail with the number of documents and where the index starts. A document is
 read by its index entry alone. Ids are unsigned 16-bit where the vocabulary allows, else 32-bit.
 
-Documents stand in ascending doc_id order over all files (nulls last; rows of one doc_id by the hash of their text). Each task writes its range under a name of its own
-and reports it; only reported files are read, so a repeated or lost task does no harm.
+Documents stand in ascending doc_id order over all files (nulls last; rows of one doc_id by the hash of their text). Each task
+writes its range under a name of its own and reports it; only reported files are read, so a repeated or lost task does no harm.
 
 Ids are those of the library as it stands: an added token's string in a text (`<|endoftext|>`) is that token.
 Defined cases: a null text has only the end id; repeated rows are stored each; an empty table gives an empty result; too
-few samples to train on give a raw-content dictionary. Further columns are ignored.
+few samples to train on give a raw-content dictionary; a very long text, also one without white space, is one frame. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ buckets by document, and in the second round every list over parts of HELD entri
 
 Defined cases: a null text, or one without words, has size 0 and is a component of its own; fewer than five words are one
 shingle, linked only with the same sequence; rows of one doc_id are one node; rows with a null doc_id get a null component
-and link nothing; an empty table gives an empty result; further columns are ignored.
+and link nothing; a very long text is one set of as many shingles, read whole in slices; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations

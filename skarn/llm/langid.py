@@ -10,7 +10,8 @@ id) and keeps at most WORDS words and GRAMS n-grams of each length, so its size
 
 Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text where no label was seen;
 ties go to the language first in code point order; labels that are null teach nothing; rows with a null id teach nothing
-and are not held out; repeated rows are predicted alike. Further columns are carried, but for those named like a result.
+and are not held out; repeated rows are predicted alike; a very long text is read whole, its distinct words scored once.
+Further columns are carried, but for those named like a result.
 """
 
 from __future__ import annotations

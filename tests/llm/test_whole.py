@@ -212,3 +212,29 @@ def test_without_windows_other_lines_stay(monkeypatch):
     assert "Home" not in kept
     monkeypatch.setattr(html, "text_lines", lambda lengths, share=0.0: np.array(lengths) > 0)
     assert "Home" in html.extract(page)
+
+
+def test_long_pieces_are_merged_by_themselves():
+    """The walk of a single tree gives what a library gives, and in time that grows little faster than the piece."""
+    import random
+    import time
+
+    import tiktoken
+
+    from skarn.llm import bpe
+
+    path, pattern = bpe.public_ranks()
+    ranks = bpe.read_ranks(path)
+    own, library = bpe.SegmentTreeBPE(ranks, pattern), tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    for text in ("a" * bpe.LONG, "ab" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé中") for _ in range(80_000))):
+        began = time.time()
+        ids = own.encode_segments([text])[1].tolist()
+        assert time.time() - began < 5 and ids == library.encode_ordinary(text)
+
+
+def test_mixed_carries_columns_of_any_name(spark):
+    rows = [(i, f"word{i} " * (40 + i), "ab"[i % 2], 1, 2, 3, 4, 5, 6) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, passes int, pieces int, _size int, _copy int, _text int, `_row` int")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6)}
