@@ -6,7 +6,8 @@
 4 mixing: documents are repeated or drawn in part, so that each source comes near its target.
 5 byte-level BPE: token counts and digests of what is left.
 
-All stages but the last return the columns of documents. n_chars follows the text.
+All stages but the last return the columns of documents, further ones too, whatever their names. n_chars follows the text. Rows
+with a null doc_id pass the join as they are; an empty table gives empty results from stage to stage.
 """
 
 from __future__ import annotations
