@@ -1,9 +1,12 @@
 """Every registered query on the smallest tables: against its SQL, a library, or a brute-force version of its own."""
 
 import collections
+import functools
 import glob
 import hashlib
 import html
+import io
+import itertools
 import os
 import re
 import zlib
@@ -223,3 +226,109 @@ def test_op10(spark):
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
         seen += len(spans)
     assert seen
+
+
+def test_op6_scores_by_hand(result, duck):
+    """The whole model in plain Python: word logs, backoff from 5-grams down to characters, softmax of means."""
+    rows = duck.sql("SELECT doc_id, text, lang FROM documents").fetchall()
+    words = lambda t: [x for w in WORD.findall((t or "").lower()) for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    grams = lambda w, n: [g for g in (f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)) if n > 1 or g not in "\x02\x03"]
+    texts = collections.defaultdict(collections.Counter)
+    for i, t, g in rows:
+        if t is not None and g is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            texts[g].update(words(t))
+    langs = sorted(texts)
+    total = sum(texts.values(), collections.Counter())
+    kept = {w for w, n in total.items() if n > 1}
+    logs = lambda counts, sums, size: [np.log((c + 0.5) / (s + 0.5 * max(1, size))) for c, s in zip(counts, sums, strict=True)]
+    sums = [sum(texts[g].values()) for g in langs]
+    table = {}
+    for n in range(1, 6):
+        seen = collections.defaultdict(lambda: [0] * len(langs))
+        for k, g in enumerate(langs):
+            for w, c in texts[g].items():
+                for x in grams(w, n):
+                    seen[x][k] += c
+        own, all_ = {x: v for x, v in seen.items() if sum(v) > 1}, np.array(list(seen.values())).sum(0)
+        table[n] = {x: logs(v, all_, len(own)) for x, v in own.items()}
+
+    def of(w):
+        if w in kept:
+            return logs([texts[g][w] for g in langs], sums, len(kept))
+        for n in range(5, 0, -1):
+            if found := [table[n][x] for x in grams(w, n) if x in table[n]]:
+                return np.mean(found, axis=0)
+        return [0.0] * len(langs)
+
+    known = functools.cache(lambda w: tuple(of(w)))
+    got = {r.doc_id: r for r in result("op6_language_id")}
+    for i, t, _ in rows:
+        own = words(t)
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        mean = np.sum([known(w) for w in own], axis=0) / len(own) * min(len(own), 20)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].lang_pred == langs[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-6
+
+
+def test_op7_features_by_hand(result, duck):
+    """Area averages as exact fractions, for every text of up to 12 rows of samples."""
+    from fractions import Fraction
+
+    def averages(m, tall, wide):
+        out = []
+        for y in range(tall):
+            top, bottom = Fraction(y * len(m), tall), Fraction((y + 1) * len(m), tall)
+            row = []
+            for x in range(wide):
+                left, right = Fraction(x * 64, wide), Fraction((x + 1) * 64, wide)
+                area = sum((min(bottom, i + 1) - max(top, i)) * (min(right, j + 1) - max(left, j)) * m[i][j] for i in range(int(top), -int(-bottom // 1)) for j in range(int(left), -int(-right // 1)))
+                row.append(area / ((bottom - top) * (right - left)))
+            out.append(row)
+        return out
+
+    own, checked = texts(duck), 0
+    for r in result("op7_media_columns"):
+        data = own[r.doc_id].encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        if len(payload) > 12 * 64:
+            continue
+        m = [list(payload[i : i + 64]) for i in range(0, len(payload), 64)]
+        small = averages(m, 8, 9)
+        if any(abs(b - a) and abs(b - a) < Fraction(1, 10**5) for row in small for a, b in itertools.pairwise(row)):
+            continue  # rounding to a millionth may tell them apart or not
+        bits = [b > a for row in small for a, b in itertools.pairwise(row)]
+        assert r.feature.split(":")[0] == np.packbits(bits).tobytes().hex()
+        tile = averages(m, 16, 16)
+        if any(abs((v % 1) - Fraction(1, 2)) < Fraction(1, 10**6) for row in tile for v in row):
+            continue
+        buffer = io.BytesIO()
+        np.save(buffer, np.asfortranarray(np.array([[round(v) for v in row] for row in tile], np.uint8)), allow_pickle=False)  # column by column, as tiles are stored
+        assert r.feature.split(":")[1] == hashlib.sha256(buffer.getvalue()).hexdigest()[:16]
+        checked += 1
+    assert checked >= 2
+
+
+def test_op10_spans_by_hand(result, duck):
+    """Owners and repositories of every value in plain Python decide which added spans stay."""
+    from skarn.llm import secrets
+
+    rows = duck.sql("SELECT doc_id, coalesce(text, ''), source FROM documents").fetchall()
+    found = {i: secrets.find(t) for i, t, _ in rows}
+    repos, owners, base = collections.defaultdict(set), collections.defaultdict(set), set()
+    for i, _, s in rows:
+        for kind, _, _, v in found[i]:
+            repos[v].add(i)
+            owners[v].add(s)
+            if kind != "bare":
+                base.add(v)
+    n_owners, n_repos = len({s for _, _, s in rows}), len(rows)
+
+    def live(v):
+        return len(owners[v]) < max(secrets.COPIED_OWNERS, secrets.OWNERS_SHARE * n_owners) and (len(owners[v]) == 1 or len(repos[v]) < max(secrets.COPIED_REPOS, secrets.REPOS_SHARE * n_repos))
+
+    for r in result("op10_secret_scans"):
+        kept = [x for x in found[r.doc_id] if x[0] not in ("provider", "bare") or live(x[3]) and x[3] in base]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e, _ in kept)
+        assert (r.n_live, r.n_copied) == (sum(live(x[3]) for x in kept), sum(not live(x[3]) for x in kept))
