@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import analytics, chunk, graph, incremental, search, vector, xref
+from .operators import analytics, chunk, graph, incremental, registries, search, vector
 from .sources.shared import small, written
 from .sources.versions import Versions
 
@@ -146,12 +146,9 @@ class Engine:
     def context(self, symbol: str, around: int = 5) -> DataFrame:
         return search.context(self.files, symbol, around)
 
-    def extracted(self) -> DataFrame:
-        return chunk.extract_symbols(self.files)
-
     def references(self) -> tuple[DataFrame, DataFrame]:
-        """Definitions and call sites of the files, as `xrefs` and `find_symbol` take them."""
-        return xref.references(self.files)
+        """Definitions and call sites of the files, as `xrefs` and `find_symbol` take them, by the strategy of each language."""
+        return registries.references(self.files)
 
     def xrefs(self, definitions: DataFrame, sites: DataFrame, symbol: str, direction: str = "callers", limit: int = 20) -> DataFrame:
         """Distinct callers of a symbol, or what it calls. definitions: fqn, name; sites: name, caller."""

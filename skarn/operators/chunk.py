@@ -65,43 +65,6 @@ def packed_chunks(files: DataFrame, max_tokens: int = 512, overlap: float = 0.25
     return files.select("relative_path", "content").mapInArrow(run, "relative_path string, part int, start_line int, end_line int, content string")
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """relative_path, kind, name, line, callee of definitions and imports: Python by its own parser, others by patterns."""
-    import ast
-    import re
-
-    patterns = [("function", re.compile(r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)")), ("class", re.compile(r"^\s*(?:export\s+)?class\s+(\w+)")), ("import", re.compile(r"""^\s*import\b.*?from\s+['"]([^'"]+)"""))]
-
-    def found(text: str, language: str) -> list[tuple[str, str, int]]:
-        if language == "python":
-            try:
-                tree = ast.parse(text)
-            except (SyntaxError, ValueError):
-                return []
-            out = []
-            for n in ast.walk(tree):
-                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    out.append(("function", n.name, n.lineno))
-                elif isinstance(n, ast.ClassDef):
-                    out.append(("class", n.name, n.lineno))
-                elif isinstance(n, ast.Import):
-                    out += [("import", a.name, n.lineno) for a in n.names]
-                elif isinstance(n, ast.ImportFrom):
-                    out.append(("import", n.module or ".", n.lineno))
-                elif isinstance(n, ast.Call) and isinstance(n.func, ast.Name):
-                    out.append(("call", n.func.id, n.lineno))
-            return sorted(out, key=lambda x: (x[2], x[0], x[1]))
-        return [(k, m[1], i) for i, line in enumerate(text.split("\n"), 1) for k, p in patterns if (m := p.match(line))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, *x) for p, t, g in zip(*(b.column(c).to_pylist() for c in ("relative_path", "content", "language")), strict=True) for x in found(t or "", g or "")]
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), pa.string(), pa.int32()], strict=True)], ["relative_path", "kind", "name", "line"])
-
-    return files.select("relative_path", "content", "language").mapInArrow(run, "relative_path string, kind string, name string, line int")
-
-
 def _header(columns: list[str], grounding: int) -> tuple[Column, Column]:
     """(what stands before the part's number, what stands after it from the second part on)."""
     mark = T.comment_prefix(F.col("language"))

@@ -44,6 +44,7 @@ LANGUAGES: Registry[Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = Regist
 
 for _name in ("typescript", "javascript"):
     LANGUAGES.register(_name)(xref.references)
+LANGUAGES.register("python")(xref.indented_references)
 
 FOUND = "array<struct<severity:string,message:string>>"
 

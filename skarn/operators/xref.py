@@ -118,6 +118,11 @@ def references(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_call = _is_name("tok") & ((F.col("next") == "(") | (F.col("prev") == "new")) & (F.coalesce("prev", F.lit("")) != "function")
     calls = toks.where(is_call & ~T.is_noise_name(F.col("tok"))).join(bodies.select("relative_path", "i"), ["relative_path", "i"], "left_anti")
     calls = calls.select("relative_path", "i", F.col("tok").alias("name"), "line", F.when((F.col("prev") == ".") & F.col("prev2").rlike(NAME), F.col("prev2")).alias("receiver"))
+    return _related(toks, bodies, calls)
+
+
+def _related(toks: DataFrame, bodies: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Definitions and call sites from intervals and calls."""
     chains = written(_scopes(toks, bodies, calls.select("relative_path", "i").unionByName(bodies.select("relative_path", "i"))), "scopes")
     none = F.array().cast("array<struct<level:int,name:string,type:string,open:int>>")
     path = lambda c: F.transform(c, lambda x: x["name"])
@@ -181,3 +186,80 @@ def resolved(names: DataFrame, definitions: DataFrame) -> DataFrame:
         left = left.join(found.select("query").distinct(), "query", "left_anti")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# ---- scopes by indentation
+
+#: Comments, strings of three quotes and of one, names, a line end with the next line's indentation, and any other sign.
+INDENTED_TOKEN = r"""#[^\n]*|"{3}(?s:.*?)(?:"{3}|\z)|'{3}(?s:.*?)(?:'{3}|\z)|"[^"\\\n]*(?:\\(?s:.)[^"\\\n]*)*"|'[^'\\\n]*(?:\\(?s:.)[^'\\\n]*)*'|[A-Za-z_][A-Za-z0-9_]*|\\\n|\n[ \t]*|[^\sA-Za-z_]"""
+# Words that stand before a parenthesis and are no names.
+INDENTED_KEYWORDS = "if elif while for in is not and or return yield await lambda assert del raise except with as import from def class pass else print match case global nonlocal".split()
+
+
+def _indented_tokens(files: DataFrame) -> DataFrame:
+    """relative_path, i, tok, line, round (brackets open before it), prev, prev2, next of each token; of line ends only those
+    that begin a logical line: outside brackets, with something else than a comment or another line end behind them."""
+    code = F.concat(F.lit("\n"), "content")  # so that the first line has a line end before it too
+    each = files.where("content is not null").select("relative_path", F.posexplode(F.regexp_extract_all(code, F.lit(INDENTED_TOKEN), F.lit(0))).alias("i", "text"))
+    by = Window.partitionBy("relative_path").orderBy("i")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    each = each.withColumn("line", (F.sum(ends).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("text").startswith("\n"), 0).otherwise(ends)).cast("int"))
+    each = each.where(~F.col("text").startswith("#") & (F.col("text") != "\\\n"))
+    step = F.when(F.col("text").isin("(", "[", "{"), 1).when(F.col("text").isin(")", "]", "}"), -1).otherwise(0)
+    each = each.withColumn("round", (F.sum(step).over(by.rowsBetween(Window.unboundedPreceding, 0)) - step).cast("int"))
+    end = F.col("text").startswith("\n")
+    each = each.withColumn("behind", F.lead("text").over(by)).where(~end | ((F.col("round") <= 0) & F.col("behind").isNotNull() & ~F.col("behind").startswith("\n")))
+    quoted = F.substring("text", 1, 1).isin('"', "'") & (F.length("text") > 1)
+    each = each.withColumn("tok", F.when(quoted, '"').otherwise(F.col("text")))
+    return each.select("relative_path", "i", "tok", "line", "round", F.lag("tok").over(by).alias("prev"), F.lag("tok", 2).over(by).alias("prev2"), F.lead("tok").over(by).alias("next"))
+
+
+def _indented_bodies(toks: DataFrame) -> DataFrame:
+    """The intervals of functions and classes: from the name to the last token before the next logical line that is indented no
+    further. For each of a file's indentations up to its own, the next line of that indentation is looked up."""
+    begins = toks.where(F.col("tok").startswith("\n")).select("relative_path", "i", (F.length("tok") - 1).alias("indent"))
+    by = Window.partitionBy("relative_path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    indent = F.last(F.when(F.col("tok").startswith("\n"), F.length("tok") - 1), ignorenulls=True).over(by)
+    first = F.col("prev2").startswith("\n") | ((F.col("prev2") == "async"))
+    named = toks.withColumn("indent", indent).where(F.col("prev").isin("def", "class") & first & F.col("tok").rlike(NAME))
+    named = named.select("relative_path", F.col("tok").alias("name"), F.when(F.col("prev") == "class", "class").otherwise("function").alias("type"), "i", "line", "indent")
+    levels = begins.groupBy("relative_path").agg(F.collect_set("indent").alias("levels"))
+    asks = named.join(levels, "relative_path").select("relative_path", "i", F.explode(F.filter("levels", lambda x: x <= F.col("indent"))).alias("indent"), F.lit(None).cast("int").alias("at"))
+    both = begins.select("relative_path", "i", "indent", F.col("i").alias("at")).unionByName(asks)
+    w = Window.partitionBy("relative_path", "indent").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    after = both.withColumn("after", F.first("at", ignorenulls=True).over(w)).where("at is null").groupBy("relative_path", "i").agg(F.min("after").alias("after"))
+    # The last token before that line, and its line.
+    ends = toks.where(~F.col("tok").startswith("\n")).select("relative_path", "i", F.struct("i", "line").alias("token"))
+    asked = named.join(after, ["relative_path", "i"], "left").withColumnRenamed("i", "name_i")
+    probes = asked.select("relative_path", F.coalesce("after", F.lit(2**31 - 1)).alias("i"), F.lit(None).cast(ends.schema["token"].dataType).alias("token"), F.struct("name", "type", "name_i", "line").alias("body"))
+    w = Window.partitionBy("relative_path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    held = ends.withColumn("body", F.lit(None).cast(probes.schema["body"].dataType)).unionByName(probes).withColumn("end", F.last("token", ignorenulls=True).over(w)).where("body is not null")
+    return held.select("relative_path", "body.name", "body.type", F.col("body.name_i").alias("i"), "body.line", F.col("body.name_i").alias("open"), F.col("end.i").alias("close"), F.col("end.line").alias("end_line"))
+
+
+def indented_references(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`references` of source text whose scopes are indentations. A function directly in a class is a method. A tab counts as one
+    blank; a definition that does not begin its logical line is none."""
+    toks = written(_indented_tokens(files), "tokens")
+    bodies = written(_indented_bodies(toks), "bodies")
+    name = F.col("tok").rlike(NAME) & ~F.col("tok").isin(INDENTED_KEYWORDS) & (F.col("next") == "(") & ~F.coalesce("prev", F.lit("")).isin("def", "class")
+    calls = toks.where(name & ~T.is_noise_name(F.col("tok")))
+    calls = calls.select("relative_path", "i", F.col("tok").alias("name"), "line", F.when((F.col("prev") == ".") & F.col("prev2").rlike(NAME), F.col("prev2")).alias("receiver"))
+    defs, sites = _related(toks, bodies, calls)
+    classes = bodies.where("type = 'class'").select("relative_path", F.col("name").alias("_class")).distinct()
+    held = defs.withColumn("_class", F.when(F.size("scope") > 1, F.try_element_at("scope", F.lit(-2)))).join(classes.withColumn("_m", F.lit(True)), ["relative_path", "_class"], "left")
+    return held.withColumn("type", F.when(F.col("_m"), "method").otherwise(F.col("type"))).select(defs.columns), sites
+
+
+def indented_imports(files: DataFrame) -> DataFrame:
+    """relative_path, module, line of `import a.b, c` and `from .m import x`."""
+    toks = _indented_tokens(files)
+    by = Window.partitionBy("relative_path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    begin = F.col("tok").startswith("\n")
+    toks = toks.withColumn("of", F.last(F.when(begin, F.col("i")), ignorenulls=True).over(by)).withColumn("head", F.last(F.when(F.col("prev").startswith("\n"), F.col("tok")), ignorenulls=True).over(by))
+    own = toks.where(~begin & F.col("head").isin("import", "from")).groupBy("relative_path", "of").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("t"), F.min("line").alias("line"), F.first("head").alias("head"))
+    words = F.transform("t", lambda x: x["tok"])
+    cut = F.array_position(words, "import").cast("int")
+    module = F.array_join(F.slice(words, 2, F.greatest(cut - 2, F.lit(0))), "")
+    listed = F.transform(F.split(F.array_join(F.slice(words, 2, F.size("t")), " "), " , "), lambda x: F.replace(F.regexp_extract(x, r"^(.*?)(?: as .*)?$", 1), F.lit(" "), F.lit("")))
+    return own.select("relative_path", F.explode(F.when(F.col("head") == "from", F.array(module)).otherwise(listed)).alias("module"), "line")

@@ -459,11 +459,6 @@ def sec06(spark, d):
     return _assessed(spark, d).select("control", "status", "n", F.col("last_at").cast("string").alias("last_at"))
 
 
-@query("sec07_control_catalogue", f"WITH {_CONTROLS} SELECT category, count(*) AS n FROM ctl GROUP BY category")
-def sec07(spark, d):
-    return security.controls(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("sec08_audit_enrichment", """SELECT event_id, session, substr(sha256(concat('{"event_id":', event_id, ',"type":"', type, '","user_id":', user_id, ',"session":"', session, '"}')), 1, 16) AS hash FROM (SELECT *, concat('s-', user_id, '-', strftime(ts, '%Y%m%d')) AS session FROM v_audit) x""")
 def sec08(spark, d):
     return security.enriched(S.audit(spark, d)).select("event_id", "session", "hash")

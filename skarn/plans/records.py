@@ -163,11 +163,6 @@ def src20(spark, d):
     return FS.audit_round_trip(S.truth(spark, d), "doc_id long, relevant int")
 
 
-@query("src22_synthetic_files")
-def src22(spark, d):
-    return spark.range(100).select(F.format_string("src/service_%d.py", "id").alias("relative_path"), F.format_string("class Service%d:\n    def run(self):\n        return %d\n", "id", "id").alias("content"))
-
-
 # ---- filters
 
 

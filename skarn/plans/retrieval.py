@@ -285,12 +285,6 @@ def ck04(spark, d):
     return chunk.enriched(c).select("relative_path", "start_line", F.md5(F.col("enriched").cast("binary")).alias("digest"))
 
 
-@query("ck05_extract_symbols")
-def ck05(spark, d):
-    code = F.format_string("import os\nfrom a.b import c\n\ndef f%s(x):\n    return g%s(x)\n\nclass K%s:\n    pass\n", F.col("doc_id"), F.col("doc_id"), F.col("doc_id"))
-    return chunk.extract_symbols(S.files(spark, d).withColumn("content", code).withColumn("language", F.lit("python")))
-
-
 @query("wn09_line_prefix_sums", "SELECT doc_id, i AS line, CAST(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS i FROM documents) x")
 def wn09(spark, d):
     from pyspark.sql import Window
@@ -509,18 +503,6 @@ def st05(spark, d):
 # ---- parsers and one-batch indexing
 
 
-@query("ck06_typescript_symbols")
-def ck06(spark, d):
-    code = F.format_string("import {x} from './m%s'\nexport function f%s() {}\nclass K%s {}\n", F.col("doc_id"), F.col("doc_id"), F.col("doc_id"))
-    return chunk.extract_symbols(S.files(spark, d).withColumn("content", code).withColumn("language", F.lit("typescript")))
-
-
-@query("ck07_python_symbols", "SELECT concat('f', doc_id) AS name, 'function' AS kind FROM documents UNION ALL SELECT 'os', 'import' FROM documents")
-def ck07(spark, d):
-    code = F.format_string("import os\ndef f%s():\n    pass\n", F.col("doc_id"))
-    return chunk.extract_symbols(S.files(spark, d).withColumn("content", code).withColumn("language", F.lit("python"))).select("name", "kind")
-
-
 @query("ck08_docstrings", "SELECT doc_id, concat('Doc of ', doc_id) AS doc FROM documents")
 def ck08(spark, d):
     code = F.format_string('def f():\n    """Doc of %s"""\n', F.col("doc_id"))

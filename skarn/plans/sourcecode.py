@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk, evaluation, security, xref
+from ..operators import chunk, evaluation, registries, security, xref
 from ..sources import tables as S
 from ..sources.versions import Versions
 from .graphs import _CODE_DEFS, _CONTROLS
@@ -92,3 +92,40 @@ def sec07b(spark, d):
     c = security.controls(spark).select("control", "category", F.explode("evidence").alias("type"))
     out = c.join(S.audit(spark, d), "type", "left").groupBy("category")
     return out.agg(F.countDistinct("control").alias("controls"), F.count("event_id").alias("evidence"), F.countDistinct("user_id").alias("users"))
+
+
+_BY_INDENT = """id AS (SELECT replace(relative_path, '.ts', '.py') AS relative_path, g, 8 * g AS l, a, b, c, d, e, f FROM v_groups),
+ pd AS (SELECT relative_path, a AS name, 'function' AS type, l + 3 AS start_line, l + 7 AS end_line, a AS fqn, list_sort(list_distinct([c, e])) AS calls FROM id WHERE g % 4 <> 3
+ UNION ALL SELECT relative_path, b, 'method', l + 3, l + 7, concat(a, '.', b), list_sort(list_distinct([d, e, 'Builder'])) FROM id WHERE g % 4 = 3 UNION ALL SELECT relative_path, c, CASE WHEN b IN (SELECT o.a FROM id o WHERE o.relative_path = id.relative_path AND o.g % 4 = 3) THEN 'method' ELSE 'function' END, l + 4, l + 5, concat(a, '.', b, '.', c), [d] FROM id WHERE g % 4 = 3)"""
+
+
+@query("ck05_extract_symbols", f"WITH {_CODE_DEFS}, {_BY_INDENT} SELECT relative_path, name, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM cd UNION ALL SELECT relative_path, name, CAST(start_line AS INT), CAST(end_line AS INT) FROM pd")
+def ck05(spark, d):
+    """Files of two languages, each read by the strategy that is registered for it."""
+    defs, _ = registries.references(S.sources(spark, d).unionByName(S.sources(spark, d, indented=True)))
+    return defs.select("relative_path", "name", "start_line", "end_line")
+
+
+@query("ck06_script_symbols", f"WITH {_CODE_DEFS} SELECT type, name, count(*) AS n, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines FROM cd GROUP BY type, name")
+def ck06(spark, d):
+    defs, _ = xref.references(S.sources(spark, d))
+    return defs.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"))
+
+
+@query("ck07_indented_symbols", f"WITH {_BY_INDENT} SELECT relative_path, type, fqn, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, array_to_string(calls, ',') AS calls FROM pd")
+def ck07(spark, d):
+    defs, _ = xref.indented_references(S.sources(spark, d, indented=True))
+    return defs.select("relative_path", "type", "fqn", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
+
+
+@query("ck07b_indented_imports", f"WITH {_BY_INDENT} SELECT relative_path, concat('.', b) AS module, CAST(l + 2 AS INT) AS line FROM id WHERE g % 4 <> 3")
+def ck07b(spark, d):
+    return xref.indented_imports(S.sources(spark, d, indented=True))
+
+
+@query("src22_synthetic_files", "SELECT relative_path, max(g) + 1 AS groups, CAST(sum(CASE WHEN g % 4 = 3 THEN 8 ELSE 6 END) AS BIGINT) AS lines, CAST(sum(CASE WHEN g % 4 = 3 THEN 87 + length(a) + length(b) + length(c) + length(d) + length(e) + length(f) ELSE 101 + 2 * length(a) + 2 * length(b) + length(c) + length(d) + 2 * length(e) + length(f) END) + max(g) AS BIGINT) AS chars FROM v_groups GROUP BY relative_path")
+def src22(spark, d):
+    """Source files made from templates and the documents' words."""
+    f = S.sources(spark, d).where("content <> ''")
+    groups = F.regexp_count("content", F.lit(r"(?m)^(?:class|export function) "))
+    return f.select("relative_path", groups.cast("long").alias("groups"), F.size(F.split("content", "\n")).cast("long").alias("lines"), F.length("content").cast("long").alias("chars"))

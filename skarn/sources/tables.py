@@ -91,6 +91,10 @@ FUNCTION_LINES = ["// {0}() {{ in a comment", "export function {0}({1}) {{", "
 CLASS_LINES = ["class {0} {{", "  async {1}({2}) {{", "    {3}();", "    const {4} = (x) => {{", "      {5}(new Builder());", "    }};", "  }}", "}}"]
 
 
+INDENTED_FUNCTION_LINES = ["# def {0}(): in a comment", "from .{1} import {2}", "def {0}({1}, y=\"def {4}():\"):", "    if {5}:", "        {2}({3},", "{4}())", "    return [{5} for x in y]", ""]
+INDENTED_CLASS_LINES = ["class {0}({1}):", "    '''class {2}: def {3}(): '''", "    async def {1}(self):", "        def {2}():", "            {3}()", "", "        self.{4}(Builder())", "    {5} = 1"]
+
+
 def _template(lines: list[str], name, text, joined) -> object:
     """The lines with names put in, as one expression: name(k) is the k-th name, text(s) a literal."""
     import re
@@ -102,20 +106,21 @@ def _template(lines: list[str], name, text, joined) -> object:
     return joined(parts)
 
 
-def sources(spark: SparkSession, d: str) -> DataFrame:
+def sources(spark: SparkSession, d: str, indented: bool = False) -> DataFrame:
     """Source files whose names are all the words of a document: relative_path, language, content. Every fourth group of six
-    words is a class with a method and an arrow function, the others are functions."""
+    words is a class with a method and a function in it, the others are functions; by braces, or by indentation."""
     w = F.col("w")
+    forms = (INDENTED_CLASS_LINES, INDENTED_FUNCTION_LINES) if indented else (CLASS_LINES, FUNCTION_LINES)
 
     def group(g):
         of = lambda k: F.concat(F.element_at(w, (g * 6 + k + 1).cast("int")), F.lit("_"))
         made = lambda lines: _template(lines, of, F.lit, lambda parts: F.concat(*parts))
-        return F.when(g % 4 == 3, made(CLASS_LINES)).otherwise(made(FUNCTION_LINES))
+        return F.when(g % 4 == 3, made(forms[0])).otherwise(made(forms[1]))
 
     words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
     n = F.floor(F.size("w") / 6).cast("int")
     code = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), group), "\n")).otherwise("")
-    return words.where("w is not null").select(F.concat(F.lit("code/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("relative_path"), F.lit("typescript").alias("language"), code.alias("content"))
+    return words.where("w is not null").select(F.concat(F.lit("code/"), F.col("doc_id").cast("string"), F.lit(".py" if indented else ".ts")).alias("relative_path"), F.lit("python" if indented else "typescript").alias("language"), code.alias("content"))
 
 
 # What an event does to the roles: op and item by its type, its number k and its value. The same text in both engines.

@@ -107,3 +107,82 @@ def test_split_chunks_by_hand(spark, ratio):
 def test_split_chunks_of_few_columns(spark):
     df = spark.createDataFrame([("p", "go", "a\nb")], "relative_path string, language string, content string")
     assert [tuple(r) for r in chunk.split_chunks(df).collect()] == [("p", 0, 1, 2, None, "// Part: 1\n\na\nb")]
+
+
+PY = '''import os, sys.path as p
+from ..a.b import (c,
+    d)
+# def ghost(): call()
+x = top(1)
+
+class Box(Base):
+    """def no(): ghost()"""
+    size = make_it()
+
+    @deco(1)
+    async def open(self, a=first(),
+b=2):
+        def inner():
+            deep()
+            return "call()"
+
+        # comment at any place
+    # less
+        self.shut(inner())
+    def shut(self): helper(); return 1
+def outer(
+  x):
+    if x:
+        return \\
+  cont(x)
+    for y in (1,
+2):
+        last()
+def one(): pass
+end_()
+'''
+
+
+def test_indented_code_against_a_parser(spark):
+    import ast
+
+    def walk(node, scope=()):
+        for n in ast.iter_child_nodes(node):
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                name = (*scope, n.name)
+                if not isinstance(n, ast.ClassDef):
+                    n.decorator_list = []  # what decorates a function stands outside of it
+                    called = {c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(n) if isinstance(c, ast.Call)}
+                    yield ".".join(name), ("method" if isinstance(node, ast.ClassDef) else "function"), n.lineno, n.end_lineno, sorted(called)
+                yield from walk(n, name)
+            else:
+                yield from walk(n, scope)
+
+    files = spark.createDataFrame([("f.py", PY), ("empty.py", ""), ("null.py", None), ("odd.py", "  def )x(\n class"), ("last.py", "def f():\n\tg(1")], "relative_path string, content string")
+    defs, sites = xref.indented_references(files)
+    got = {(r.fqn, r.type, r.start_line, r.end_line, tuple(r.calls)) for r in defs.collect() if r.relative_path == "f.py"}
+    assert got == {(*x[:4], tuple(x[4])) for x in walk(ast.parse(PY))}
+    assert {(r.name, r.line, r.caller) for r in sites.collect() if r.relative_path in ("f.py", "last.py")} >= {("top", 5, "module"), ("deco", 11, "module"), ("first", 12, "Box.open"), ("deep", 15, "Box.open.inner"), ("end_", 31, "module")}
+    assert {(r.fqn, r.end_line) for r in defs.collect() if r.relative_path == "last.py"} == {("f", 2)}
+    got = {(r.module, r.line) for r in xref.indented_imports(files).collect() if r.relative_path == "f.py"}
+    assert got == {("os", 1), ("sys.path", 1), ("..a.b", 2)}
+    own = xref.indented_references(files.where("content is null"))
+    assert own[0].count() == 0 and own[1].count() == 0
+
+
+def test_docstrings_and_parse_cache(spark):
+    code = "/** one\n * more */\nexport async function a() {}\n// two\nconst x = 1;\nfunction b() {}\nclass K {\n  // three\n  m() {}\n  n() {}\n}\n"
+    files = spark.createDataFrame([("f.ts", code), ("copy.ts", code), ("n.ts", None)], "relative_path string, content string")
+    defs, _ = xref.parsed_once(files)
+    assert {(r.relative_path, r.name) for r in defs.collect()} == {(p, n) for p in ("f.ts", "copy.ts") for n in "abmn"}
+    docs = xref.docstrings(files, defs)
+    assert {(r.name, r.line, r.doc) for r in docs.where("relative_path = 'f.ts'").collect()} == {("a", 3, "/** one\n * more */"), ("m", 9, "// three")}
+
+
+def test_resolution_falls_back(spark):
+    defs = spark.createDataFrame([("f", "run", "A.run"), ("g", "run", "B.run"), ("g", "Run", "Run")], "relative_path string, name string, fqn string")
+    got = xref.resolved(spark.createDataFrame([("A.run",), ("run",), ("RUN",), ("x.run",), ("none",), (None,)], "query string"), defs).collect()
+    found = {}
+    for r in got:
+        found.setdefault((r.query, r.level), set()).add(r.fqn)
+    assert found == {("A.run", "qualified"): {"A.run"}, ("run", "name"): {"A.run", "B.run"}, ("x.run", "name"): {"A.run", "B.run"}, ("RUN", "any case"): {"A.run", "B.run", "Run"}}

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skarn.functions import text as T
-from skarn.operators import chunk, evaluation, graph, incremental, search, security
+from skarn.operators import chunk, evaluation, graph, incremental, registries, search, security, xref
 from skarn.sources import files
 
 
@@ -190,9 +190,11 @@ def test_packing_covers_every_line(lines, most, overlap):
     assert all(b[0] <= a[1] and b[0] > a[0] for a, b in zip(parts, parts[1:], strict=False))
 
 
-def test_symbols_of_python(spark):
-    f = spark.createDataFrame([("m.py", "import os\nclass K:\n    def f(self):\n        return g()\n", "python"), ("bad.py", "def (", "python"), ("a.ts", "export function run() {}\n", "typescript")], "relative_path string, content string, language string")
-    assert {(r.relative_path, r.kind, r.name) for r in chunk.extract_symbols(f).collect()} == {("m.py", "import", "os"), ("m.py", "class", "K"), ("m.py", "function", "f"), ("m.py", "call", "g"), ("a.ts", "function", "run")}
+def test_extract_symbols(spark):
+    f = spark.createDataFrame([("m.py", "import os\nclass K:\n    def f(self):\n        g()\n", "python"), ("a.ts", "export function run() {}", "typescript"), ("b.zz", "function x() {}", "other")], "relative_path string, content string, language string")
+    defs, sites = registries.references(f)
+    assert {(r.relative_path, r.type, r.fqn) for r in defs.collect()} == {("m.py", "method", "K.f"), ("a.ts", "function", "run")}
+    assert xref.indented_imports(f.where("language = 'python'")).first().module == "os"
 
 
 def test_crawl(spark, tmp_path):
