@@ -62,9 +62,10 @@ def _bodies(toks: DataFrame) -> DataFrame:
     """relative_path, name, type (function, method, arrow, class), i (of the name), line, open, close, end_line of each
     interval."""
     parens = _partners(toks, "(", ")", "round").select("relative_path", (F.col("i") - 1).alias("i"), "after")
-    # The next brace, semicolon or closing brace at a token's own depths.
-    w = Window.partitionBy("relative_path", "curly", "round").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    stop = F.first(F.when(F.col("tok").isin("{", ";") | (F.col("tok") == "}"), F.struct("tok", "i", "prev")), ignorenulls=True).over(w)
+    # The next brace, semicolon or closing brace at a token's own depths. From the end, as a frame that is open to its end is
+    # computed anew for each row.
+    w = Window.partitionBy("relative_path", "curly", "round").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.last(F.when(F.col("tok").isin("{", ";") | (F.col("tok") == "}"), F.struct("tok", "i", "prev")), ignorenulls=True).over(w)
     # A closing brace counts its own depth as the depth inside, so it ends what stands there.
     marked = toks.withColumn("stop", stop)
     named = marked.where(_is_name("tok"))
@@ -226,8 +227,8 @@ def _indented_bodies(toks: DataFrame) -> DataFrame:
     levels = begins.groupBy("relative_path").agg(F.collect_set("indent").alias("levels"))
     asks = named.join(levels, "relative_path").select("relative_path", "i", F.explode(F.filter("levels", lambda x: x <= F.col("indent"))).alias("indent"), F.lit(None).cast("int").alias("at"))
     both = begins.select("relative_path", "i", "indent", F.col("i").alias("at")).unionByName(asks)
-    w = Window.partitionBy("relative_path", "indent").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    after = both.withColumn("after", F.first("at", ignorenulls=True).over(w)).where("at is null").groupBy("relative_path", "i").agg(F.min("after").alias("after"))
+    w = Window.partitionBy("relative_path", "indent").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    after = both.withColumn("after", F.last("at", ignorenulls=True).over(w)).where("at is null").groupBy("relative_path", "i").agg(F.min("after").alias("after"))
     # The last token before that line, and its line.
     ends = toks.where(~F.col("tok").startswith("\n")).select("relative_path", "i", F.struct("i", "line").alias("token"))
     asked = named.join(after, ["relative_path", "i"], "left").withColumnRenamed("i", "name_i")
