@@ -64,11 +64,13 @@ def samples(events: DataFrame, every: int = 5, keep: int = 100) -> DataFrame:
 
 def operations(events: DataFrame, start: str, end: str, key: str = "user_id") -> DataFrame:
     """Each start event with the next end event of its key, and the peak value from one to the other."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(F.col("event_type") == end, F.struct("ts", "event_id"))).over(w)
-    begun = events.withColumn("until", nxt).where((F.col("event_type") == start) & F.col("until").isNotNull()).select(key, F.col("event_id").alias("op"), F.struct("ts", "event_id").alias("_a"), "until")
-    inside = events.select(key, F.struct("ts", "event_id").alias("_at"), "value")
-    return begun.join(inside, key).where((F.col("_at") >= F.col("_a")) & (F.col("_at") <= F.col("until"))).groupBy(key, "op").agg(F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
+    is_end = (F.col("event_type") == end).cast("int")
+    before = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    # What lies between two ends, the second included, is a stretch; from its end back to a start is a running maximum.
+    placed = events.withColumns({"_end": is_end, "_stretch": F.coalesce(F.sum(is_end).over(before), F.lit(0))})
+    back = Window.partitionBy(key, "_stretch").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    told = placed.withColumns({"peak": F.max("value").over(back), "n": F.count(F.lit(1)).over(back), "_ended": F.max("_end").over(back)})
+    return told.where((F.col("event_type") == start) & (F.col("_ended") == 1)).select(key, F.col("event_id").alias("op"), "peak", "n")
 
 
 def breakdown(df: DataFrame, values: DataFrame, by: str, *aggregates: Column) -> DataFrame:

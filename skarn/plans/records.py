@@ -143,12 +143,12 @@ def src01b(spark, d):
     return got.select("relative_path", "language", "hash", "size", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("src17_csv_export")
+@query("src17_csv_export", """SELECT concat(event_id, ',', type, ',', CASE WHEN regexp_matches(props, '[,"\n]') THEN concat('"', replace(props, '"', '""'), '"') ELSE coalesce(props, '') END) AS line FROM v_audit""")
 def src17(spark, d):
     return FS.csv_lines(S.audit(spark, d).select("event_id", "type", "props"))
 
 
-@query("src18_csv_tokens")
+@query("src18_csv_tokens", "SELECT concat(doc_id, ',', CAST(ceil(length(text) / 4.0) AS BIGINT)) AS line FROM documents")
 def src18(spark, d):
     return FS.csv_lines(S.table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")))
 

@@ -238,7 +238,7 @@ def tx12(spark, d):
     return search.grep(S.files(spark, d), "License")
 
 
-@query("tx13_query_generator")
+@query("tx13_query_generator", "SELECT relative_path, concat('where is ', s) AS query FROM (SELECT relative_path, regexp_extract(content, '[A-Z][a-z]{4,}') AS s FROM v_files) x WHERE s <> '' ORDER BY relative_path LIMIT 10")
 def tx13(spark, d):
     first = F.regexp_extract("content", r"([A-Z][a-z]{4,})", 1)
     return S.files(spark, d).select("relative_path", first.alias("symbol")).where("symbol <> ''").select("relative_path", F.concat(F.lit("where is "), "symbol").alias("query")).orderBy("relative_path").limit(10)
