@@ -29,6 +29,7 @@ split trim replace match test exec JSON parse stringify Object Array String Numb
 finally len str int float list dict set tuple range enumerate zip open read write close append extend keys values items get format
 isinstance type super self __init__ __str__ __repr__ make new append copy delete panic recover fmt Println Printf Sprintf unwrap
 expect clone into from as_ref as_mut iter collect ok err""".split()
+# Names too general to tell anything.
 GENERIC_NAMES = """constructor toString valueOf init setup teardown get set run start stop handle process data value result error
 options config params args props state context callback handler listener observer subscriber""".split()
 # Patterns of entry-point file names and of exported definitions.
@@ -40,6 +41,7 @@ EXPORTS = [
     r"^\s*export\s+(default\s+)?(function|const|let|var|class|interface|type|enum)", r"^\s*export\s*\{", r"^\s*export\s+\*",
     r"__all__\s*=", r"^\s*pub\s+(fn|struct|enum|trait|type|mod|const|static)", r"^(func|type|var|const)\s+[A-Z]",
 ]
+# What is masked in messages.
 SECRET_TOKEN = r"[a-zA-Z0-9_-]{20,}"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 # ASCII word borders: Spark's \b takes accented letters for word characters.

@@ -63,7 +63,7 @@ def evidence(catalogue: DataFrame, audit: DataFrame) -> DataFrame:
 def assess(catalogue: DataFrame, audit: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(control, name, category, status, n, last_at): an override, or not-tested without evidence types, or by count."""
     per_type = audit.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"))
-    each = catalogue.select("control", F.explode("evidence").alias("type")).join(F.broadcast(per_type), "type").groupBy("control").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
+    each = catalogue.select("control", F.explode("evidence").alias("type")).join(small(per_type), "type").groupBy("control").agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
     out = catalogue.join(each, "control", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     status = F.when(F.size("evidence") == 0, "not-tested").when(F.col("n") >= F.col("least"), "compliant").otherwise("non-compliant")
     if overrides is not None:

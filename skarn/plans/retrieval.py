@@ -20,13 +20,13 @@ def _queries(spark, d):
     return S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+_INDEXES: dict[tuple[str, ...], search.TextIndex] = {}
 
 
 def _text_index(spark, d):
-    """The stored index of a corpus, built once in an application, or again where its folder was cleared; every keyword
-    search reads it."""
-    key = (spark.sparkContext.applicationId, d)
+    """The stored index of a corpus, built once in an application for the files that the table has, or again where its folder
+    was cleared; every keyword search reads it."""
+    key = (spark.sparkContext.applicationId, d, *sorted(S.table(spark, d, "documents").inputFiles()))
     if key in _INDEXES:
         try:
             _INDEXES[key].stats.collect()
