@@ -206,3 +206,12 @@ def test_docstrings_of_a_files_own_definitions(spark):
     code = "// one\nfunction a() {}\n// two\nb(); const c = () => {}\n// three\nexport default function d() {}\nfunction e() {}\n"
     files = spark.createDataFrame([("f.ts", code), ("n.ts", None)], "relative_path string, content string")
     assert {(r.name, r.line, r.doc) for r in xref.docstrings(files).collect()} == {("a", 2, "// one"), ("d", 6, "// three")}
+
+
+def test_conditions_on_source_text_do_not_reach_below_it(spark):
+    """Pushed below the view, a condition on the content would match a document's words anew for each name in it."""
+    from skarn.sources import tables
+
+    files = tables.sources(spark, "/root/testdata/sf0.001")
+    text = files.where("content <> '' and content is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all") == 1
