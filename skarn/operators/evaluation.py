@@ -92,6 +92,10 @@ def stratified(df: DataFrame, key: str, size: int, seed: int = 42, stratum: str
     return df.where(F.col(stratum).isin("easy", "medium", "hard")).withColumn("_rn", rn).where(F.col("_rn") <= quota).drop("_rn")
 
 
+#: Draws of a bootstrap that one task makes and counts.
+DRAWS = 1 << 20
+
+
 def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """One row: mean, lo, hi and std_error of an interval by resampling. In each round as many rows are drawn as there are,
     with replacement; the places drawn are md5 of round and draw, so any engine can repeat them. No row gives zeros, one
@@ -101,7 +105,9 @@ def bootstrap(df: DataFrame, value: str, key: str, rounds: int = 1000, confidenc
     n = placed.count()
     if not n:
         return df.sparkSession.range(1).select(*[F.lit(0.0).alias(c) for c in ("mean", "lo", "hi", "std_error")])
-    draws = placed.select(F.col("place").alias("draw")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    # So many tasks that none holds more than DRAWS draws, however few partitions the rows come in.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n * rounds // DRAWS))
+    draws = placed.select(F.col("place").alias("draw")).repartition(tasks).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "round", "draw", F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("long") % n
     # Each place is drawn by some rounds times: counted before the values are joined.
     times = draws.groupBy("round", drawn.alias("place")).agg(F.count(F.lit(1)).alias("times"))

@@ -99,3 +99,13 @@ def test_cross_validation(spark):
     scores, mean, deviation = evaluation.cross_validated(df, "id", 4, score)
     assert [n for n, _ in seen] == [38, 38, 38, 36] and set().union(*(t for _, t in seen)) == set(range(50))
     assert len(scores) == 4 and abs(mean - sum(scores) / 4) < 1e-9 and deviation >= 0
+
+
+def test_bootstrap_spreads_its_draws(spark, monkeypatch):
+    """Draws are rounds times rows: the number of tasks that make them grows with both, and the result does not change."""
+    df = spark.range(50).select("id", (F.col("id") * 1.5).alias("v"))
+    want = evaluation.bootstrap(df, "v", "id", rounds=100).first()
+    monkeypatch.setattr(evaluation, "DRAWS", 500)
+    got = evaluation.bootstrap(df, "v", "id", rounds=100)
+    assert "Repartition 10, true" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [round(x, 9) for x in got.first()] == [round(x, 9) for x in want]
