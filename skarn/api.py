@@ -60,17 +60,18 @@ class Engine:
         fresh = self.files.join(small(added), "relative_path", "left_semi")
         tables = self._tables(self.files if first else fresh)
         if first:
-            tables["frequencies"] = tables["occurrences"].groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            tables["frequencies"] = tables["occurrences"].select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             version = self.versions.publish(tables, {t: KEY for t in TABLES[:-1]})
         else:
             gone = todo.select(F.col("relative_path").alias("key"))
             lost = self.versions.table("occurrences").join(small(todo.select("relative_path")), KEY, "left_semi")
-            change = lost.select("term", F.lit(-1).cast("long").alias("df")).unionByName(tables["occurrences"].select("term", F.lit(1).cast("long").alias("df")))
+            of = lambda rows, n: rows.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("df"))
+            change = of(lost, -1).unionByName(of(tables["occurrences"], 1))
             sums = self.versions.table("frequencies").unionByName(change.groupBy("term").agg(F.sum("df").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
             version = self.versions.replace(gone, tables, {"frequencies": sums.where("df > 0")})
         self.manifest = None  # from here on the published one counts
         own = lambda name: self.versions.table(name, version).join(small(added), KEY, "left_semi")
-        return Index(own("chunks").withColumnRenamed("doc_id", "chunk_id"), own("occurrences").select("doc_id", "term", "tf"), own("manifest").select("relative_path", "hash", "chunk_count"), version)
+        return Index(own("chunks").withColumnRenamed("doc_id", "chunk_id"), search.term_rows(own("occurrences")).select("doc_id", "term", "tf"), own("manifest").select("relative_path", "hash", "chunk_count"), version)
 
     def update(self, files: DataFrame, plan: DataFrame | None = None) -> Index:
         """Takes the files as they are now and brings the index up to them."""
@@ -81,14 +82,13 @@ class Engine:
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
         """The tables of some files, all from one written set of chunks."""
         docs = written(self.chunks(files).withColumnRenamed("chunk_id", "doc_id"), "chunks")
-        path = docs.select("doc_id", KEY)
-        tf, dl = search.occurrences_of(docs, "doc_id", "content", KEY)
+        occurrences = written(search.occurrences_of(docs, "doc_id", "content", KEY), "occurrences")
         counts = docs.groupBy(KEY).agg(F.count(F.lit(1)).alias("chunk_count"))
         return {
             "chunks": docs,
-            "vectors": self.embed(docs.select("doc_id", F.col("content").alias("text"))).select("doc_id", "vector").join(path, "doc_id").select("doc_id", KEY, "vector"),
-            "occurrences": tf,
-            "lengths": dl,
+            "vectors": self.embed(docs.select("doc_id", KEY, F.col("content").alias("text"))).select("doc_id", KEY, "vector"),
+            "occurrences": occurrences,
+            "lengths": search.lengths_of(occurrences),
             "manifest": files.select(KEY, "hash").join(counts, KEY, "left").select(KEY, "hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")),
         }
 
@@ -105,7 +105,7 @@ class Engine:
         from .functions import text as T
 
         own = files if files is not None else self.files
-        lines = chunk.line_chunks(own, self.size, self.step).join(own.select("relative_path", "language"), "relative_path")
+        lines = chunk.line_chunks(own, self.size, self.step, "language")
         return lines.withColumn("chunk_id", T.chunk_id(F.col("relative_path"), F.col("start_line"), F.col("end_line"), F.col("content")))
 
     # ---- retrieval

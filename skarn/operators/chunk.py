@@ -19,12 +19,12 @@ def windows(max_tokens: int = 512, overlap: float = 0.25) -> tuple[int, int]:
     return size, size - min(size - 1, int(size * overlap))
 
 
-def line_chunks(files: DataFrame, size: int, step: int) -> DataFrame:
-    """relative_path, start_line, end_line, content, tokens of windows of `size` lines every `step`; blank ones go."""
-    lines = files.select("relative_path", F.split("content", "\n").alias("lines"))
-    starts = lines.select("relative_path", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))).alias("i"))
+def line_chunks(files: DataFrame, size: int, step: int, *more: str) -> DataFrame:
+    """relative_path, further columns, start_line, end_line, content, tokens of windows of `size` lines every `step`; blank ones go."""
+    lines = files.select("relative_path", *more, F.split("content", "\n").alias("lines"))
+    starts = lines.select("relative_path", *more, "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))).alias("i"))
     part = F.array_join(F.slice("lines", F.col("i") + 1, F.lit(size)), "\n")
-    out = starts.select("relative_path", (F.col("i") + 1).alias("start_line"), F.least(F.size("lines"), F.col("i") + size).alias("end_line"), part.alias("content"))
+    out = starts.select("relative_path", *more, (F.col("i") + 1).alias("start_line"), F.least(F.size("lines"), F.col("i") + size).alias("end_line"), part.alias("content"))
     return out.where(F.col("content").rlike(r"\S")).withColumn("tokens", T.token_estimate(F.col("content")))
 
 
