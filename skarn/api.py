@@ -80,13 +80,14 @@ class Engine:
         return self.index(plan=plan)
 
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
-        """The tables of some files, all from one written set of chunks."""
-        docs = written(self.chunks(files).withColumnRenamed("chunk_id", "doc_id"), "chunks")
-        occurrences = written(search.occurrences_of(docs, "doc_id", "content", KEY), "occurrences")
+        """The tables of some files. The large ones are written once, where the version will name them."""
+        put = lambda name, df: self.versions.staged(name, df, KEY)
+        docs = put("chunks", self.chunks(files).withColumnRenamed("chunk_id", "doc_id"))
+        occurrences = put("occurrences", search.occurrences_of(docs, "doc_id", "content", KEY))
         counts = docs.groupBy(KEY).agg(F.count(F.lit(1)).alias("chunk_count"))
         return {
             "chunks": docs,
-            "vectors": self.embed(docs.select("doc_id", KEY, F.col("content").alias("text"))).select("doc_id", KEY, "vector"),
+            "vectors": put("vectors", self.embed(docs.select("doc_id", KEY, F.col("content").alias("text"))).select("doc_id", KEY, "vector")),
             "occurrences": occurrences,
             "lengths": search.lengths_of(occurrences),
             "manifest": files.select(KEY, "hash").join(counts, KEY, "left").select(KEY, "hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")),

@@ -27,6 +27,7 @@ class Versions:
         self.spark, self.buckets = spark, buckets
         self.root = (root or scratch(spark, "versions")).rstrip("/")
         self._known: dict[int, list] = {}  # a version never changes
+        self._staged: list[tuple[DataFrame, list[tuple]]] = []
 
     def _manifest(self) -> DataFrame | None:
         try:
@@ -65,20 +66,34 @@ class Versions:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
 
     def _written(self, name: str, df: DataFrame, key: str | None) -> list[tuple]:
-        """Entries (name, bucket, path, schema, key) of a table's rows. Large buckets are dealt over several tasks, small
-        ones go together."""
+        """Entries (name, bucket, path, schema, key) of a table's rows, which each task writes as it has them: no shuffle."""
+        if (own := self._of(df)) is not None:
+            return own
         schema = StructType([f for f in df.schema.fields])
         path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
         rows = df.withColumn("_bucket", self._bucket(key) if key else F.lit(0))
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+        rows.write.partitionBy("_bucket").parquet(path)
         found = [r[0] for r in self.spark.read.schema("_bucket int").parquet(path).distinct().collect()]
         own = [(name, b, f"{path}/_bucket={b}", json.dumps(schema.jsonValue()), key) for b in found]
         return own or [(name, -1, None, json.dumps(schema.jsonValue()), key)]
 
+    def _of(self, df: DataFrame) -> list[tuple] | None:
+        return next((entries for own, entries in self._staged if own is df), None)
+
+    def staged(self, name: str, df: DataFrame, key: str | None) -> DataFrame:
+        """df, written where a version will name it. What is derived from it reads those rows, and publishing them under that
+        name and key writes none again."""
+        entries = self._written(name, df, key)
+        paths = [e[2] for e in entries if e[2]]
+        out = self.spark.read.schema(df.schema).parquet(*paths) if paths else self.spark.createDataFrame([], df.schema)
+        self._staged.append((out, entries))
+        return out
+
     def _commit(self, entries: list[tuple]) -> int:
         version = (self.latest() or 0) + 1
         rows = self.spark.createDataFrame([(version, *e) for e in entries], MANIFEST)
         rows.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self._staged.clear()
         return version
 
     def publish(self, tables: dict[str, DataFrame], keys: dict[str, str] | None = None) -> int:
@@ -104,7 +119,10 @@ class Versions:
                 before = self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*old)
                 kept = before.join(small(keys), before[key].cast("string") == keys["_key"], "left_anti")
             out += [tuple(e)[1:] for e in own if e.bucket not in touched and e.path]
-            out += [e for e in self._written(name, kept.unionByName(df), key) if e[2] or not any(e.bucket not in touched and e.path for e in own)]
+            done = self._of(df)
+            new = self._written(name, kept.unionByName(df), key) if done is None else done + self._written(name, kept, key)
+            named = any(e.bucket not in touched and e.path for e in own) or any(e[2] for e in new)
+            out += [e for e in new if e[2]] or ([] if named else new[:1])
         out += [e for n, df in whole.items() for e in self._written(n, df, next((e.key for e in entries if e.name == n), None))]
         return self._commit(out)
 
