@@ -215,3 +215,18 @@ def test_conditions_on_source_text_do_not_reach_below_it(spark):
     files = tables.sources(spark, "/root/testdata/sf0.001")
     text = files.where("content <> '' and content is not null")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_extract_all") == 1
+
+
+def test_resolution_makes_definitions_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"f{i}.ts", n, n) for i, n in enumerate(("run", "Run", "go"))], "relative_path string, name string, fqn string")
+    names = spark.createDataFrame([("run",), ("RUN",), ("x.go",)], "query string")
+    got = xref.resolved(names, rows.mapInArrow(counted, rows.schema)).collect()
+    assert {(r.query, r.level, r.fqn) for r in got} == {("run", "qualified", "run"), ("RUN", "any case", "run"), ("RUN", "any case", "Run"), ("x.go", "name", "go")}
+    assert made.value == 3
