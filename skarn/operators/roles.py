@@ -59,6 +59,42 @@ def holds(at: Column) -> Column:
     return (F.col("since") <= at) & (F.col("until").isNull() | (F.col("until") > at))
 
 
+#: Bits of a point of the log that one level of the aligned ranges of `held_at` drops.
+STEP = 3
+
+
+def _ends(points: DataFrame) -> tuple[int, int]:
+    ends = points.agg(F.min("seq"), F.max("seq")).first()
+    return (ends[0], ends[1]) if ends[0] is not None else (0, 0)
+
+
+def held_at(points: DataFrame, spans: DataFrame, key: str, ends: tuple[int, int] | None = None) -> DataFrame:
+    """points (key, seq and others) with the spans (key, since, until and others) of their key that hold at that seq. ends: no
+    point lies outside of them; they are looked up where none are given.
+
+    A span is cut into the fewest ranges of 8^l numbers that begin at a multiple of their length; a point lies in one range of
+    each length. Exactly one range of a span is also a range of a point in it, so an equal join of ranges gives each pair once
+    and meets no other pair."""
+    low, high = ends or _ends(points)
+    most = 0
+    while (high >> STEP * most) - (low >> STEP * most) >= 1 << STEP:
+        most += 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(most))).alias("_level")
+    own = points.select("*", levels).withColumn("_range", F.expr(f"shiftright(cast(seq as bigint), {STEP} * _level)"))
+
+    # Outside of all points nothing need be cut.
+    inside = spans.withColumns({"_a": F.greatest(F.col("since").cast("long"), F.lit(low).cast("long")), "_b": F.least(F.coalesce(F.col("until").cast("long"), F.lit(high + 1).cast("long")), F.lit(high + 1).cast("long"))})
+    inside = inside.where("_a < _b").select("*", levels)
+    up, down = (lambda plus: F.expr(f"-shiftright(-_a, {STEP} * (_level + {plus}))")), (lambda plus: F.expr(f"shiftright(_b, {STEP} * (_level + {plus}))"))
+    inside = inside.withColumns({"_lo": up(0), "_hi": down(0), "_lo2": up(1), "_hi2": down(1)}).where("_lo < _hi")
+    # What the next level leaves over at both ends; all, where it takes nothing.
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    rest = F.concat(run(F.col("_lo"), F.col("_lo2") * (1 << STEP)), run(F.col("_hi2") * (1 << STEP), F.col("_hi")))
+    ranges = F.when((F.col("_level") < most) & (F.col("_lo2") < F.col("_hi2")), rest).otherwise(F.sequence("_lo", F.col("_hi") - 1))
+    cut = inside.withColumn("_range", F.explode(ranges)).drop("_a", "_b", "_lo", "_hi", "_lo2", "_hi2")
+    return own.join(cut, [key, "_level", "_range"]).drop("_level", "_range")
+
+
 def exported(log: DataFrame, at: int | None = None) -> DataFrame:
     """kind (role, permission, parent, user), role, item of the state after event `at`, or after the last."""
     log = log if at is None else log.where(F.col("seq") <= at)
@@ -100,8 +136,10 @@ def template(spark, name: str, first: int = 1) -> DataFrame:
 
 def allowed_then(log: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request_id, user, request, seq) with `granted`: whether a role that the user had after event `seq` had a
-    permission then that matches. Two as-of joins on equal keys; inheritance is not followed."""
+    permission then that matches. Two joins as of that point (`held_at`); inheritance is not followed."""
     users, perms = intervals(log, "user").withColumnRenamed("item", "user"), intervals(log, "permission").withColumnRenamed("item", "permission")
-    had = requests.join(users, "user").where(holds(F.col("seq"))).select("request_id", "request", "seq", "role")
-    ok = had.join(perms, "role").where(holds(F.col("seq")) & T.permission_matches(F.col("permission"), F.col("request"))).select("request_id").distinct()
+    ends = _ends(requests)
+    had = held_at(requests.select("request_id", "user", "request", "seq"), users, "user", ends).select("request_id", "request", "seq", "role")
+    held = held_at(had, perms, "role", ends).select("request_id", "request", "permission")
+    ok = held.where(T.permission_matches(F.col("permission"), F.col("request"))).select("request_id").distinct()
     return requests.join(ok.withColumn("_ok", F.lit(True)), "request_id", "left").withColumn("granted", F.coalesce("_ok", F.lit(False))).drop("_ok")

@@ -78,6 +78,21 @@ def test_allowed_then(spark):
     assert {r.request_id for r in roles.allowed_then(log, asks).collect() if r.granted} == {3, 4, 6, 7}
 
 
+def test_spans_meet_only_the_points_they_hold(spark):
+    """Random spans and points of few keys, against all pairs; no join compares what does not hold."""
+    r = random.Random(5)
+    for low, high in ((-900, 900), (10**12, 10**12 + 70), (7, 7)):
+        spans = [(i, r.choice("ab"), a := r.randint(low - 5, high + 5), r.choice([None, a, a + 1, a + r.randint(0, 1 << r.randint(1, 12))])) for i in range(150)]
+        points = [(i, r.choice(["a", "b", None]), r.choice([None, *[r.randint(low, high)] * 9])) for i in range(150)]
+        want = sorted((p[0], s[0]) for p in points for s in spans if p[1] == s[1] and p[2] is not None and s[2] <= p[2] and (s[3] is None or s[3] > p[2]))
+        df = roles.held_at(spark.createDataFrame(points, "p long, key string, seq long"), spark.createDataFrame(spans, "s long, key string, since long, until long"), "key")
+        assert sorted((x.p, x.s) for x in df.collect()) == want
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+        assert len(joins) == 1 and "<" not in joins[0]
+    none = roles.held_at(spark.createDataFrame([], "p long, key string, seq long"), spark.createDataFrame([(1, "a", 1, None)], "s long, key string, since long, until long"), "key")
+    assert none.count() == 0
+
+
 def walked(flow, decisions, carry):
     stages, stage, retries, status, up, path = {s.id: s for s in flow.stages}, flow.entry, 0, "running", 0, []
     for d in decisions:
