@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,21 +197,86 @@ def rotated(lines: DataFrame, *order: str, most: int = 10 << 20, before: int = 0
     return upto.withColumn("file", F.floor((F.col("_upto") - F.col("_bytes") + before) / most).cast("long")).drop("_bytes", "_upto")
 
 
+#: Files of a rotated log that share a folder, and bytes of them that are read at once.
+FOLDER, CHUNK = 1000, 1 << 20
+
+
+def _log_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, size of a rotated log's files, listed folder by folder in tasks."""
+    store, base = fs.FileSystem.from_uri(path)
+    folders = sorted(i.path for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = sorted((i.path, i.size) for i in own.get_file_info(fs.FileSelector(folder)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.int64()))], ["path", "size"])
+
+    parts = max(1, min(len(folders), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.createDataFrame([(f,) for f in folders], "folder string").repartition(parts).mapInArrow(run, "path string, size long")
+
+
 def append_rotated(lines: DataFrame, path: str, *order: str, most: int = 10 << 20) -> None:
-    """Appends lines to a log whose files hold about `most` bytes; what is there counts."""
-    spark = lines.sparkSession
-    try:
-        there = spark.read.option("recursiveFileLookup", "true").text(path).agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
-    except AnalysisException:  # no log yet
-        there = 0
-    placed = rotated(lines, *order, most=most, before=there)
-    named = placed.select(F.lpad(F.col("file").cast("string"), 12, "0").alias("file"), *order, F.col("line").alias("value"))
-    named.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.mode("append").partitionBy("file").text(path)
+    """Appends lines to a log (a URI) whose files hold about `most` bytes; what is there counts by its files' sizes. Each task
+    writes the files of its ranges of the order, FOLDER of them in a folder; what an earlier run or another task puts into the
+    same file lies beside it under another name. A task that is run again writes the same names again."""
+    there = _log_files(lines.sparkSession, path).agg(F.sum("size")).first()[0] or 0
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        part, at, folder, out = TaskContext.get().partitionId(), None, None, None
+        try:
+            for b in batches:
+                files, values = b.column(0), b.column(1).to_pylist()
+                begins = [0, *(i for i, x in enumerate(pc.not_equal(files[1:], files[:-1]).to_pylist(), 1) if x)] if values else []
+                for begin, end in zip(begins, [*begins[1:], len(values)], strict=False):
+                    if (file := files[begin].as_py()) != at:
+                        if out:
+                            out.close()
+                        if folder != (folder := f"{base}/{file // FOLDER:09}"):
+                            store.create_dir(folder, recursive=True)
+                        at, out = file, store.open_output_stream(f"{folder}/{file:012}-{name}-{part:06}")
+                    out.write("".join(f"{x or ''}\n" for x in values[begin:end]).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64())], ["lines"])
+        finally:
+            if out:
+                out.close()
+
+    placed = rotated(lines, *order, most=most, before=there).sortWithinPartitions(*order)
+    placed.select("file", "line").mapInArrow(run, "lines long").write.format("noop").mode("overwrite").save()
 
 
 def read_rotated(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """`file` (its number as text, so files stand in name order) and the fields of each line that is well formed."""
-    raw = spark.read.schema("value string, file string").option("basePath", path).text(path)
+    """`file` (its number as text, so files stand in name order) and the fields of each line that is well formed. Small files are
+    read many in a task, large ones in chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(path)
+        files, values, size = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(files, pa.string())], ["value", "file"])
+
+        for b in batches:
+            for one in b.column(0).to_pylist():
+                number, rest = one.rpartition("/")[2].partition("-")[0], b""
+                with store.open_input_stream(one) as f:
+                    while chunk := f.read(CHUNK):
+                        *whole, rest = (rest + chunk).split(b"\n")
+                        values += [x.decode("utf-8", "replace") for x in whole]
+                        files += [number] * len(whole)
+                        if (size := size + len(chunk)) >= CHUNK:
+                            yield block()
+                            files, values, size = [], [], 0
+                if rest:  # a line that was cut off
+                    values.append(rest.decode("utf-8", "replace"))
+                    files.append(number)
+        yield block()
+
+    dealt = _log_files(spark, path).select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = dealt.mapInArrow(run, "value string, file string")
     fields = StructType.fromDDL(schema)
     parsed = raw.select("file", F.from_json("value", StructType([*fields, StructField("_bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"))
     return parsed.where("e is not null and e._bad is null").select("file", *[F.col("e").getField(f.name).alias(f.name) for f in fields])
